@@ -29,10 +29,23 @@ def bucketed_table(df: DataFrame, table: str, buckets: int, key: str = "bldg_id"
 
 
 def codes_json(codes: DataFrame, path: str) -> None:
-    """(dataset, column, value, code) as one JSON object per dataset and column."""
-    codes.groupBy("dataset", "column").agg(
+    """(dataset, column, value, code) as the nested mapper `{dataset: {column: {value: code}}}`.
+
+    The dictionary is bounded by the code width, so one line of text holds it.
+    """
+    columns = codes.groupBy("dataset", "column").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "code")))).alias("codes")
-    ).write.mode("overwrite").json(path)
+    )
+    datasets = columns.groupBy("dataset").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", F.to_json("codes").alias("codes"))))).alias("columns")
+    )
+    nested = datasets.select(
+        "dataset", F.transform_values("columns", lambda _, text: F.from_json(text, "map<string, int>")).alias("columns")
+    )
+    line = nested.agg(F.map_from_entries(F.collect_list(F.struct("dataset", F.to_json("columns").alias("columns")))).alias("all"))
+    line.select(
+        F.to_json(F.transform_values("all", lambda _, text: F.from_json(text, "map<string, map<string, int>>")))
+    ).write.mode("overwrite").text(path)
 
 
 def submission(predictions: DataFrame, path: str, entity: str = "bldg_id") -> None:
