@@ -24,7 +24,7 @@ def amount_to_number(text: Column) -> Column:
 
 def name_template(name: Column) -> Column:
     r"""`total_consumption_month_7` -> `total_consumption_month_\d+`."""
-    return F.regexp_replace(name, r"[0-9]+", r"\\\\d+")
+    return F.regexp_replace(name, r"[0-9]+", r"\\d+")
 
 
 def template_patterns() -> list[str]:

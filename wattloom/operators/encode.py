@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattloom.functions.fixed_values import ORDINAL_LEVELS, safe_name
+from wattloom.operators.joins import join_small
 
 MAX_CODES = 256  # codes are one unsigned byte wide
 MAX_DICTIONARY = 256 * MAX_CODES
@@ -79,17 +80,17 @@ def encode(df: DataFrame, maps: dict[str, dict[str, int]]) -> DataFrame:
 
 
 def encode_by_join(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """As `encode` for dictionaries of any size: one equi-join per column, broadcast below the threshold."""
+    """As `encode` for dictionaries of any size: one equi-join per column, broadcast only after a check of its size."""
     out = df
     for name in columns:
         side = codes.filter(F.col("column") == name).select(F.col("value").alias(name), F.col("code").alias("_code"))
-        out = out.join(side, name, "left").withColumn(name, F.col("_code")).drop("_code")
+        out = join_small(out, side, [name]).withColumn(name, F.col("_code")).drop("_code")
     return out.select(*df.columns)
 
 
 def decode_long(predictions: DataFrame, codes: DataFrame) -> DataFrame:
     """(…, target, code) -> (…, target, code, value) with the inverse dictionary."""
-    return predictions.join(codes.select(F.col("column").alias("target"), "code", "value"), ["target", "code"], "left")
+    return join_small(predictions, codes.select(F.col("column").alias("target"), "code", "value"), ["target", "code"])
 
 
 def decode(df: DataFrame, maps: dict[str, dict[str, int]]) -> DataFrame:

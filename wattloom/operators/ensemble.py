@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import BINARY_TARGET
+from wattloom.operators.joins import join_small
 
 
 def at_best_iteration(predictions: DataFrame, best: DataFrame) -> DataFrame:
     """Predictions of each target at its best epoch; `best` has one row per target."""
     chosen = best.select("target", (F.col("best_epoch") - 1).alias("iteration"))
-    return predictions.join(chosen, ["target", "iteration"])
+    return join_small(predictions, chosen, ["target", "iteration"], "inner")
 
 
 def blend(predictions: DataFrame, folds: int, entity: str = "bldg_id") -> DataFrame:
@@ -74,5 +75,5 @@ def prior_margin(labels: DataFrame) -> DataFrame:
 
 
 def with_prior_margin(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(prior_margin(labels), "target", "left")
+    return join_small(rows, prior_margin(labels), ["target"])
 

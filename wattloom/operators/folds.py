@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import ALL_TARGETS, BINARY_TARGET, FOLDS, safe_name
@@ -55,20 +55,8 @@ def stratified_folds(
     Rows are dealt out in the order (class, pseudo-random key). `by` separates independent problems,
     such as targets. Rows without a class have to be filtered before.
     """
-    ranked = rank_in_group(df, [*by, stratum], order_key(seed, entity), "_rank")
-    earlier = Window.partitionBy(*by).orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per class.
-    classes = (
-        df.groupBy(*by, stratum)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    return (
-        ranked.join(classes, [*by, stratum])
-        .withColumn("fold", F.pmod(F.col("_offset") + F.col("_rank"), F.lit(k)).cast("int"))
-        .drop("_rank", "_offset")
-    )
+    ranked = rank_in_group(df, [*by, stratum], order_key(seed, entity), "_rank", by)
+    return ranked.withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_rank")
 
 
 def random_folds(df: DataFrame, k: int = FOLDS, seed: int = 0, entity: str = "bldg_id") -> DataFrame:

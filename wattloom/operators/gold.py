@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.calendar import is_federal_holiday, with_calendar, with_holidays
+from wattloom.operators.joins import join_small
 from wattloom.operators.enrich import with_daily_total
 from wattloom.operators.profiles import hour_profile, weekday_profile
 from wattloom.operators.rollup import clustered
@@ -40,5 +41,5 @@ def load_features(base: DataFrame) -> DataFrame:
 def feature_row(
     hours: DataFrame, economics: DataFrame, state_holidays: DataFrame | None = None, cluster: bool = True
 ) -> DataFrame:
-    """`load_features` with the economics columns of the state; the join side is left to the size threshold."""
-    return load_features(base_hours(hours, state_holidays, cluster)).join(economics, "state", "left")
+    """`load_features` with the economics columns of the state."""
+    return join_small(load_features(base_hours(hours, state_holidays, cluster)), economics, ["state"])

@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import FOLDS
@@ -209,12 +209,12 @@ def permutation_importance(
         scored = scored.unionByName(part)
     f1 = macro_f1(scored, "label", "predicted", ["feature", "fold", "repetition"])
     mean = mean_over(mean_over(f1, ["feature", "fold"]), ["feature"])
-    base_score = mean.filter(F.col("feature") == "").select(F.col("f1").alias("base"), F.lit(1).alias("_k"))
+    # One row per feature.
+    base = F.max(F.when(F.col("feature") == "", F.col("f1"))).over(Window.partitionBy())
     return (
-        mean.filter(F.col("feature") != "")
-        .withColumn("_k", F.lit(1))
-        .join(base_score, "_k")
-        .select(F.lit(target).alias("target"), "feature", (F.col("base") - F.col("f1")).alias("importance"))
+        mean.withColumn("importance", base - F.col("f1"))
+        .filter(F.col("feature") != "")
+        .select(F.lit(target).alias("target"), "feature", "importance")
     )
 
 

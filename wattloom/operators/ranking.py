@@ -11,22 +11,33 @@ from wattloom.functions.order_keys import bucket_of, order_key
 from wattloom.session import cut_lineage
 
 
-def rank_in_group(df: DataFrame, groups: Sequence[str], key: Column, rank: str = "rank") -> DataFrame:
+def rank_in_group(
+    df: DataFrame, groups: Sequence[str], key: Column, rank: str = "rank", by: Sequence[str] | None = None
+) -> DataFrame:
     """0-based rank within each group by a uniform order key (see `order_keys`).
 
     A group is cut into 4,096 ordered buckets: the rank is the number of rows in earlier buckets plus
     the position inside the bucket. Join and window use the same (group, bucket) keys, so a group that
     holds a third of all rows is spread over its buckets. Groups must not be null.
+
+    With `by` (a leading part of `groups`) ranks go on from group to group within `by`.
     """
     keyed = df.withColumns({"_key": key, "_bucket": bucket_of(key)})
     slots = [*groups, "_bucket"]
     earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*slots)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
+    counts = keyed.groupBy(*slots).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    if by is not None:
+        # One row per group; it meets the bucket counts only, never the rows.
+        rest = [group for group in groups if group not in by]
+        earlier_groups = Window.partitionBy(*by).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
+        starts = (
+            counts.groupBy(*groups)
+            .agg(F.sum("_n").alias("_n"))
+            .withColumn("_start", F.coalesce(F.sum("_n").over(earlier_groups), F.lit(0)))
+            .drop("_n")
+        )
+        offsets = offsets.join(starts, list(groups)).withColumn("_before", F.col("_before") + F.col("_start")).drop("_start")
     position = F.row_number().over(Window.partitionBy(*slots).orderBy("_key"))
     return (
         keyed.join(offsets, slots)

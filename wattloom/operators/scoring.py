@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import BINARY_SHARE, DETAIL_SHARE
 from wattloom.functions.text import target_class
+from wattloom.operators.joins import join_small
 from wattloom.operators.ranking import running_total
 
 
@@ -164,7 +165,8 @@ def baseline_summary(detail: DataFrame) -> DataFrame:
 
 def fold_score_table(scores: DataFrame, best: DataFrame, folds: int) -> DataFrame:
     """Scores at the best iteration as columns fold_0.. and their mean; `scores` is (target, fold, iteration, score)."""
-    chosen = scores.join(best.select("target", (F.col("best_epoch") - 1).alias("iteration")), ["target", "iteration"])
+    epochs = best.select("target", (F.col("best_epoch") - 1).alias("iteration"))
+    chosen = join_small(scores, epochs, ["target", "iteration"], "inner")
     names = [f"fold_{fold}" for fold in range(folds)]
     wide = (
         chosen.withColumn("fold", F.concat(F.lit("fold_"), F.col("fold").cast("string")))
