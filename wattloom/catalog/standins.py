@@ -63,12 +63,12 @@ def shipment_hours(spark: SparkSession, folder: str) -> DataFrame:
     return hourly(shipment_readings(spark, folder))
 
 
-def event_base(spark: SparkSession, folder: str, cluster: bool = False) -> DataFrame:
-    return base_hours(event_hours(spark, folder), state_holidays(spark, folder), cluster)
+def event_base(spark: SparkSession, folder: str) -> DataFrame:
+    return base_hours(event_hours(spark, folder), state_holidays(spark, folder), keep=False)
 
 
-def shipment_base(spark: SparkSession, folder: str, cluster: bool = False) -> DataFrame:
-    return base_hours(shipment_hours(spark, folder), state_holidays(spark, folder), cluster)
+def shipment_base(spark: SparkSession, folder: str) -> DataFrame:
+    return base_hours(shipment_hours(spark, folder), state_holidays(spark, folder), keep=False)
 
 
 EVENT_READINGS = """

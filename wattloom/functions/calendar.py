@@ -23,38 +23,26 @@ def tou_of(hour: Column) -> Column:
     return F.when(hour.isin(MID_PEAK_HOURS), 1).when(hour.isin(ON_PEAK_HOURS), 2).otherwise(0)
 
 
-def _nth_weekday(day: Column, month: int, weekday: int, nth: int) -> Column:
-    first = 7 * (nth - 1) + 1
-    return (
-        (F.month(day) == month)
-        & (iso_weekday(day) == weekday)
-        & F.dayofmonth(day).between(first, first + 6)
-    )
-
-
-def _fixed_dates(day: Column) -> Column:
-    month_day = F.month(day) * 100 + F.dayofmonth(day)
-    return month_day.isin(101, 704, 1111, 1225) | ((month_day == 619) & (F.year(day) >= 2021))
+def _fixed_date(day: str) -> str:
+    month_day = f"(month({day}) * 100 + dayofmonth({day}))"
+    return f"({month_day} IN (101, 704, 1111, 1225) OR ({month_day} = 619 AND year({day}) >= 2021))"
 
 
-def is_federal_holiday(day: Column) -> Column:
-    """US federal holidays with their observed days.
+def is_federal_holiday(day: str) -> Column:
+    """US federal holidays with their observed days, from the name of a date column.
 
     A pure function of the date: no calendar table has to be joined or broadcast, and it holds for any year.
     """
-    observed_monday = (iso_weekday(day) == 1) & _fixed_dates(F.date_sub(day, 1))
-    observed_friday = (iso_weekday(day) == 5) & _fixed_dates(F.date_add(day, 1))
-    memorial_day = (F.month(day) == 5) & (iso_weekday(day) == 1) & (F.dayofmonth(day) >= 25)
-    return (
-        _fixed_dates(day)
-        | observed_monday
-        | observed_friday
-        | memorial_day
-        | _nth_weekday(day, 1, 1, 3)
-        | _nth_weekday(day, 2, 1, 3)
-        | _nth_weekday(day, 9, 1, 1)
-        | _nth_weekday(day, 10, 1, 2)
-        | _nth_weekday(day, 11, 4, 4)
+    month_day = f"month({day}) * 100 + dayofmonth({day})"
+    # Third Monday of January and February, last of May, first of September, second of October.
+    mondays = [(115, 121), (215, 221), (525, 531), (901, 907), (1008, 1014)]
+    monday = " OR ".join(f"{month_day} BETWEEN {first} AND {last}" for first, last in mondays)
+    return F.expr(
+        f"""CASE weekday({day})
+              WHEN 0 THEN {monday} OR {_fixed_date(day)} OR {_fixed_date(f"date_sub({day}, 1)")}
+              WHEN 3 THEN {month_day} BETWEEN 1122 AND 1128 OR {_fixed_date(day)}
+              WHEN 4 THEN {_fixed_date(day)} OR {_fixed_date(f"date_add({day}, 1)")}
+              ELSE {_fixed_date(day)} END"""
     )
 
 
@@ -81,13 +69,13 @@ def with_holidays(hours: DataFrame, state_holidays: DataFrame | None = None) ->
     `state_holidays` has (state, day). Days that are national holidays do not count as state holidays.
     The join carries no hint: the optimizer broadcasts the table when its size is below the threshold.
     """
-    out = hours.withColumn("is_national_holiday", is_federal_holiday(F.col("day")))
+    out = hours.withColumn("is_national_holiday", is_federal_holiday("day"))
     if state_holidays is None:
         return out.withColumn("is_state_holiday", F.lit(False))
     dates = (
         state_holidays.select("state", F.to_date("day").alias("day"))
         .dropna()
-        .filter(~is_federal_holiday(F.col("day")))
+        .filter(~is_federal_holiday("day"))
         .distinct()
         .withColumn("is_state_holiday", F.lit(True))
     )

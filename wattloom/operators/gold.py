@@ -16,17 +16,20 @@ from wattloom.operators.spikes import range_of_work
 LOAD_FEATURES = 585
 
 
-def base_hours(hours: DataFrame, state_holidays: DataFrame | None = None, cluster: bool = True) -> DataFrame:
+def base_hours(
+    hours: DataFrame, state_holidays: DataFrame | None = None, cluster: bool = True, keep: bool = True
+) -> DataFrame:
     """Hours with calendar, holidays and daily total.
 
-    With `cluster` the narrow hours are hashed by entity and kept; the calendar columns are cheap and
-    derived again by each reader. Pass False for a table that is already bucketed by entity.
+    With `cluster` the narrow hours are hashed by entity, and stored with `keep` when several families
+    read them; the calendar columns are cheap and derived again by each reader. Pass cluster=False for a
+    table that is already bucketed by entity.
     """
     flagged = with_holidays(hours.withColumn("day", F.to_date("timestamp")), state_holidays).drop(
         "day", "is_national_holiday"
     )
-    kept = clustered(flagged) if cluster else flagged
-    dated = with_calendar(kept).withColumn("is_national_holiday", is_federal_holiday(F.col("day")))
+    kept = clustered(flagged, keep=keep) if cluster else flagged
+    dated = with_calendar(kept).withColumn("is_national_holiday", is_federal_holiday("day"))
     return with_daily_total(dated)
 
 

@@ -22,13 +22,9 @@ def _widen(long: DataFrame, by: str, values: list[int], measures: dict[str, str]
         .pivot(by, values)
         .agg(*[F.first(measure).alias(measure) for measure in measures])
     )
-    return wide.select(
+    return wide.selectExpr(
         "bldg_id",
-        *[
-            F.col(f"{value}_{measure}" if len(measures) > 1 else str(value)).alias(f"{prefix}_{by}_{value}")
-            for measure, prefix in measures.items()
-            for value in values
-        ],
+        *[f"`{value}_{measure}` AS {prefix}_{by}_{value}" for measure, prefix in measures.items() for value in values],
     )
 
 

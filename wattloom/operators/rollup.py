@@ -27,11 +27,13 @@ def hourly(
     )
 
 
-def clustered(hours: DataFrame, key: str = "bldg_id", partitions: int | None = None) -> DataFrame:
-    """Hash the hours by entity once and keep them; every later group or window by entity reuses it.
+def clustered(hours: DataFrame, key: str = "bldg_id", partitions: int | None = None, keep: bool = True) -> DataFrame:
+    """Hash the hours by entity once; every later group or window by entity reuses that order.
 
     An entity has one row per hour of the calendar, so no partition grows with the raw readings.
-    The caller unpersists. A table bucketed by entity (`sources.write.bucketed_table`) needs neither step.
+    `keep` stores the result for several readers; the caller unpersists. A table bucketed by entity
+    (`sources.write.bucketed_table`) needs neither step.
     """
     count = partitions or int(hours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return hours.repartition(count, key).persist()
+    spread = hours.repartition(count, key)
+    return spread.persist() if keep else spread

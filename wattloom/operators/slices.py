@@ -1,12 +1,15 @@
 """Sliced averages, totals and monthly peaks: the aggregate family of the feature row.
 
-Every mean and total is built from sums and counts of small cells
-(entity, month, weekday, hour, holiday flags). Grouping sets over the cells give all slices in one
-aggregate, and one pivot with a fixed value list turns them into columns.
+Every mean and total is built from sums and counts that are merged in three steps: hours to cells
+(entity, month, weekday, hour, holiday flags), cells to two-way tables such as month x weekday, and
+two-way tables to the slices. Each step works on far fewer rows than the one before. All steps group
+by the entity first, so hours that are hashed by entity are never shuffled again. One pivot with a
+fixed value list turns slices into columns.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import product
 
@@ -24,8 +27,8 @@ DOMAINS = {
     "tou": TOU,
     "is_weekend": [0, 1],
     "weeknum": list(range(1, 54)),
-    "is_national_holiday": [True],
-    "is_state_holiday": [True],
+    "is_national_holiday": [1],
+    "is_state_holiday": [1],
 }
 
 
@@ -41,16 +44,6 @@ class Slice:
         values = product(*[DOMAINS[dim] for dim in self.dims])
         return [self.name.format(**dict(zip(self.dims, value))) for value in values]
 
-    def label(self) -> Column:
-        """The column name as an expression over the dimensions of a grouped row."""
-        parts = []
-        rest = self.name
-        while "{" in rest:
-            text, _, tail = rest.partition("{")
-            dim, _, rest = tail.partition("}")
-            parts += [F.lit(text), F.col(dim).cast("string")]
-        return F.concat(*parts, F.lit(rest))
-
 
 DAILY_BY_SEASON_MONTH = [
     Slice("average_daily_consumption_season_{season}", ("season",), "daily_mean"),
@@ -111,78 +104,124 @@ def cells(hours: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:
     keys = [key for key in CELL_KEYS if key in hours.columns] + list(extra_keys)
     value = F.col("energy_consumption")
     daily = F.col("daily_consumption")
-    return (
-        hours.groupBy("bldg_id", *keys)
-        .agg(
-            F.sum(value).alias("sum_e"),
-            F.count(value).alias("n_e"),
-            F.sum(daily).alias("sum_d"),
-            F.count(daily).alias("n_d"),
-            F.max(value).alias("max_e"),
-            F.min(value).alias("min_e"),
-        )
-        .withColumns(
-            {
-                "season": season_of(F.col("month")),
-                "tou": tou_of(F.col("hour")),
-                "is_weekend": (F.col("weekday") >= 6).cast("int"),
-            }
-        )
+    return hours.groupBy("bldg_id", *keys).agg(
+        F.sum(value).alias("sum_e"),
+        F.count(value).alias("n_e"),
+        F.sum(daily).alias("sum_d"),
+        F.count(daily).alias("n_d"),
+        F.max(value).alias("max_e"),
+        F.min(value).alias("min_e"),
     )
 
 
+MERGE = {"sum_e": "sum", "n_e": "sum", "sum_d": "sum", "n_d": "sum", "max_e": "max", "min_e": "min"}
 MEASURES = {
-    "mean": lambda: F.sum("sum_e") / F.nullif(F.sum("n_e"), F.lit(0)),
-    "total": lambda: F.coalesce(F.sum("sum_e"), F.lit(0.0)),
-    "daily_mean": lambda: F.sum("sum_d") / F.nullif(F.sum("n_d"), F.lit(0)),
-    "peak": lambda: F.max("max_e"),
-    "trough": lambda: F.min("min_e"),
+    "mean": "sum_e / nullif(n_e, 0)",
+    "total": "coalesce(sum_e, 0D)",
+    "daily_mean": "sum_d / nullif(n_d, 0)",
+    "peak": "max_e",
+    "trough": "min_e",
 }
 
 
+@dataclass(frozen=True)
+class TwoWay:
+    """A table of cells by two keys `a` and `b`, and the dimensions that are functions of them.
+
+    `on` is the flag a cell must carry to take part.
+    """
+
+    a: str
+    b: str
+    dims: dict[str, Column]
+    on: Column | None = None
+
+
+def _two_way_tables() -> list[TwoWay]:
+    a, b = F.col("a"), F.col("b")
+    weekend = (b >= 6).cast("int")
+    return [
+        TwoWay("month", "weekday", {"season": season_of(a), "month": a, "weekday": b, "is_weekend": weekend}),
+        TwoWay("month", "hour", {"season": season_of(a), "month": a, "hour": b, "tou": tou_of(b)}),
+        TwoWay("month", "tou", {"is_national_holiday": F.lit(1), "tou": b}, F.col("is_national_holiday")),
+        TwoWay("month", "tou", {"is_state_holiday": F.lit(1), "tou": b}, F.col("is_state_holiday")),
+        TwoWay("weeknum", "weekday", {"weeknum": a, "weekday": b, "is_weekend": weekend}),
+        TwoWay("weeknum", "tou", {"weeknum": a, "tou": b}),
+    ]
+
+
+def _merged(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy("bldg_id", *keys).agg(*[F.expr(f"{how}({name}) AS {name}") for name, how in MERGE.items()])
+
+
 def sliced(hours: DataFrame, slices: list[Slice]) -> DataFrame:
     """One row per entity with the columns of all `slices`; totals of empty slices are 0, means are null."""
+    # The empty slice keeps one row per entity even when none of its hours falls in another.
+    wanted = sorted({(), *(one.dims for one in slices)})
+    by_table: dict[int, list[tuple[str, ...]]] = {}
+    tables = _two_way_tables()
+    for dim_set in wanted:
+        source = next(place for place, one in enumerate(tables) if set(dim_set) <= set(one.dims))
+        by_table.setdefault(source, []).append(dim_set)
+
+    # Cells to two-way tables.
     week_keys = ("weeknum",) if any("weeknum" in one.dims for one in slices) else ()
-    dims = sorted({dim for one in slices for dim in one.dims})
-    # The empty set keeps one row per entity even when none of its hours falls in a slice.
-    dim_sets = sorted({(), *(one.dims for one in slices)})
-    grouped = cells(hours, week_keys).groupingSets(
-        [["bldg_id", *dim_set] for dim_set in dim_sets], "bldg_id", *dims
-    )
-    measures = sorted({one.measure for one in slices})
-    level = grouped.agg(
-        F.grouping_id("bldg_id", *dims).alias("slice_id"),
-        *[MEASURES[measure]().alias(measure) for measure in measures],
-    )
-
-    def entries(dim_set: tuple[str, ...]) -> Column:
-        members = [(one.label(), F.col(one.measure)) for one in slices if one.dims == dim_set]
-        nothing = [(F.lit(None).cast("string"), F.lit(None).cast("double"))]
-        return F.array(
-            *[F.struct(name.alias("name"), value.alias("value")) for name, value in members or nothing]
-        )
-
-    chosen = F
-    for dim_set in dim_sets:
-        # grouping_id sets the bit of every column that is not part of the grouping set.
-        slice_id = sum(1 << (len(dims) - 1 - position) for position, dim in enumerate(dims) if dim not in dim_set)
-        chosen = chosen.when(F.col("slice_id") == slice_id, entries(dim_set))
-    keep = F.lit(True)
-    for flag in ("is_national_holiday", "is_state_holiday"):
-        if flag in dims:
-            keep = keep & F.coalesce(F.col(flag), F.lit(True))
+    level = cells(hours, week_keys).withColumn("tou", tou_of(F.col("hour")))
+    targets = []
+    for place in by_table:
+        one = tables[place]
+        entry = F.struct(F.lit(place).alias("table"), F.col(one.a).alias("a"), F.col(one.b).alias("b"))
+        targets.append(entry if one.on is None else F.when(one.on, entry))
+    spread = level.select("bldg_id", *MERGE, F.explode(F.array(*targets)).alias("to")).filter(F.col("to").isNotNull())
+    level = _merged(spread.select("bldg_id", *MERGE, "to.*"), "table", "a", "b")
+
+    # Two-way tables to slices; a slice is numbered by its set of dimensions and its place in it.
+    starts, size = {}, 0
+    for dim_set in wanted:
+        starts[dim_set] = size
+        size += math.prod(len(DOMAINS[dim]) for dim in dim_set)
+
+    def number(dim_set: tuple[str, ...], dims: dict[str, Column]) -> Column:
+        place = F.lit(0)
+        for dim in dim_set:
+            place = place * len(DOMAINS[dim]) + (dims[dim] - DOMAINS[dim][0])
+        return place + starts[dim_set]
+
+    numbers = F
+    for place, dim_sets in by_table.items():
+        members = F.array(*[number(dim_set, tables[place].dims) for dim_set in dim_sets])
+        numbers = numbers.when(F.col("table") == place, members)
+    level = _merged(level.select("bldg_id", *MERGE, F.explode(numbers).alias("slice")), "slice")
+
+    # Slices to columns; the column number is its place in the list of names.
     names = [name for one in slices for name in one.columns()]
+    first_column, column = {}, 0
+    for one in slices:
+        first_column[one] = column
+        column += len(one.columns())
+    entries = F
+    for dim_set in wanted:
+        inside = F.col("slice") - starts[dim_set]
+        cases = [
+            F.struct((inside + first_column[one]).alias("column"), F.expr(MEASURES[one.measure]).cast("double").alias("value"))
+            for one in slices
+            if one.dims == dim_set
+        ] or [F.struct(F.lit(None).cast("int").alias("column"), F.lit(None).cast("double").alias("value"))]
+        count = math.prod(len(DOMAINS[dim]) for dim in dim_set)
+        entries = entries.when(F.col("slice").between(starts[dim_set], starts[dim_set] + count - 1), F.array(*cases))
     totals = {name for one in slices if one.measure == "total" for name in one.columns()}
-    wide = (
-        level.filter(keep)
-        .select("bldg_id", F.explode(chosen).alias("entry"))
+    return (
+        level.select("bldg_id", F.inline(entries))
         .groupBy("bldg_id")
-        .pivot("entry.name", names)
-        .agg(F.first("entry.value"))
-    )
-    return wide.select(
-        "bldg_id",
-        *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) if name in totals else F.col(name) for name in names],
+        .pivot("column", list(range(len(names))))
+        .agg(F.first("value"))
+        .selectExpr(
+            "bldg_id",
+            *[
+                f"coalesce(`{place}`, 0D) AS `{name}`" if name in totals else f"`{place}` AS `{name}`"
+                for place, name in enumerate(names)
+            ],
+        )
     )
 
 
@@ -194,7 +233,7 @@ def monthly_median(hours: DataFrame) -> DataFrame:
         .groupBy("bldg_id")
         .pivot("month", MONTHS)
         .agg(F.first("median"))
-        .select("bldg_id", *[F.col(str(month)).alias(f"median_hour_consumption_month_{month}") for month in MONTHS])
+        .selectExpr("bldg_id", *[f"`{month}` AS median_hour_consumption_month_{month}" for month in MONTHS])
     )
 
 

@@ -10,8 +10,8 @@ from wattloom.functions.fixed_values import HOURS, MONTHS, WEEKDAYS
 from wattloom.operators.enrich import with_jump
 
 RANGES = [f"{kind}_range_work_{day_kind}" for kind in BUILDING_KINDS for day_kind in DAY_KINDS]
-BEGIN_TIMES = [f"time_{name}" for name in begin_bands()]
-END_TIMES = [f"time_{name}" for name in end_bands()]
+BEGIN_TIMES = [f"time_{kind}_begin_{day_kind}" for kind in BUILDING_KINDS for day_kind in DAY_KINDS]
+END_TIMES = [f"time_{kind}_end_{day_kind}" for kind in BUILDING_KINDS for day_kind in DAY_KINDS]
 
 
 def _first_highest(band: Column) -> Column:
@@ -66,9 +66,9 @@ def range_of_work(hours: DataFrame) -> DataFrame:
         *[F.min(name).alias(name) for name in END_TIMES],
     )
     return monthly.groupBy("bldg_id").agg(
-        *[F.avg(name).alias(name) for name in RANGES + BEGIN_TIMES + END_TIMES],
+        *[F.expr(f"avg({name}) AS {name}") for name in RANGES + BEGIN_TIMES + END_TIMES],
         *[
-            F.avg(F.when(F.col("month") == month, F.col(name))).alias(f"{name}_month_{month}")
+            F.expr(f"avg({name}) FILTER (WHERE month = {month}) AS {name}_month_{month}")
             for name in RANGES
             for month in MONTHS
         ],
@@ -95,13 +95,9 @@ def robust_change(hours: DataFrame, by: str) -> DataFrame:
     changes = [*rises, *falls]
     mean = monthly.groupBy("bldg_id", by).agg(*[F.avg(name).alias(name) for name in changes])
     wide = mean.groupBy("bldg_id").pivot(by, values).agg(*[F.first(name).alias(name) for name in changes])
-    return wide.select(
+    return wide.selectExpr(
         "bldg_id",
-        *[
-            F.col(f"{value}_{name}").alias(f"average_robust_{name}_{by}_{value}")
-            for name in changes
-            for value in values
-        ],
+        *[f"`{value}_{name}` AS average_robust_{name}_{by}_{value}" for name in changes for value in values],
     )
 
 
@@ -133,10 +129,10 @@ def open_close_drop(hours: DataFrame) -> DataFrame:
         .pivot("slot", slots)
         .agg(*[F.first(measure).alias(measure) for measure in measures])
     )
-    return wide.select(
+    return wide.selectExpr(
         "bldg_id",
         *[
-            F.col(f"{month}_{flag}_{measure}").alias(f"average_{measure}_{month}_is_weekend_{flag}")
+            f"`{month}_{flag}_{measure}` AS average_{measure}_{month}_is_weekend_{flag}"
             for measure in measures
             for month in MONTHS
             for flag in (0, 1)
@@ -157,6 +153,4 @@ def month_hour_difference(hours: DataFrame) -> DataFrame:
         .pivot("slot", slots)
         .agg(F.first("jump"))
     )
-    return wide.select(
-        "bldg_id", *[F.col(slot).alias(f"average_difference_energy_consumption_{slot}") for slot in slots]
-    )
+    return wide.selectExpr("bldg_id", *[f"`{slot}` AS average_difference_energy_consumption_{slot}" for slot in slots])
