@@ -10,6 +10,7 @@ fixed value list turns slices into columns.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -96,15 +97,15 @@ LOAD_SLICES = [
     *MONTH_PEAKS,
 ]
 
-CELL_KEYS = ["month", "weekday", "hour", "is_national_holiday", "is_state_holiday"]
+CELL_KEYS = ["month", "weekday", "hour"]
+FLAGS = ["is_national_holiday", "is_state_holiday"]
 
 
-def cells(hours: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+def cells(hours: DataFrame, extra_keys: Sequence[str] = FLAGS) -> DataFrame:
     """Sums, counts and extremes per entity and calendar cell; needs daily_consumption and the calendar columns."""
-    keys = [key for key in CELL_KEYS if key in hours.columns] + list(extra_keys)
     value = F.col("energy_consumption")
     daily = F.col("daily_consumption")
-    return hours.groupBy("bldg_id", *keys).agg(
+    return hours.groupBy("bldg_id", *CELL_KEYS, *extra_keys).agg(
         F.sum(value).alias("sum_e"),
         F.count(value).alias("n_e"),
         F.sum(daily).alias("sum_d"),
@@ -165,8 +166,8 @@ def sliced(hours: DataFrame, slices: list[Slice]) -> DataFrame:
         by_table.setdefault(source, []).append(dim_set)
 
     # Cells to two-way tables.
-    week_keys = ("weeknum",) if any("weeknum" in one.dims for one in slices) else ()
-    level = cells(hours, week_keys).withColumn("tou", tou_of(F.col("hour")))
+    extra_keys = [key for key in (*FLAGS, "weeknum") if any(key in one.dims for one in slices)]
+    level = cells(hours, extra_keys).withColumn("tou", tou_of(F.col("hour")))
     targets = []
     for place in by_table:
         one = tables[place]

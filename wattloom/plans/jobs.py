@@ -72,11 +72,17 @@ def gold_features(hours: DataFrame, economics: DataFrame, state_holidays: DataFr
 def score(
     models: dict[str, Sequence[PipelineModel]], rows: DataFrame, maps: dict[str, dict[str, int]], binary: str = BINARY_TARGET
 ) -> DataFrame:
-    """Blend the fold models of every target, decode, and null the targets of the other building kind."""
+    """Blend the fold models of every target, decode, and null the targets of the other building kind.
+
+    All targets have the same number of folds; their predictions are shuffled once, by entity.
+    """
+    folds = {len(fold_models) for fold_models in models.values()}
+    if len(folds) != 1:
+        raise ValueError("every target needs the same number of fold models")
     predictions = None
     for target, fold_models in models.items():
-        blended = blend(predict_folds(fold_models, rows, target), len(fold_models))
-        predictions = blended if predictions is None else predictions.unionByName(blended)
-    table = predict_table(predicted_class(predictions), list(models))
+        one = predict_folds(fold_models, rows, target)
+        predictions = one if predictions is None else predictions.unionByName(one)
+    table = predict_table(predicted_class(blend(predictions, folds.pop())), list(models))
     decoded = decode(table, {target: maps[target] for target in models if target in maps})
     return null_out(decoded, list(models), binary)
