@@ -27,6 +27,10 @@ def test_every_query_is_checked_or_trains_a_model():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    got = entry.queries()[name](spark, SF).toPandas()
+    query = entry.queries()[name](spark, SF)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    for operator in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert operator not in plan
+    got = query.toPandas()
     spark.catalog.clearCache()
     assert compare(got, con.execute(SQL[name]).df()) == ""

