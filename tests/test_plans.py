@@ -36,6 +36,17 @@ def test_bucketed_hours_need_no_shuffle(spark):
     spark.sql("DROP TABLE hours_bucketed")
 
 
+def test_kept_hours_are_sorted_once(spark):
+    """Windows by day and in time order read the stored order."""
+    from wattloom.operators import enrich, profiles, spikes
+
+    base = gold.base_hours(standins.shipment_hours(spark, SF))
+    for family in (spikes.daily_spikes(base), profiles.hour_profile_long(base), enrich.with_jump(base)):
+        outside = plan(family).split("InMemoryRelation")[0]
+        assert "Sort [" not in outside and shuffles(outside) == 0
+    base.unpersist()
+
+
 def test_single_family_has_two_shuffles(spark):
     """One for the rollup, one to hash the hours by building."""
     for name in ("spike_times", "hour_profile", "weekday_deviation", "total_by_slice", "range_of_work"):

@@ -32,3 +32,34 @@ def test_submission_nulls_the_other_kind(spark):
             assert row["in_bedrooms_res"] is None and row["in_heating_fuel_com"] is not None
         else:
             assert row["in_heating_fuel_com"] is None and row["in_bedrooms_res"] is not None
+
+
+def test_last_boosting_round_is_the_model(spark):
+    """The running margin over all trees gives the model's own predictions."""
+    from pyspark.sql import functions as F
+
+    from wattloom.catalog.training import document_gold, quality_models
+    from wattloom.operators import models, scoring
+    from wattloom.operators.folds import fold_split
+
+    gold = document_gold(spark, SF)
+    trained = quality_models(gold, maxIter=3, maxDepth=2)
+    curve = {(r["fold"], r["iteration"]): r["value"] for r in models.boosting_curve(trained, gold, "quality").collect()}
+    for fold, model in enumerate(trained):
+        valid = fold_split(gold, fold)[1]
+        scored = model.transform(valid).select("quality", F.col("prediction").cast("int").alias("predicted"))
+        assert curve[fold, 2] == pytest.approx(scoring.macro_f1(scored, "quality", "predicted").first()["f1"])
+    rows = models.out_of_fold(trained, gold, "quality")
+    assert rows.select("bldg_id").distinct().count() * 2 == rows.count() == gold.count() * 2
+
+
+def test_donors_are_a_permutation_without_fixed_rows(spark):
+    from pyspark.sql import functions as F
+
+    from wattloom.operators.models import _donors
+
+    valid = spark.range(101).select(F.col("id").alias("bldg_id"), F.lit(0).alias("label"), F.col("id").cast("double").alias("x"))
+    for repetition in range(3):
+        pairs = _donors(valid, ["x"], repetition, 0, "bldg_id").collect()
+        assert sorted(row["_donor_x"] for row in pairs) == [float(n) for n in range(101)]
+        assert all(row["_donor_x"] != row["x"] for row in pairs)

@@ -47,14 +47,17 @@ def is_federal_holiday(day: str) -> Column:
 
 
 def with_calendar(hours: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Add hour, month, weeknum (ISO), day, weekday (1-7), is_weekend, tou and season."""
+    """Add hour, month, weeknum (ISO), day, weekday (1-7), is_weekend, tou and season.
+
+    A `day` that is there already is kept, and with it the order of rows sorted by it.
+    """
     stamp = F.col(ts)
     return hours.withColumns(
         {
             "hour": F.hour(stamp),
             "month": F.month(stamp),
             "weeknum": F.weekofyear(stamp),
-            "day": F.to_date(stamp),
+            **({} if "day" in hours.columns else {"day": F.to_date(stamp)}),
             "weekday": iso_weekday(stamp),
             "is_weekend": (iso_weekday(stamp) >= 6).cast("int"),
             "tou": tou_of(F.hour(stamp)),

@@ -25,9 +25,7 @@ def base_hours(
     read them; the calendar columns are cheap and derived again by each reader. Pass cluster=False for a
     table that is already bucketed by entity.
     """
-    flagged = with_holidays(hours.withColumn("day", F.to_date("timestamp")), state_holidays).drop(
-        "day", "is_national_holiday"
-    )
+    flagged = with_holidays(hours.withColumn("day", F.to_date("timestamp")), state_holidays).drop("is_national_holiday")
     kept = clustered(flagged, keep=keep) if cluster else flagged
     dated = with_calendar(kept).withColumn("is_national_holiday", is_federal_holiday("day"))
     return with_daily_total(dated)

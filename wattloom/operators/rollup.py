@@ -31,9 +31,10 @@ def clustered(hours: DataFrame, key: str = "bldg_id", partitions: int | None = N
     """Hash the hours by entity once; every later group or window by entity reuses that order.
 
     An entity has one row per hour of the calendar, so no partition grows with the raw readings.
-    `keep` stores the result for several readers; the caller unpersists. A table bucketed by entity
+    `keep` stores the result for several readers, in the (entity, day, time) order that all their windows
+    need, so each sorts nothing again; the caller unpersists. A table bucketed by entity
     (`sources.write.bucketed_table`) needs neither step.
     """
     count = partitions or int(hours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = hours.repartition(count, key)
-    return spread.persist() if keep else spread
+    return spread.sortWithinPartitions(key, "day", "timestamp").persist() if keep else spread

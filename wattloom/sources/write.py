@@ -21,7 +21,9 @@ def partitioned(df: DataFrame, path: str, *columns: str) -> None:
     df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
-def bucketed_table(df: DataFrame, table: str, buckets: int, key: str = "bldg_id", order: Sequence[str] = ("timestamp",)) -> None:
+def bucketed_table(
+    df: DataFrame, table: str, buckets: int, key: str = "bldg_id", order: Sequence[str] = ("timestamp",)
+) -> None:
     """A table bucketed by entity: groups, windows and joins by entity read it without a shuffle."""
     df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(
         key, *order
