@@ -1,33 +1,18 @@
-"""Named time bands in which the opening and closing jumps of a day are looked for."""
+"""Named time bands in which the opening and closing jumps of a day are looked for, as SQL predicates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 BUILDING_KINDS = ["com", "res"]
-DAY_KINDS = ["workday", "weekend"]
-
+DAY_KINDS = {"workday": "weekday <= 5", "weekend": "weekday > 5"}
 
-def _day_kind(day_kind: str) -> Column:
-    return F.col("weekday") <= 5 if day_kind == "workday" else F.col("weekday") > 5
+# Commercial buildings open between 3 and 13 h and close at 3 h or later; residential ones at any hour.
+OPENING = {"com": "hour BETWEEN 3 AND 13 AND ", "res": ""}
+CLOSING = {"com": "hour >= 3 AND ", "res": ""}
 
 
-def begin_bands() -> dict[str, Column]:
-    """Commercial buildings open between 3 and 13 h, residential ones at any hour."""
-    opening = F.col("hour").between(3, 13)
-    return {
-        f"{kind}_begin_{day_kind}": (opening & _day_kind(day_kind)) if kind == "com" else _day_kind(day_kind)
-        for kind in BUILDING_KINDS
-        for day_kind in DAY_KINDS
-    }
+def begin_bands() -> dict[str, str]:
+    return {f"{kind}_begin_{day}": OPENING[kind] + test for kind in BUILDING_KINDS for day, test in DAY_KINDS.items()}
 
 
-def end_bands() -> dict[str, Column]:
-    """Commercial buildings close at 3 h or later, residential ones at any hour."""
-    closing = F.col("hour") >= 3
-    return {
-        f"{kind}_end_{day_kind}": (closing & _day_kind(day_kind)) if kind == "com" else _day_kind(day_kind)
-        for kind in BUILDING_KINDS
-        for day_kind in DAY_KINDS
-    }
+def end_bands() -> dict[str, str]:
+    return {f"{kind}_end_{day}": CLOSING[kind] + test for kind in BUILDING_KINDS for day, test in DAY_KINDS.items()}

@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 from wattloom.functions.fixed_values import COLD_MONTHS, HOT_MONTHS, MID_PEAK_HOURS, ON_PEAK_HOURS
 
 
-def iso_weekday(when: Column) -> Column:
-    """1 = Monday ... 7 = Sunday."""
-    return F.weekday(when) + 1
+def _any_of(values: list[int]) -> str:
+    return ", ".join(map(str, values))
 
 
-def season_of(month: Column) -> Column:
-    """0 cold, 1 hot, 2 mild."""
-    return F.when(month.isin(COLD_MONTHS), 0).when(month.isin(HOT_MONTHS), 1).otherwise(2)
+def season_of(month: str) -> str:
+    """SQL: 0 cold, 1 hot, 2 mild."""
+    return f"CASE WHEN {month} IN ({_any_of(COLD_MONTHS)}) THEN 0 WHEN {month} IN ({_any_of(HOT_MONTHS)}) THEN 1 ELSE 2 END"
 
 
-def tou_of(hour: Column) -> Column:
-    """Time of use: 0 off peak, 1 mid peak, 2 on peak."""
-    return F.when(hour.isin(MID_PEAK_HOURS), 1).when(hour.isin(ON_PEAK_HOURS), 2).otherwise(0)
+def tou_of(hour: str) -> str:
+    """SQL: time of use, 0 off peak, 1 mid peak, 2 on peak."""
+    return f"CASE WHEN {hour} IN ({_any_of(MID_PEAK_HOURS)}) THEN 1 WHEN {hour} IN ({_any_of(ON_PEAK_HOURS)}) THEN 2 ELSE 0 END"
 
 
 def _fixed_date(day: str) -> str:
@@ -49,21 +48,20 @@ def is_federal_holiday(day: str) -> Column:
 def with_calendar(hours: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Add hour, month, weeknum (ISO), day, weekday (1-7), is_weekend, tou and season.
 
-    A `day` that is there already is kept, and with it the order of rows sorted by it.
+    A column that is there already is kept: `day`, and with it the order of rows sorted by it.
     """
-    stamp = F.col(ts)
-    return hours.withColumns(
-        {
-            "hour": F.hour(stamp),
-            "month": F.month(stamp),
-            "weeknum": F.weekofyear(stamp),
-            **({} if "day" in hours.columns else {"day": F.to_date(stamp)}),
-            "weekday": iso_weekday(stamp),
-            "is_weekend": (iso_weekday(stamp) >= 6).cast("int"),
-            "tou": tou_of(F.hour(stamp)),
-            "season": season_of(F.month(stamp)),
-        }
-    )
+    attributes = {
+        "hour": f"hour({ts})",
+        "month": f"month({ts})",
+        "weeknum": f"weekofyear({ts})",
+        "day": f"to_date({ts})",
+        "weekday": f"weekday({ts}) + 1",
+        "is_weekend": f"CAST(weekday({ts}) >= 5 AS INT)",
+        "tou": tou_of(f"hour({ts})"),
+        "season": season_of(f"month({ts})"),
+    }
+    kept = ["*", *[f"{expression} AS {name}" for name, expression in attributes.items() if name not in hours.columns]]
+    return hours.selectExpr(*kept)
 
 
 def with_holidays(hours: DataFrame, state_holidays: DataFrame | None = None) -> DataFrame:

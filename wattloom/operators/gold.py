@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from wattloom.functions.calendar import is_federal_holiday, with_calendar, with_holidays
 from wattloom.operators.joins import join_small
 from wattloom.operators.enrich import with_daily_total
-from wattloom.operators.profiles import hour_profile, weekday_profile
+from wattloom.operators.profiles import HOUR_COLUMNS, WEEKDAY_COLUMNS, hour_profile_packed, weekday_profile_packed
 from wattloom.operators.rollup import clustered
-from wattloom.operators.slices import hour_aggregation
-from wattloom.operators.spikes import range_of_work
+from wattloom.operators.slices import AGGREGATION_COLUMNS, aggregation_packed
+from wattloom.operators.spikes import WORK_COLUMNS, range_of_work_packed
 
 LOAD_FEATURES = 585
 
@@ -33,10 +33,10 @@ def base_hours(
 
 def load_features(base: DataFrame) -> DataFrame:
     """One row per entity with the 585 load features; `base` comes from `base_hours`."""
-    entities = base.select("bldg_id", "state").distinct()
-    for family in (hour_aggregation(base), range_of_work(base), hour_profile(base), weekday_profile(base)):
-        entities = entities.join(family, "bldg_id", "left")
-    return entities
+    rows = base.select("bldg_id", "state").distinct()
+    for family in (aggregation_packed(base), range_of_work_packed(base), hour_profile_packed(base), weekday_profile_packed(base)):
+        rows = rows.join(family, "bldg_id", "left")
+    return rows.selectExpr("bldg_id", "state", *AGGREGATION_COLUMNS, *WORK_COLUMNS, *HOUR_COLUMNS, *WEEKDAY_COLUMNS)
 
 
 def feature_row(

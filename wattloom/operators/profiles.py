@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import DAYS_PER_YEAR, HOURS, WEEKDAYS, WEEKS_PER_YEAR
+from wattloom.operators.packing import column, packed
 
 KINDS = ["mean", "min", "max"]
 
@@ -15,17 +16,25 @@ def _share(hits: str, denominator: int) -> Column:
     return F.nullif(F.sum(hits), F.lit(0)) / denominator
 
 
-def _widen(long: DataFrame, by: str, values: list[int], measures: dict[str, str]) -> DataFrame:
-    """One row per entity; `measures` maps a long column to its column-name prefix."""
-    wide = (
-        long.groupBy("bldg_id")
-        .pivot(by, values)
-        .agg(*[F.first(measure).alias(measure) for measure in measures])
-    )
-    return wide.selectExpr(
-        "bldg_id",
-        *[f"`{value}_{measure}` AS {prefix}_{by}_{value}" for measure, prefix in measures.items() for value in values],
-    )
+def _columns(result: str, by: str, values: list[int], measures: dict[str, str]) -> list[str]:
+    """Column expressions; `measures` maps a packed measure to its column-name prefix."""
+    return [
+        column(result, value, measure, f"{prefix}_{by}_{value}") for measure, prefix in measures.items() for value in values
+    ]
+
+
+HOUR_MEASURES = {
+    "share_max": "profile_max",
+    "share_min": "profile_min",
+    **{f"energy_vs_{kind}": f"profile_energy_vs_{kind}" for kind in KINDS},
+}
+WEEKDAY_MEASURES = {
+    "share_max": "profile_max",
+    "share_min": "profile_min",
+    **{f"daily_energy_vs_{kind}": f"profile_daily_energy_vs_{kind}" for kind in KINDS},
+}
+HOUR_COLUMNS = _columns("hour_profile", "hour", HOURS, HOUR_MEASURES)
+WEEKDAY_COLUMNS = _columns("weekday_profile", "weekday", WEEKDAYS, WEEKDAY_MEASURES)
 
 
 def hour_profile_long(hours: DataFrame, days_per_year: int = DAYS_PER_YEAR) -> DataFrame:
@@ -54,18 +63,13 @@ def hour_profile_long(hours: DataFrame, days_per_year: int = DAYS_PER_YEAR) -> D
     )
 
 
+def hour_profile_packed(hours: DataFrame, days_per_year: int = DAYS_PER_YEAR) -> DataFrame:
+    return packed(hour_profile_long(hours, days_per_year), "hour", list(HOUR_MEASURES), "hour_profile")
+
+
 def hour_profile(hours: DataFrame, days_per_year: int = DAYS_PER_YEAR) -> DataFrame:
     """The 120 hour-profile columns."""
-    return _widen(
-        hour_profile_long(hours, days_per_year),
-        "hour",
-        HOURS,
-        {
-            "share_max": "profile_max",
-            "share_min": "profile_min",
-            **{f"energy_vs_{kind}": f"profile_energy_vs_{kind}" for kind in KINDS},
-        },
-    )
+    return hour_profile_packed(hours, days_per_year).selectExpr("bldg_id", *HOUR_COLUMNS)
 
 
 def daily_rows(hours: DataFrame, by_iso_year: bool = False) -> DataFrame:
@@ -108,17 +112,15 @@ def weekday_profile_long(
     )
 
 
+def weekday_profile_packed(
+    hours: DataFrame, weeks_per_year: int = WEEKS_PER_YEAR, by_iso_year: bool = False
+) -> DataFrame:
+    long = weekday_profile_long(hours, weeks_per_year, by_iso_year)
+    return packed(long, "weekday", list(WEEKDAY_MEASURES), "weekday_profile")
+
+
 def weekday_profile(
     hours: DataFrame, weeks_per_year: int = WEEKS_PER_YEAR, by_iso_year: bool = False
 ) -> DataFrame:
     """The 35 weekday-profile columns."""
-    return _widen(
-        weekday_profile_long(hours, weeks_per_year, by_iso_year),
-        "weekday",
-        WEEKDAYS,
-        {
-            "share_max": "profile_max",
-            "share_min": "profile_min",
-            **{f"daily_energy_vs_{kind}": f"profile_daily_energy_vs_{kind}" for kind in KINDS},
-        },
-    )
+    return weekday_profile_packed(hours, weeks_per_year, by_iso_year).selectExpr("bldg_id", *WEEKDAY_COLUMNS)

@@ -3,8 +3,8 @@
 Every mean and total is built from sums and counts that are merged in three steps: hours to cells
 (entity, month, weekday, hour, holiday flags), cells to two-way tables such as month x weekday, and
 two-way tables to the slices. Each step works on far fewer rows than the one before. All steps group
-by the entity first, so hours that are hashed by entity are never shuffled again. One pivot with a
-fixed value list turns slices into columns.
+by the entity first, so hours that are hashed by entity are never shuffled again. The slices of an
+entity end up in one map (see `packing`) that a projection turns into columns.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.calendar import season_of, tou_of
 from wattloom.functions.fixed_values import HOURS, MONTHS, SEASONS, TOU, WEEKDAYS
+from wattloom.operators.packing import column, packed
 
 DOMAINS = {
     "season": SEASONS,
@@ -129,51 +130,51 @@ MEASURES = {
 class TwoWay:
     """A table of cells by two keys `a` and `b`, and the dimensions that are functions of them.
 
-    `on` is the flag a cell must carry to take part.
+    `on` is the flag a cell must carry to take part. Dimensions are SQL over `a` and `b`.
     """
 
     a: str
     b: str
-    dims: dict[str, Column]
-    on: Column | None = None
-
-
-def _two_way_tables() -> list[TwoWay]:
-    a, b = F.col("a"), F.col("b")
-    weekend = (b >= 6).cast("int")
-    return [
-        TwoWay("month", "weekday", {"season": season_of(a), "month": a, "weekday": b, "is_weekend": weekend}),
-        TwoWay("month", "hour", {"season": season_of(a), "month": a, "hour": b, "tou": tou_of(b)}),
-        TwoWay("month", "tou", {"is_national_holiday": F.lit(1), "tou": b}, F.col("is_national_holiday")),
-        TwoWay("month", "tou", {"is_state_holiday": F.lit(1), "tou": b}, F.col("is_state_holiday")),
-        TwoWay("weeknum", "weekday", {"weeknum": a, "weekday": b, "is_weekend": weekend}),
-        TwoWay("weeknum", "tou", {"weeknum": a, "tou": b}),
-    ]
+    dims: dict[str, str]
+    on: str = "true"
+
+
+WEEKEND = "CAST(b >= 6 AS INT)"
+TWO_WAY = [
+    TwoWay("month", "weekday", {"season": season_of("a"), "month": "a", "weekday": "b", "is_weekend": WEEKEND}),
+    TwoWay("month", "hour", {"season": season_of("a"), "month": "a", "hour": "b", "tou": tou_of("b")}),
+    TwoWay("month", "tou", {"is_national_holiday": "1", "tou": "b"}, "is_national_holiday"),
+    TwoWay("month", "tou", {"is_state_holiday": "1", "tou": "b"}, "is_state_holiday"),
+    TwoWay("weeknum", "weekday", {"weeknum": "a", "weekday": "b", "is_weekend": WEEKEND}),
+    TwoWay("weeknum", "tou", {"weeknum": "a", "tou": "b"}),
+]
 
 
 def _merged(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy("bldg_id", *keys).agg(*[F.expr(f"{how}({name}) AS {name}") for name, how in MERGE.items()])
 
 
-def sliced(hours: DataFrame, slices: list[Slice]) -> DataFrame:
-    """One row per entity with the columns of all `slices`; totals of empty slices are 0, means are null."""
+def sliced_packed(hours: DataFrame, slices: list[Slice]) -> DataFrame:
+    """One row per entity with all slices in the map `slices`, keyed by the place of the column."""
     # The empty slice keeps one row per entity even when none of its hours falls in another.
     wanted = sorted({(), *(one.dims for one in slices)})
     by_table: dict[int, list[tuple[str, ...]]] = {}
-    tables = _two_way_tables()
     for dim_set in wanted:
-        source = next(place for place, one in enumerate(tables) if set(dim_set) <= set(one.dims))
+        source = next(place for place, one in enumerate(TWO_WAY) if set(dim_set) <= set(one.dims))
         by_table.setdefault(source, []).append(dim_set)
 
     # Cells to two-way tables.
     extra_keys = [key for key in (*FLAGS, "weeknum") if any(key in one.dims for one in slices)]
-    level = cells(hours, extra_keys).withColumn("tou", tou_of(F.col("hour")))
-    targets = []
-    for place in by_table:
-        one = tables[place]
-        entry = F.struct(F.lit(place).alias("table"), F.col(one.a).alias("a"), F.col(one.b).alias("b"))
-        targets.append(entry if one.on is None else F.when(one.on, entry))
-    spread = level.select("bldg_id", *MERGE, F.explode(F.array(*targets)).alias("to")).filter(F.col("to").isNotNull())
+    targets = ", ".join(
+        f"CASE WHEN {TWO_WAY[place].on} THEN struct({place} AS table, {TWO_WAY[place].a} AS a, {TWO_WAY[place].b} AS b) END"
+        for place in by_table
+    )
+    spread = (
+        cells(hours, extra_keys)
+        .selectExpr("*", f"{tou_of('hour')} AS tou")
+        .selectExpr("bldg_id", *MERGE, f"explode(array({targets})) AS to")
+        .filter("to IS NOT NULL")
+    )
     level = _merged(spread.select("bldg_id", *MERGE, "to.*"), "table", "a", "b")
 
     # Two-way tables to slices; a slice is numbered by its set of dimensions and its place in it.
@@ -182,62 +183,68 @@ def sliced(hours: DataFrame, slices: list[Slice]) -> DataFrame:
         starts[dim_set] = size
         size += math.prod(len(DOMAINS[dim]) for dim in dim_set)
 
-    def number(dim_set: tuple[str, ...], dims: dict[str, Column]) -> Column:
-        place = F.lit(0)
+    def number(dim_set: tuple[str, ...], dims: dict[str, str]) -> str:
+        place = "0"
         for dim in dim_set:
-            place = place * len(DOMAINS[dim]) + (dims[dim] - DOMAINS[dim][0])
-        return place + starts[dim_set]
+            place = f"({place} * {len(DOMAINS[dim])} + {dims[dim]} - {DOMAINS[dim][0]})"
+        return f"{place} + {starts[dim_set]}"
 
-    numbers = F
-    for place, dim_sets in by_table.items():
-        members = F.array(*[number(dim_set, tables[place].dims) for dim_set in dim_sets])
-        numbers = numbers.when(F.col("table") == place, members)
-    level = _merged(level.select("bldg_id", *MERGE, F.explode(numbers).alias("slice")), "slice")
+    numbers = " ".join(
+        f"WHEN {place} THEN array({', '.join(number(dim_set, TWO_WAY[place].dims) for dim_set in dim_sets)})"
+        for place, dim_sets in by_table.items()
+    )
+    level = _merged(level.selectExpr("bldg_id", *MERGE, f"explode(CASE table {numbers} END) AS slice"), "slice")
 
     # Slices to columns; the column number is its place in the list of names.
-    names = [name for one in slices for name in one.columns()]
-    first_column, column = {}, 0
+    first_column, position = {}, 0
     for one in slices:
-        first_column[one] = column
-        column += len(one.columns())
-    entries = F
+        first_column[one] = position
+        position += len(one.columns())
+    entries = []
     for dim_set in wanted:
-        inside = F.col("slice") - starts[dim_set]
         cases = [
-            F.struct((inside + first_column[one]).alias("column"), F.expr(MEASURES[one.measure]).cast("double").alias("value"))
+            f"struct(slice - {starts[dim_set]} + {first_column[one]} AS column, CAST({MEASURES[one.measure]} AS DOUBLE) AS value)"
             for one in slices
             if one.dims == dim_set
-        ] or [F.struct(F.lit(None).cast("int").alias("column"), F.lit(None).cast("double").alias("value"))]
-        count = math.prod(len(DOMAINS[dim]) for dim in dim_set)
-        entries = entries.when(F.col("slice").between(starts[dim_set], starts[dim_set] + count - 1), F.array(*cases))
-    totals = {name for one in slices if one.measure == "total" for name in one.columns()}
-    return (
-        level.select("bldg_id", F.inline(entries))
-        .groupBy("bldg_id")
-        .pivot("column", list(range(len(names))))
-        .agg(F.first("value"))
-        .selectExpr(
-            "bldg_id",
-            *[
-                f"coalesce(`{place}`, 0D) AS `{name}`" if name in totals else f"`{place}` AS `{name}`"
-                for place, name in enumerate(names)
-            ],
-        )
-    )
+        ] or ["struct(CAST(NULL AS INT) AS column, CAST(NULL AS DOUBLE) AS value)"]
+        end = starts[dim_set] + math.prod(len(DOMAINS[dim]) for dim in dim_set)
+        entries.append(f"WHEN slice < {end} THEN array({', '.join(cases)})")
+    spread = level.selectExpr("bldg_id", f"inline(CASE {' '.join(entries)} END)")
+    return packed(spread, "column", ["value"], "slices")
+
+
+def slice_columns(slices: list[Slice]) -> list[str]:
+    """Column expressions over `sliced_packed`; totals of empty slices are 0, means are null."""
+    named = [(name, "0D" if one.measure == "total" else None) for one in slices for name in one.columns()]
+    return [column("slices", place, "value", name, default) for place, (name, default) in enumerate(named)]
+
+
+def sliced(hours: DataFrame, slices: list[Slice]) -> DataFrame:
+    """One row per entity with the columns of all `slices`."""
+    return sliced_packed(hours, slices).selectExpr("bldg_id", *slice_columns(slices))
+
+
+def median_packed(hours: DataFrame) -> DataFrame:
+    """Exact median per entity and month (at most 744 hourly values per group and year)."""
+    medians = hours.groupBy("bldg_id", "month").agg(F.median("energy_consumption").alias("median"))
+    return packed(medians, "month", ["median"], "medians")
+
+
+MEDIAN_COLUMNS = [column("medians", month, "median", f"median_hour_consumption_month_{month}") for month in MONTHS]
 
 
 def monthly_median(hours: DataFrame) -> DataFrame:
-    """Exact median per entity and month (at most 744 hourly values per group and year), one column per month."""
-    return (
-        hours.groupBy("bldg_id", "month")
-        .agg(F.median("energy_consumption").alias("median"))
-        .groupBy("bldg_id")
-        .pivot("month", MONTHS)
-        .agg(F.first("median"))
-        .selectExpr("bldg_id", *[f"`{month}` AS median_hour_consumption_month_{month}" for month in MONTHS])
-    )
+    """One median column per month."""
+    return median_packed(hours).selectExpr("bldg_id", *MEDIAN_COLUMNS)
+
+
+def aggregation_packed(hours: DataFrame) -> DataFrame:
+    return sliced_packed(hours, LOAD_SLICES).join(median_packed(hours), "bldg_id", "left")
+
+
+AGGREGATION_COLUMNS = [*slice_columns(LOAD_SLICES), *MEDIAN_COLUMNS]
 
 
 def hour_aggregation(hours: DataFrame) -> DataFrame:
     """The 370 aggregate columns."""
-    return sliced(hours, LOAD_SLICES).join(monthly_median(hours), "bldg_id", "left")
+    return aggregation_packed(hours).selectExpr("bldg_id", *AGGREGATION_COLUMNS)
