@@ -426,8 +426,12 @@ FROM entities LEFT JOIN aggregates USING (bldg_id) LEFT JOIN work USING (bldg_id
 
 def rounded_times(df):
     """Epoch seconds have ten digits before the point; three after it are what a double can compare."""
-    names = [name for name in df.columns if name.startswith("time_") or "range_work" in name]
-    return df.withColumns({name: F.round(F.col(name) + F.lit(1.37e-6), 3) - F.lit(1.37e-9) for name in names})
+    return df.selectExpr(
+        *[
+            f"round(`{name}` + 1.37e-6D, 3) - 1.37e-9D AS `{name}`" if name.startswith("time_") or "range_work" in name else f"`{name}`"
+            for name in df.columns
+        ]
+    )
 
 
 def whole_row(spark, folder, hours):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattloom.session import configure
@@ -18,17 +17,17 @@ def shaped(df: DataFrame, digits: int = 6) -> DataFrame:
     """Integers as bigint, measures as rounded double, naive timestamps, dates as text."""
     columns = []
     for field in df.schema:
-        column = F.col(f"`{field.name}`")
+        text = f"`{field.name}`"
         if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            column = column.cast("bigint")
+            text = f"CAST({text} AS BIGINT)"
         elif isinstance(field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            column = F.round(column.cast("double") + F.lit(NUDGE * 10**-digits), digits)
+            text = f"round(CAST({text} AS DOUBLE) + {NUDGE * 10**-digits!r}D, {digits})"
         elif isinstance(field.dataType, T.TimestampType):
-            column = column.cast("timestamp_ntz")
+            text = f"CAST({text} AS TIMESTAMP_NTZ)"
         elif isinstance(field.dataType, T.DateType):
-            column = column.cast("string")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+            text = f"CAST({text} AS STRING)"
+        columns.append(f"{text} AS `{field.name}`")
+    return df.selectExpr(*columns)
 
 
 def r(expression: str, digits: int = 6) -> str:
