@@ -5,11 +5,11 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
 from tools.check import compare, connect
+from wattloom import catalog
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def con() -> duckdb.DuckDBPyConnection:
 
 
 def test_every_query_is_checked_or_trains_a_model():
-    unchecked = set(entry.queries()) - set(SQL)
+    unchecked = set(catalog.queries()) - set(SQL)
     assert unchecked == {
         "train_score_binary", "boosting_curve", "gain_importance", "permutation_importance",
         "train_score_multi", "mlp_score", "score_submission",
@@ -27,7 +27,7 @@ def test_every_query_is_checked_or_trains_a_model():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    query = entry.queries()[name](spark, SF)
+    query = catalog.queries()[name](spark, SF)
     plan = query._jdf.queryExecution().executedPlan().toString()
     for operator in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan
