@@ -1,22 +1,62 @@
-"""Documents to tokens, one operator after the other."""
+"""Documents to tokens: quality rules, near duplicates, benchmark contamination, secrets, byte-pair tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows it gets. All but the last return the columns of `docs`.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattloom.llm import ngram_join
+from wattloom.llm import bpe, decontaminate, ngram_join, quality_rules, secret_scan
 from wattloom.llm.shipping import ship
 from wattloom.session import scratch_path
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality policy rejects go."""
+    return quality_rules.kept_documents(docs, "v1")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
     ship(spark)
     return ngram_join.one_of_each(docs)
 
 
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover one word in twenty or more go."""
+    ship(spark)
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are replaced."""
+    ship(spark)
+    return secret_scan.redacted(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, its token ids, their number, and digests of the ids and of the decoded text."""
+    ship(spark)
+    encoded = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        ids.alias("ids"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 STAGES = [
+    ("quality_rules", quality),
     ("ngram_join", near_duplicates),
+    ("decontaminate", benchmark),
+    ("secret_scan", secrets),
+    ("bpe", tokens),
 ]
 
 #: Near duplicates and byte-pair tokens have no SQL form; tests compare with brute force.
@@ -26,8 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's result is written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattloom.llm import ngram_join
+from wattloom.llm import bpe, decontaminate, ngram_join, quality_rules, secret_scan
 from wattloom.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +23,84 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.col("spans")
+    base = secret_scan.of_kind(spans, *secret_scan.BASE_KINDS)
+    return secret_scan.found(table(spark, folder, "documents")).select(
+        "doc_id",
+        *[F.size(secret_scan.of_kind(spans, kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"),
+        secret_scan.as_text(spans).alias("spans"),
+    )
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    book = quality_rules.ledger(table(spark, folder, "documents"))
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality_rules.passes("base")).alias("base_failed"),
+        quality_rules.passes("v1").alias("kept"),
+        "n_lines", "failed_bits",
+    )
+
+
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    hits = decontaminate.scanned(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+        "longest",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_bpe": op3_bpe,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_quality_rules": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        m AS (
+            SELECT doc_id, text,
+                regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+                [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l
+            FROM d),
+        tri AS (
+            SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM m WHERE len(w) >= 3),
+        k AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM tri),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM k) WHERE c >= 2),
+        p AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+        x AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+                CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+                CAST(len(l) AS BIGINT) AS n_lines
+            FROM m LEFT JOIN p USING (doc_id)),
+        b AS (
+            SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
+                + 4 * (10 * n_symbols > 5 * n_words)::INT + 8 * (100 * n_dup_lines > 50 * n_lines)::INT
+                + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 14 * n_words)::INT AS BIGINT) AS failed_bits
+            FROM x)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 != 0 AS base_failed,
+            failed_bits = 0 AS kept, n_lines, failed_bits
+        FROM b
+    """,
+}
 
 
 def queries() -> dict[str, Query]:
