@@ -62,10 +62,6 @@ def _digest(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, key, np.uint64(0))
 
 
-def _ids(batch: pa.RecordBatch, chunk, name: str) -> np.ndarray:
-    return np.asarray(batch.column(name).slice(chunk.first, len(chunk)).to_numpy(zero_copy_only=False))
-
-
 def _digests(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """Per text: doc_id, n, cls. Besides, rows with doc_id null hold slices of the task's counters."""
 
@@ -80,7 +76,7 @@ def _digests(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 rows = len(chunk)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_ids(batch, chunk, "doc_id"), pa.int64()),
+                        batch.column("doc_id").slice(chunk.first, rows),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.array(_digest(sets, bounds).view(np.int64), pa.int64()),
                         pa.nulls(rows, pa.int32()),
@@ -281,10 +277,12 @@ def _forest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     blocks, first, second = (table.column(x).to_numpy() for x in ("block", "low", "high"))
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
     out: list[tuple] = []
-    groups: dict[tuple, list[int]] = {}
+    # A class comes once, also where rows of the same doc_id were read more than once.
+    met: dict[tuple, dict[int, int]] = {}
     for row, name in enumerate(zip(cells.tolist(), first.tolist(), second.tolist(), strict=True)):
-        groups.setdefault(name, []).append(row)
-    for (_, low, high), rows in groups.items():
+        met.setdefault(name, {}).setdefault(int(classes[row]), row)
+    for (_, low, high), members in met.items():
+        rows = list(members.values())
         side = None if low == high else blocks[rows]
         root = list(range(len(rows)))
         links = np.zeros(len(rows), np.int64)
@@ -314,9 +312,10 @@ def near_duplicates(
     long_list: int = LONG_LIST,
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """Per document of `docs` (doc_id unique, text): doc_id, n_shingles, component_id, n_links.
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, n_links.
 
-    Null, empty and wordless texts have n_shingles 0 and are their own component. A text with fewer than `size` words is
+    Null, empty and wordless texts have n_shingles 0 and are their own component. Rows that repeat a doc_id are taken one by
+    one; a row without doc_id is in no component (null), unless an equal text has an id. A text with fewer than `size` words is
     one shingle. n_links counts linked documents, equal sets included. Texts of any length are taken whole; their
     sets are held one at a time. Other columns of `docs` are ignored. An empty table gives no rows. Classes are told
     apart by a 64-bit digest (n documents share one by accident with probability n^2 / 2^65).
@@ -351,9 +350,11 @@ def near_duplicates(
             for chunk in chunks(batch):
                 found, bounds = shingle_sets(chunk, size)
                 own = pa.Table.from_batches([batch.slice(chunk.first, len(chunk))]).drop_columns(["text"])
+                # The text may belong to another row of the same doc_id.
+                mine = _digest(found, bounds).view(np.int64) == own.column("cls").to_numpy()
                 blobs = [found[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 own = own.append_column("shingles", pa.array(blobs, pa.binary()))
-                yield from own.to_batches()
+                yield from own.filter(pa.array(mine)).to_batches()
 
     wanted = placed.select(F.col("first_id").alias("doc_id"), "cell", "cls", "size", "blocks", "block")
     indexed = _needed_texts(docs, wanted).mapInArrow(
@@ -398,8 +399,8 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one document of each component: the one with the smallest doc_id. All columns stay.
 
-    Repeated rows of one doc_id are kept or dropped together.
+    Rows of one doc_id are kept or dropped together: kept if any of them stays. Rows without a doc_id stay.
     """
-    ids = near_duplicates(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), **options)
-    gone = ids.filter("component_id != doc_id").select("doc_id")
+    ids = near_duplicates(docs, **options)
+    gone = ids.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")).filter("not stays")
     return docs.join(gone, "doc_id", "left_anti")

@@ -87,9 +87,10 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         "coalesce(aggregate(_places, named_struct('last', -3, 'n', 0L),"
         " (a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last)), a -> a.n), 0L)"
     )
-    return places.select(*[F.col(f"_keep_{i}").alias(name) for i, name in enumerate(keep)], *[
-        covered.alias(name) if name == "n_repeat_words" else F.col(name) for name in MEASUREMENTS
-    ])
+    measures = F.struct(*[covered.alias(name) if name == "n_repeat_words" else F.col(name) for name in MEASUREMENTS])
+    # As a generator's output the measurements are computed once; a filter on them would else be pushed below and
+    # carry a copy of every array expression with it.
+    return places.select(*[F.col(f"_keep_{i}").alias(name) for i, name in enumerate(keep)], F.inline(F.array(measures)))
 
 
 def failures(measurements: DataFrame) -> DataFrame:
