@@ -31,7 +31,7 @@ _PIECES = re.compile(f"[^{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+", regex.V1)
 #: Entries per generation of a worker's memory of words; two generations are kept.
-GENERATION = 200_000
+GENERATION = 100_000
 
 
 class Memory:
@@ -227,7 +227,7 @@ def encode_texts(path: str, texts: list[str | None]) -> Iterator[tuple[str, str,
         yield " ".join(ids), " ".join(plain), sum(counts)
 
 
-def _groups(texts: list[str | None], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` characters, or of one longer text."""
     start = size = 0
     for row, text in enumerate(texts):
