@@ -25,6 +25,9 @@ EXAMPLES = 3000
 #: Terms, at most, and the chi-square value they need.
 TERMS = 600
 LEAST_CHI2 = 12.0
+#: How many times likelier, in odds, a text with the term has to be toxic. Words that are merely common in toxic texts
+#: tell little, and would give every document a vector that no block bound rules out.
+LEAST_LIFT = 4.0
 NEIGHBOURS = 25
 BLOCK = 64
 PREFIXES = (5, 7)
@@ -136,7 +139,8 @@ def _vocabulary(sample: DataFrame, most: int) -> Vocabulary:
     expected = F.col("n") * toxic / total
     spread = expected * (1 - F.col("n") / total) * clean / total + F.lit(1e-9)
     chi2 = F.when(F.col("hit") > expected, (F.col("hit") - expected) ** 2 / spread).otherwise(F.lit(0.0))
-    ranked = counts.filter("n >= 4").withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
+    lifted = F.col("hit") * clean >= LEAST_LIFT * toxic * (F.col("n") - F.col("hit"))
+    ranked = counts.filter("n >= 4").filter(lifted).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
     best = ranked.orderBy(F.desc("chi2"), "term", "level").limit(most).collect()
     if not best:
         return Vocabulary(none, none)
