@@ -238,7 +238,7 @@ def nation_fact_texts(spark, folder):
 def fact_sheets(spark, folder):
     """One CSV sheet per region with the nations as columns, note columns in between and a footnote below."""
     long = nation_fact_texts(spark, folder)
-    nations = table(spark, folder, "nation").select("n_regionkey", "n_name").orderBy("n_name").limit(1000).collect()
+    nations = table(spark, folder, "nation").select("n_regionkey", "n_name").orderBy("n_name").collect()
     paths = []
     for region in sorted({row["n_regionkey"] for row in nations}):
         names = [row["n_name"] for row in nations if row["n_regionkey"] == region]
@@ -289,7 +289,7 @@ def econ_unpivot_pivot(spark, folder):
 @query("econ_clean", f"{FACTS_SQL} SELECT CAST(substr(state, 8) AS BIGINT) AS state, {FACT_COLUMNS} FROM numbers")
 def econ_clean(spark, folder):
     """One numeric row per state code from text cells."""
-    names = [row["n_name"] for row in table(spark, folder, "nation").limit(1000).collect()]
+    names = [row["n_name"] for row in table(spark, folder, "nation").select("n_name").collect()]
     codes = {name: int(name.rpartition("_")[2]) for name in names}
     return economics(nation_fact_texts(spark, folder).drop("n_regionkey"), FACT_NAMES, codes)
 

@@ -11,6 +11,13 @@ from wattloom.functions.order_keys import bucket_of, order_key
 from wattloom.session import cut_lineage
 
 
+def _join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which null equals null."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = [left[key].eqNullSafe(renamed[f"_right_{key}"]) for key in keys]
+    return left.join(renamed, same).drop(*[f"_right_{key}" for key in keys])
+
+
 def rank_in_group(
     df: DataFrame, groups: Sequence[str], key: Column, rank: str = "rank", by: Sequence[str] | None = None
 ) -> DataFrame:
@@ -18,7 +25,7 @@ def rank_in_group(
 
     A group is cut into 4,096 ordered buckets: the rank is the number of rows in earlier buckets plus
     the position inside the bucket. Join and window use the same (group, bucket) keys, so a group that
-    holds a third of all rows is spread over its buckets. Groups must not be null.
+    holds a third of all rows is spread over its buckets. Rows with a null group are a group of their own.
 
     With `by` (a leading part of `groups`) ranks go on from group to group within `by`.
     """
@@ -37,10 +44,10 @@ def rank_in_group(
             .withColumn("_start", F.coalesce(F.sum("_n").over(earlier_groups), F.lit(0)))
             .drop("_n")
         )
-        offsets = offsets.join(starts, list(groups)).withColumn("_before", F.col("_before") + F.col("_start")).drop("_start")
+        offsets = _join_nulls(offsets, starts, groups).withColumn("_before", F.col("_before") + F.col("_start")).drop("_start")
     position = F.row_number().over(Window.partitionBy(*slots).orderBy("_key"))
     return (
-        keyed.join(offsets, slots)
+        _join_nulls(keyed, offsets, slots)
         .withColumn(rank, F.col("_before") + position - 1)
         .drop("_key", "_bucket", "_before")
     )
