@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from wattloom.catalog.standins import shipment_readings
 from wattloom.functions.fixed_values import CENSUS_FACTS, STATES
+from wattloom.functions.order_keys import order_key
+from wattloom.operators.ranking import rank_in_group
 from wattloom.operators.rollup import hourly
 from wattloom.plans import run
 from wattloom.streaming.arrivals import absorb_new_files, read_hours
@@ -14,8 +16,8 @@ SF = "/root/testdata/sf0.01"
 
 
 def raw(spark):
-    """Raw layout: text states, dotted names."""
-    letters = F.element_at(F.array(*[F.lit(state) for state in STATES]), (F.col("state") + 1).cast("int"))
+    """Raw layout: text states (every other one is missing), dotted names."""
+    letters = F.element_at(F.array(*[F.lit(state) for state in STATES]), (2 * F.col("state") + 1).cast("int"))
     return shipment_readings(spark, SF).select(
         "timestamp", F.col("energy_consumption").alias("out.electricity.total.energy_consumption"),
         letters.alias("in.state"), "bldg_id",
@@ -35,7 +37,9 @@ def test_raw_to_submission(spark, tmp_path):
         F.when(~commercial, F.element_at(F.array(F.lit("1"), F.lit("2")), ((F.col("bldg_id") - 1) % 4 / 2 + 1).cast("int"))).alias("in.bedrooms_res"),
     ).write.parquet(str(tmp_path / "raw_labels"))
     header = ",".join(['"Fact","Fact Note"'] + [f'"{name}","Value Note for {name}"' for name in STATES.values()])
-    lines = [header] + [",".join([f'"{fact}",""'] + ['"1,000",""'] * len(STATES)) for fact in CENSUS_FACTS]
+    # Another value for every state, so that facts under a wrong code show.
+    values = [f'"{1000 + i}",""' for i in range(len(STATES))]
+    lines = [header] + [",".join([f'"{fact}",""', *values]) for fact in CENSUS_FACTS]
     (tmp_path / "sheet.csv").write_text("\n".join(lines))
 
     layout = run.Layout(
@@ -58,6 +62,12 @@ def test_raw_to_submission(spark, tmp_path):
     assert gold.count() == 60 + 16
     assert len(gold.columns) == 4 + 585 + 63
     assert gold.filter("bldg_id >= 30000").count() == 16
+    letters = {row["code"]: row["value"] for row in run._codes(spark, layout, "train_data").collect()}
+    short = next(iter(CENSUS_FACTS.values()))
+    places = list(STATES)
+    facts = gold.select("state", F.col(f"`{short}`").alias("fact")).distinct().collect()
+    assert len(facts) > 1 and len(letters) < len(STATES)
+    assert all(row["fact"] == 1000 + places.index(letters[row["state"]]) for row in facts)
 
     run.train(spark, layout)
     run.submit(spark, layout)
@@ -82,3 +92,9 @@ def test_arriving_files_are_counted_once(spark, tmp_path):
     total = read_hours(spark, hours).agg(F.sum("energy_consumption")).first()[0]
     want = readings.unionByName(readings.filter("bldg_id = 0").limit(50)).agg(F.sum("`out.electricity.total.energy_consumption`")).first()[0]
     assert total == want
+
+
+def test_rank_keeps_rows_of_a_null_group(spark):
+    rows = spark.range(40).selectExpr("id", "if(id < 10, null, id % 3) as class")
+    got = rank_in_group(rows, ["class"], order_key(0, "id")).groupBy("class").agg(F.max("rank").alias("last")).collect()
+    assert {row["class"]: row["last"] for row in got} == {None: 9, 0: 9, 1: 9, 2: 9}

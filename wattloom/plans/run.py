@@ -45,8 +45,10 @@ def build_silver(
     spark: SparkSession, layout: Layout, train: str, labels: str, test: str | None = None, sheets: Sequence[str] = ()
 ) -> None:
     """Hourly readings, encoded labels, the mapper and the economics table."""
-    hours = hourly(typed_readings(scan(spark, train)))
-    state_codes = enc.fit_codes(hours.select("bldg_id", "state"), ["state"])
+    readings = typed_readings(scan(spark, train))
+    hours = hourly(readings)
+    # The states of the raw rows: no rollup for them alone.
+    state_codes = enc.fit_codes(readings.select("bldg_id", "state"), ["state"])
     raw_labels = scan(spark, labels)
     coded_labels, maps = silver_labels(raw_labels, spark)
     label_codes = spark.createDataFrame(
@@ -63,7 +65,9 @@ def build_silver(
         write.parquet(enc.encode(test_hours, state_map), layout.at("silver", "test_hours"))
     write.parquet(coded_labels, layout.at("silver", "labels"))
     if sheets:
-        write.parquet(read_economics(spark, sheets), layout.at("silver", "economics"))
+        # The training data's own codes; facts of states that it lacks belong to no building.
+        facts = read_economics(spark, sheets, state_map["state"]).filter("state is not null")
+        write.parquet(facts, layout.at("silver", "economics"))
 
 
 def add_buildings(
@@ -78,7 +82,9 @@ def add_buildings(
     ids = first_ids(tagged, ["build_type", "state"], sample)
     united = diagonal_union(*[with_suffix(rows, suffix[kind], kind) for kind, rows in metadata.items()])
     sampled = of_sampled(united, ids)
-    renamed, mapping = renumbered(sampled)
+    # New ids begin above all that the training data has.
+    largest = spark.read.parquet(layout.at("silver", "labels")).agg(F.max("bldg_id")).first()[0]
+    renamed, mapping = renumbered(sampled, max(30_000, (largest or 0) + 1))
     maps = enc.as_maps(_codes(spark, layout, "train_label"))
     write.parquet(
         enc.encode(renamed.withColumnRenamed("build_type", layout.binary), maps), layout.at("silver", "additional_labels")
