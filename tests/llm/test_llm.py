@@ -110,6 +110,17 @@ def test_ngram_join_blocks_and_long_lists_change_nothing(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked_components(texts)
 
 
+def test_ngram_join_bands_of_length_lose_no_link(spark):
+    """Beginnings of one text, 20 to 260 words long, in one cell cut into many blocks over many bands."""
+    words = [f"v{i}" for i in range(260)]
+    texts = {i: " ".join(words[: 20 + (i * 37) % 241]) for i in range(120)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = ngram_join.near_duplicates(frame, long_list=3).collect()
+    cut = ngram_join.near_duplicates(frame, long_list=3, block_shingles=500).collect()
+    assert sorted(cut) == sorted(whole)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in cut} == linked_components(texts)
+
+
 def test_ngram_join_hard_cases(hard):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.near_duplicates(hard).collect())
     assert [x[2] for x in got if x[0] in (1, 2, 3)] == [1, 2, 3]

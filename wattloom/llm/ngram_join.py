@@ -10,7 +10,8 @@ Every text is a set of word shingles; two texts link when 100 * |A & B| >= 80 *
    incompatible lengths go. A list of more than `long_list` classes is not expanded; it ties its classes together.
 4. Classes that are tied form cells. A cell's sets are indexed in memory, each set queries the index: the lists that
    are short there are merged by counting, survivors are looked up in the long ones by binary search, and the exact
-   overlap decides. A cell larger than `block_shingles` is worked in blocks, one task per pair of blocks.
+   overlap decides. A cell larger than `block_shingles` is worked in blocks of sets of like length, one task per
+   pair of blocks whose lengths allow a link.
 5. Components of the links; a component's id is its smallest document id.
 
 Results are whole: no list, cell or pair is capped. Steps 2 to 4 only leave out pairs that cannot reach T.
@@ -42,6 +43,8 @@ BLOCK_SHINGLES = 4_000_000
 ID_BITS = 1 << 23
 #: Lengths are compared in steps of 5 %; a similarity of 0.8 spans at most 5 of them.
 STEP, SPAN = 1.05, 5
+#: Large cells are cut into bands of length; sets of one similarity of 0.8 are at most one band apart.
+BAND, BAND_SLOTS = 1.25, 1 << 32
 
 
 def _least_overlap(n: np.ndarray) -> np.ndarray:
@@ -305,6 +308,35 @@ def _forest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("a", "b", "links"), columns, strict=True)})
 
 
+def _placed(members: DataFrame, block_shingles: int) -> DataFrame:
+    """Members of cells (cell, cls, n, ...) with their block and the blocks, their own included, that it meets.
+
+    A cell of at most `block_shingles` shingles is one block, -1. A larger one is cut by length, each band a quarter longer
+    than the one before, and a band by hash into blocks of that size. Sets that link differ in length by a quarter at
+    most, so a block meets those of its own and of both neighbouring bands, not those of the whole cell.
+    """
+    large = members.groupBy("cell").agg(F.sum("n").alias("_total")).filter(F.col("_total") > block_shingles).select("cell")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long")
+    banded = members.join(large, "cell").withColumn("_band", band)
+    slots = banded.groupBy("cell", "_band").agg(F.ceil(F.sum("n") / block_shingles).cast("long").alias("_slots"))
+    first = F.expr(f"_band * {BAND_SLOTS}L")
+    near = (
+        slots.withColumn("_own", F.expr("sequence(0L, _slots - 1)"))
+        .select("cell", F.transform("_own", lambda slot: first + slot).alias("_blocks"), F.explode(F.expr("sequence(_band - 1, _band + 1)")).alias("_band"))
+        .groupBy("cell", "_band")
+        .agg(F.flatten(F.collect_list("_blocks")).alias("others"))
+    )
+    cut = (
+        banded.join(slots.join(near, ["cell", "_band"]), ["cell", "_band"])
+        .withColumn("block", first + F.expr("pmod(xxhash64(cls), _slots)"))
+        .drop("_band", "_slots")
+    )
+    whole = members.join(large, "cell", "left_anti").withColumns(
+        {"block": F.lit(-1).cast("long"), "others": F.array(F.lit(-1).cast("long"))}
+    )
+    return whole.unionByName(cut)
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -334,16 +366,7 @@ def near_duplicates(
     )
     cells = components(ties).select(F.col("node").alias("cls"), F.col("label").alias("cell"))
     members = cut_lineage(cells.join(classes, "cls"))
-    big = (
-        members.groupBy("cell")
-        .agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-        .filter("blocks > 1")
-    )
-    placed = (
-        members.join(big, "cell", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
-    )
+    placed = _placed(members, block_shingles)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,16 +379,16 @@ def near_duplicates(
                 own = own.append_column("shingles", pa.array(blobs, pa.binary()))
                 yield from own.filter(pa.array(mine)).to_batches()
 
-    wanted = placed.select(F.col("first_id").alias("doc_id"), "cell", "cls", "size", "blocks", "block")
+    wanted = placed.select(F.col("first_id").alias("doc_id"), "cell", "cls", "size", "block", "others")
     indexed = _needed_texts(docs, wanted).mapInArrow(
-        sets, "doc_id long, cell long, cls long, size long, blocks int, block int, shingles binary"
+        sets, "doc_id long, cell long, cls long, size long, block long, others array<long>, shingles binary"
     )
     paired = (
-        indexed.withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
+        indexed.withColumn("other", F.explode("others"))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         .withColumn(
             "bucket",
-            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(parts))).otherwise(
+            F.when(F.col("block") < 0, F.pmod(F.xxhash64("cell"), F.lit(parts))).otherwise(
                 F.xxhash64("cell", "low", "high")
             ),
         )
