@@ -41,6 +41,10 @@ HEADLINE = [
     "importance_template",
     "oof_scores",
     "predict_table",
+    "train_score_binary",
+    "train_score_multi",
+    "permutation_importance",
+    "score_submission",
     "nullout_decode",
 ]
 

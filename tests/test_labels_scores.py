@@ -74,13 +74,15 @@ def test_dictionaries(spark, tmp_path):
     assert [row[0] for row in kept.collect()] == ["x", "z"]
 
 
-def test_dictionary_wider_than_a_byte_is_refused(spark):
-    rows = spark.range(300).select(F.col("id").alias("bldg_id"), F.concat(F.lit("v"), F.col("id")).alias("kind"))
+def test_dictionary_of_any_width(spark):
+    rows = spark.range(1000).select(F.col("id").alias("bldg_id"), F.concat(F.lit("v"), F.col("id")).alias("kind"), F.lit("x").alias("other"))
     codes = enc.fit_codes(rows)
-    with pytest.raises(ValueError):
-        enc.as_maps(codes)
-    joined = enc.encode_by_join(rows, codes, ["kind"])
-    assert joined.select("kind").distinct().count() == 300
+    assert codes.groupBy("column").agg(F.min("code"), F.max("code"), F.count_distinct("code")).orderBy("column").collect() == [
+        ("kind", 0, 999, 1000), ("other", 0, 0, 1)
+    ]
+    joined = enc.encode_by_join(rows, codes, ["kind", "other"])
+    assert joined.select("kind").distinct().count() == 1000
+    assert enc.decode_by_join(joined, codes, ["kind", "other"]).exceptAll(rows).isEmpty()
 
 
 def test_folds(spark):

@@ -44,7 +44,7 @@ def test_raw_to_submission(spark, tmp_path):
 
     layout = run.Layout(
         str(tmp_path / "work"), ("building_stock_type", "in_vintage_com", "in_bedrooms_res"), folds=2,
-        model={"numTrees": 2, "maxDepth": 2},
+        model={"maxIter": 2, "maxDepth": 2},
     )
     run.build_silver(
         spark, layout, str(tmp_path / "raw_train"), str(tmp_path / "raw_labels"), str(tmp_path / "raw_test"), [str(tmp_path / "sheet.csv")]
@@ -69,7 +69,16 @@ def test_raw_to_submission(spark, tmp_path):
     assert len(facts) > 1 and len(letters) < len(STATES)
     assert all(row["fact"] == 1000 + places.index(letters[row["state"]]) for row in facts)
 
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
     run.train(spark, layout)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+    curves = spark.read.parquet(layout.at("reports", "curves"))
+    assert curves.groupBy("target", "fold").count().filter("count <> 2").isEmpty()
+    assert curves.select("target", "fold").distinct().count() == 3 * 2
+    oof = spark.read.parquet(layout.at("reports", "out_of_fold")).filter("target = 'building_stock_type'")
+    assert oof.select("bldg_id").distinct().count() == 60 + 16
+    used = spark.read.parquet(layout.at("reports", "importance")).filter("target = 'building_stock_type'")
+    assert used.count() == 585 + 63 + 1 and not used.filter("feature = 'state'").isEmpty()
     run.submit(spark, layout)
     submission = spark.read.parquet(layout.at("submission")).toPandas()
     assert submission.bldg_id.tolist() == list(range(80, 100))

@@ -56,10 +56,52 @@ def test_last_boosting_round_is_the_model(spark):
 def test_donors_are_a_permutation_without_fixed_rows(spark):
     from pyspark.sql import functions as F
 
-    from wattloom.operators.models import _donors
+    from wattloom.operators.models import donor_pairs
 
-    valid = spark.range(101).select(F.col("id").alias("bldg_id"), F.lit(0).alias("label"), F.col("id").cast("double").alias("x"))
+    rows = spark.range(101).select(F.col("id").alias("bldg_id"))
     for repetition in range(3):
-        pairs = _donors(valid, ["x"], repetition, 0, "bldg_id").collect()
-        assert sorted(row["_donor_x"] for row in pairs) == [float(n) for n in range(101)]
-        assert all(row["_donor_x"] != row["x"] for row in pairs)
+        pairs = donor_pairs(rows, repetition).collect()
+        assert sorted(row["bldg_id"] for row in pairs) == sorted(row["donor"] for row in pairs) == list(range(101))
+        assert all(row["donor"] != row["bldg_id"] for row in pairs)
+
+
+def test_one_scan_and_no_shuffle_for_all_models(spark, tmp_path):
+    """A chain of models gives what the long form gives, from one scan."""
+    import re
+
+    from wattloom.catalog.training import TEXT_FEATURES, document_gold
+    from wattloom.operators import ensemble, models
+
+    document_gold(spark, SF).write.parquet(str(tmp_path / "gold"))
+    gold = spark.read.parquet(str(tmp_path / "gold"))
+    fitted = {
+        kind: models.train_target(gold, "quality", TEXT_FEATURES, 2, 3, kind=kind, parallel=3, **params)
+        for kind, params in {"gbt": {"maxIter": 2, "maxDepth": 2}, "forest": {"numTrees": 2, "maxDepth": 2}, "logistic": {"maxIter": 3}}.items()
+    }
+    classes = models.predicted_classes(fitted, gold)
+    plan = classes._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan|Scan parquet", plan)) == 1 and "Exchange" not in plan
+    got = {row["bldg_id"]: row.asDict() for row in classes.collect()}
+    for kind, fold_models in fitted.items():
+        long = ensemble.predicted_class(ensemble.blend(models.predict_folds(fold_models, gold, kind), 3))
+        assert {row["bldg_id"]: row["code"] for row in long.collect()} == {key: row[kind] for key, row in got.items()}
+
+
+def test_importance_of_a_category_and_of_noise(spark):
+    """A forest that can only use the category loses its score when that is permuted, and nothing by the constant."""
+    from pyspark.sql import functions as F
+
+    from wattloom.operators import models
+
+    gold = spark.range(200).select(
+        F.col("id").alias("bldg_id"), (F.col("id") % 2).cast("int").alias("y"), F.lit(1.0).alias("flat"),
+        F.when(F.col("id") % 2 == 1, 5).cast("int").alias("kind"),
+        F.when(F.col("id") % 4 < 2, "t, v").otherwise("v, t").alias("fold_info"),
+    )
+    slots = models.feature_slots(["flat"], {"kind": 8})
+    assert slots == [("flat", 0, 1), ("kind", 1, 9)]
+    fitted = models.train_target(gold, "y", ["flat"], 2, 2, kind="forest", categorical={"kind": 8}, numTrees=3, maxDepth=2)
+    lost = {row["feature"]: row["importance"] for row in models.permutation_importance(fitted, gold, "y", slots, 2).collect()}
+    assert lost["flat"] == 0 and lost["kind"] > 0.3
+    gains = {row["feature"]: row["gain"] for row in models.gains(fitted, "y", slots, spark).filter("fold = 0").collect()}
+    assert gains == {"flat": 0.0, "kind": 1.0}

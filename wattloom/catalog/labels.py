@@ -14,6 +14,8 @@ from wattloom.operators.ranking import dense_ids, first_ids, first_k, random_ids
 from wattloom.operators.statistics import columns_containing, distinct_count, feature_columns
 from wattloom.plans.jobs import folds_of_targets, read_gold, write_gold
 from wattloom.session import scratch_path
+from wattloom.sources import write
+from wattloom.sources.tables import table_profile, typed_labels
 
 QUERIES, SQL, query = registry()
 
@@ -132,13 +134,14 @@ def fold_info(spark, folder):
 @query(
     "fold_split",
     f"""{FOLDS_OF_TARGETS}
-SELECT bldg_id, code, split_part(fold_info, ', ', 3) AS current_fold FROM folds
-WHERE target = 'in_bedrooms_res' AND split_part(fold_info, ', ', 3) = 'v'""",
+SELECT bldg_id, target, code, CAST(split AS BIGINT) AS split, split_part(fold_info, ', ', CAST(split + 1 AS INTEGER)) AS current_fold
+FROM folds, range(5) splits(split) WHERE split_part(fold_info, ', ', CAST(split + 1 AS INTEGER)) = 'v'""",
 )
 def fold_split(spark, folder):
-    """Validation rows of the third split of one target."""
-    rows = folds_of_targets(customer_labels(spark, folder), TARGETS).filter(F.col("target") == "in_bedrooms_res")
-    return cv.fold_split(rows, 2)[1].select("bldg_id", "code", "current_fold")
+    """Validation rows of every split of all targets."""
+    rows = folds_of_targets(customer_labels(spark, folder), TARGETS)
+    splits = [cv.fold_split(rows, split)[1].withColumn("split", F.lit(split)) for split in range(5)]
+    return diagonal_union(*splits).select("bldg_id", "target", "code", "split", "current_fold")
 
 
 @query(
@@ -180,15 +183,42 @@ def label_feature_join(spark, folder):
 @query(
     "gold_write_read",
     f"""{FOLDS_OF_TARGETS}
-SELECT bldg_id, code AS in_vintage_com, fold_info, total, orders FROM folds JOIN ({ORDER_FEATURES}) USING (bldg_id)
-WHERE target = 'in_vintage_com'""",
+SELECT bldg_id, target, code, fold_info, total, orders FROM folds JOIN ({ORDER_FEATURES}) USING (bldg_id)""",
     digits=3,
 )
 def gold_write_read(spark, folder):
-    """Features and folds written as the gold layer, one target read back."""
+    """Features and folds written as the gold layer, every target read back."""
     path = scratch_path(spark, "gold")
-    write_gold(order_features(spark, folder), folds_of_targets(customer_labels(spark, folder), TARGETS), path)
-    return read_gold(spark, path, "in_vintage_com")
+    write_gold(order_features(spark, folder), folds_of_targets(customer_labels(spark, folder), TARGETS), path, TARGETS)
+    rows = [read_gold(spark, path, name).withColumnRenamed(name, "code").withColumn("target", F.lit(name)) for name in TARGETS]
+    return diagonal_union(*rows)
+
+
+@query("typed_labels", f"WITH {CUSTOMER_LABELS} SELECT bldg_id, {', '.join(f'CAST(coalesce({t}, -1) AS BIGINT) AS {t}' for t in TARGETS)} FROM labelled")
+def typed_labels_(spark, folder):
+    """Label codes read from text, as integers (none is shown as -1)."""
+    labels = customer_labels(spark, folder)
+    typed = typed_labels(labels.select("bldg_id", *[F.col(target).cast("string").alias(target) for target in TARGETS]), TARGETS)
+    return typed.na.fill(-1)
+
+
+@query("submission_write", f"WITH {CUSTOMER_LABELS} SELECT bldg_id, CAST(coalesce(in_bedrooms_res, -1) AS BIGINT) AS in_bedrooms_res, CAST(coalesce(in_vintage_com, -1) AS BIGINT) AS in_vintage_com FROM labelled")
+def submission_write(spark, folder):
+    """The sorted submission, written and read back (none is shown as -1)."""
+    path = scratch_path(spark, "submission")
+    write.submission(customer_labels(spark, folder).select("bldg_id", "in_bedrooms_res", "in_vintage_com"), path)
+    return spark.read.parquet(path).na.fill(-1)
+
+
+@query(
+    "table_profile",
+    """
+SELECT 'nation' AS table_name, 'n_nationkey,n_name,n_regionkey' AS "columns", CAST(3 AS BIGINT) AS n_columns, count(*) AS n_rows FROM nation
+UNION ALL SELECT 'orders', 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority', 6, count(*) FROM orders""",
+)
+def table_profile_(spark, folder):
+    """Names and number of columns and number of rows of two tables."""
+    return diagonal_union(*[table_profile(table(spark, folder, name), name) for name in ("nation", "orders")])
 
 
 @query("semi_join_ids", "SELECT o_orderkey, o_custkey AS bldg_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -339,10 +369,10 @@ def part_dictionary(spark, folder):
     return enc.fit_codes(fitted, ["p_brand", "p_type"])
 
 
-@query("category_dictionary", f'WITH {DICTIONARY} SELECT "column", value, code FROM dictionary')
+@query("category_dictionary", f"WITH {DICTIONARY} SELECT \"column\", value, code FROM dictionary".replace(" WHERE p_size < 25 AND p_type <> 'SMALL'", ""))
 def category_dictionary(spark, folder):
-    """Sorted distinct values of several columns, numbered per column."""
-    return part_dictionary(spark, folder)
+    """Sorted distinct values of several columns of the whole table, numbered per column."""
+    return enc.fit_codes(table(spark, folder, "part"), ["p_brand", "p_type"])
 
 
 ENCODED = f"""WITH {DICTIONARY}
@@ -383,12 +413,9 @@ def category_decode(spark, folder):
 
 @query(
     "category_decode_long",
-    f"""WITH {DICTIONARY}
-SELECT bldg_id, target, code, d.value FROM (
-  SELECT p_partkey AS bldg_id, 'p_brand' AS target, p_partkey % 30 AS code FROM part
-) LEFT JOIN dictionary d ON d."column" = target AND d.code = code_of(code)""".replace("code_of(code)", "p.code").replace(
-        "FROM part\n)", "FROM part\n) p"
-    ).replace("SELECT bldg_id, target, code, d.value", "SELECT p.bldg_id, p.target, p.code, d.value"),
+    f"""WITH {DICTIONARY},
+predicted AS (SELECT p_partkey AS bldg_id, 'p_brand' AS target, p_partkey % 30 AS code FROM part)
+SELECT p.bldg_id, p.target, p.code, d.value FROM predicted p LEFT JOIN dictionary d ON d."column" = p.target AND d.code = p.code""",
 )
 def category_decode_long(spark, folder):
     """Predicted codes in long form joined to the inverse dictionary."""

@@ -68,14 +68,13 @@ def scan_cast_project(spark, folder):
 
 @query(
     "compact_by_state",
-    f"{SHIPMENT_BASE} {HOURS_SQL.format(e=r('e'))} WHERE state < 10",
+    f"{SHIPMENT_BASE} {HOURS_SQL.format(e=r('e'))}",
 )
 def compact_by_state(spark, folder):
-    """Raw readings rolled up and written in balanced files per state, then read for some states."""
+    """Raw readings rolled up and written in balanced files per state, then read back."""
     path = scratch_path(spark, "hours")
     write.partitioned(hourly(shipment_readings(spark, folder)), path, "state")
-    kept = scan(spark, path).filter(F.col("state") < 10)
-    return named_hours(kept)
+    return named_hours(scan(spark, path))
 
 
 @query(
@@ -289,15 +288,19 @@ def econ_unpivot_pivot(spark, folder):
 @query("econ_clean", f"{FACTS_SQL} SELECT CAST(substr(state, 8) AS BIGINT) AS state, {FACT_COLUMNS} FROM numbers")
 def econ_clean(spark, folder):
     """One numeric row per state code from text cells."""
-    names = [row["n_name"] for row in table(spark, folder, "nation").select("n_name").collect()]
-    codes = {name: int(name.rpartition("_")[2]) for name in names}
+    code = F.substring_index("n_name", "_", -1).cast("int")
+    codes = table(spark, folder, "nation").select(F.col("n_name").alias("value"), code.alias("code"))
     return economics(nation_fact_texts(spark, folder).drop("n_regionkey"), FACT_NAMES, codes)
 
 
 @query(
     "percent_facts",
-    """SELECT fact, fact LIKE '%percent' AS is_percent FROM
-(VALUES ('Households'), ('Building share, percent'), ('Balance ($)'), ('Largest balance'), ('Debtor share, percent')) v(fact)""",
+    f"""{FACTS_SQL}
+SELECT 'Households' AS fact, count(*) < 0 AS is_percent FROM facts
+UNION ALL SELECT 'Building share, percent', bool_or(floor(building / n * 1000) >= 180) FROM facts
+UNION ALL SELECT 'Balance ($)', count(*) < 0 FROM facts
+UNION ALL SELECT 'Largest balance', count(*) < 0 FROM facts
+UNION ALL SELECT 'Debtor share, percent', bool_or(debtors >= 0) FROM facts""",
 )
 def percent_fact_flags(spark, folder):
     """Facts of which any cell carries a percent sign."""
@@ -306,13 +309,25 @@ def percent_fact_flags(spark, folder):
 
 @query(
     "fact_pivot",
-    f"""{FACTS_SQL} SELECT state, CAST(households AS BIGINT) AS "Households", CAST(floor(debtor_share * 100 + 0.5) AS BIGINT) AS "Debtor share, percent" FROM numbers""",
+    f"""{FACTS_SQL}
+SELECT n.state, CAST(households AS BIGINT) AS "Households", CAST(f.balance AS BIGINT) AS "Balance ($)",
+       CASE WHEN CAST(f.largest AS BIGINT) % 4 = 0 THEN 'S' ELSE CAST(CAST(f.largest AS BIGINT) AS VARCHAR) END AS "Largest balance",
+       CASE WHEN floor(f.building / f.n * 1000) < 180 THEN 'Z' ELSE CAST(CAST(floor(f.building / f.n * 1000) AS BIGINT) AS VARCHAR) END AS "Building share, percent",
+       CAST(floor(f.debtors * 100 / f.n) AS BIGINT) AS "Debtor share, percent"
+FROM numbers n JOIN facts f USING (state)""",
 )
 def fact_pivot(spark, folder):
-    """Facts to columns, still as text but for the signs."""
-    wide = pivot_facts(nation_fact_texts(spark, folder), ["Households", "Debtor share, percent"])
+    """All facts to columns, still as text but for the signs."""
+    wide = pivot_facts(nation_fact_texts(spark, folder), NATION_FACTS)
+
+    def plain(name, signs):
+        return F.translate(F.col(f"`{name}`"), signs, "")
+
     return wide.select(
         "state",
-        F.replace(F.col("Households"), F.lit(",")).cast("long").alias("Households"),
-        F.replace(F.col("`Debtor share, percent`"), F.lit("%")).cast("long").alias("Debtor share, percent"),
+        plain("Households", ",").cast("long").alias("Households"),
+        plain("Balance ($)", "$,").cast("long").alias("Balance ($)"),
+        plain("Largest balance", ",").alias("Largest balance"),
+        plain("Building share, percent", ".%").alias("Building share, percent"),
+        plain("Debtor share, percent", "%").cast("long").alias("Debtor share, percent"),
     )

@@ -10,9 +10,9 @@ from wattloom.operators import models
 from wattloom.operators.ensemble import blend, predicted_class
 from wattloom.operators.folds import fold_info, stratified_folds
 from wattloom.operators.importance import average_importance
-from wattloom.operators.scoring import best_iteration, macro_f1
+from wattloom.operators.scoring import best_iteration
 from wattloom.plans.jobs import folds_of_targets, read_gold, score, write_gold
-from wattloom.session import scratch_path
+from wattloom.session import cut_lineage, scratch_path
 
 QUERIES, SQL, query = registry()
 
@@ -36,7 +36,7 @@ def document_gold(spark, folder):
     )
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("bldg_id"), "quality")
     dealt = stratified_folds(labels, "quality", TRAINING_FOLDS).withColumn("fold_info", fold_info(F.col("fold"), TRAINING_FOLDS))
-    return dealt.drop("fold").join(features, "bldg_id").persist()
+    return cut_lineage(dealt.drop("fold").join(features, "bldg_id"))
 
 
 def quality_models(gold, kind="gbt", **params):
@@ -66,7 +66,7 @@ def boosting_curve(spark, folder):
 def gain_importance(spark, folder):
     """Mean gain of each feature over the fold models."""
     trained = quality_models(document_gold(spark, folder), kind="forest", numTrees=5, maxDepth=4)
-    return average_importance(models.gains(trained, "quality", TEXT_FEATURES, spark), TRAINING_FOLDS)
+    return average_importance(models.gains(trained, "quality", models.feature_slots(TEXT_FEATURES), spark), TRAINING_FOLDS)
 
 
 @query("permutation_importance")
@@ -74,7 +74,7 @@ def permutation_importance(spark, folder):
     """Score lost when a feature is permuted within each validation fold."""
     gold = document_gold(spark, folder)
     trained = quality_models(gold, kind="forest", numTrees=5, maxDepth=4)
-    return models.permutation_importance(trained, gold, "quality", TEXT_FEATURES, repetitions=2)
+    return models.permutation_importance(trained, gold, "quality", models.feature_slots(TEXT_FEATURES), repetitions=2)
 
 
 @query("train_score_multi")
@@ -83,15 +83,40 @@ def train_score_multi(spark, folder):
     gold = document_gold(spark, folder)
     coded = gold.withColumn("lang_code", F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")) - 1)
     coded = coded.withColumns(
-        {"lang_code": F.greatest("lang_code", F.lit(0)).cast("int"), "length_class": F.least(F.floor(F.log10(F.col("n_chars") + 1)), F.lit(4)).cast("int")}
+        {"lang_code": F.col("lang_code").cast("int"), "length_class": F.least(F.floor(F.log10(F.col("n_chars") + 1)), F.lit(4)).cast("int")}
     )
     trained = models.train_target(
         coded, "length_class", ["n_words", "digit_share", "upper_share", "mean_word"], 5, TRAINING_FOLDS,
         kind="forest", categorical={"lang_code": 4}, numTrees=5, maxDepth=5,
     )
-    rows = models.out_of_fold(trained, coded, "length_class")
-    best = rows.groupBy("bldg_id", "fold", "label").agg(F.max(F.struct("probability", -F.col("class")))["col2"].alias("c"))
-    return macro_f1(best.withColumn("predicted", -F.col("c")), "label", "predicted", ["fold"])
+    return models.out_of_fold_f1(models.out_of_fold(trained, coded, "length_class")).drop("target")
+
+
+@query(
+    "out_of_fold_rows",
+    """
+SELECT doc_id AS bldg_id, CAST(fold AS BIGINT) AS fold, CAST(quality AS BIGINT) AS label, CAST(2 AS BIGINT) AS classes, CAST(1 AS BIGINT) AS total
+FROM (SELECT doc_id, quality, (row_number() OVER (ORDER BY quality, md5('0:' || doc_id)) - 1) % 3 AS fold FROM labels)
+JOIN (SELECT doc_id FROM documents) USING (doc_id) WHERE quality IS NOT NULL""",
+)
+def out_of_fold_rows(spark, folder):
+    """Every labelled document is scored once, by the boosted model of the fold that it is not trained in, cut at two rounds."""
+    gold = document_gold(spark, folder)
+    rows = models.out_of_fold(quality_models(gold, maxIter=3, maxDepth=2), gold, "quality", rounds=2)
+    return rows.groupBy("bldg_id", "fold", "label").agg(
+        F.count_distinct("class").alias("classes"), F.round(F.sum("probability"), 6).cast("long").alias("total")
+    )
+
+
+@query(
+    "donor_pairs",
+    """
+WITH ranked AS (SELECT c_custkey AS bldg_id, row_number() OVER (ORDER BY md5('0-1:' || c_custkey)) - 1 AS place, count(*) OVER () AS n FROM customer)
+SELECT r.bldg_id, d.bldg_id AS donor FROM ranked r JOIN ranked d ON d.place = (r.place + 1 + (7919 * 2) % greatest(r.n - 1, 1)) % r.n""",
+)
+def donor_pairs(spark, folder):
+    """Every customer with the customer that lends it a feature in a permutation."""
+    return models.donor_pairs(table(spark, folder, "customer").select(F.col("c_custkey").alias("bldg_id")), repetition=1)
 
 
 @query("mlp_score")
@@ -103,7 +128,7 @@ def mlp_score(spark, folder):
     size, classes = vectors.agg(F.max(F.size("embedding")), F.max("label") + 1).first()
     names = [f"v{number}" for number in range(size)]
     wide = vectors.select("bldg_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(name) for i, name in enumerate(names)])
-    gold = stratified_folds(wide, "label", 2).withColumn("fold_info", fold_info(F.col("fold"), 2)).persist()
+    gold = cut_lineage(stratified_folds(wide, "label", 2).withColumn("fold_info", fold_info(F.col("fold"), 2)))
     model = models.train_fold(gold, "label", 0, names, classes, kind="mlp", hidden=[16], maxIter=10)
     return model.transform(gold).select("bldg_id", "label", F.col("prediction").cast("int").alias("predicted"))
 
@@ -118,7 +143,7 @@ def score_submission(spark, folder):
         .agg(F.sum("o_totalprice").alias("total"), F.avg("o_totalprice").alias("mean"), F.count(F.lit(1)).cast("double").alias("orders"))
     )
     path = scratch_path(spark, "gold")
-    write_gold(features, folds_of_targets(customer_labels(spark, folder), targets, k=2), path)
+    write_gold(features, folds_of_targets(customer_labels(spark, folder), targets, k=2), path, targets)
     trained = {
         target: models.train_target(
             read_gold(spark, path, target), target, ["total", "mean", "orders"], classes, 2, kind="forest", numTrees=3, maxDepth=3
@@ -130,4 +155,6 @@ def score_submission(spark, folder):
         "in_heating_fuel_com": {"DistrictHeating": 0, "Electricity": 1, "FuelOil": 2, "NaturalGas": 3, "Propane": 4},
         "in_bedrooms_res": {str(number + 1): number for number in range(5)},
     }
-    return score(trained, spark.read.parquet(f"{path}/features"), maps)
+    rows = [(target, value, code) for target, entries in maps.items() for value, code in entries.items()]
+    codes = spark.createDataFrame(rows, "column string, value string, code int")
+    return score(trained, spark.read.parquet(f"{path}/features"), codes)

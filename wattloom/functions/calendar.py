@@ -68,7 +68,7 @@ def with_holidays(hours: DataFrame, state_holidays: DataFrame | None = None) ->
     """Add `is_national_holiday` and `is_state_holiday`; needs `day` and, for the latter, `state`.
 
     `state_holidays` has (state, day). Days that are national holidays do not count as state holidays.
-    The join carries no hint: the optimizer broadcasts the table when its size is below the threshold.
+    It is bounded by states x days and broadcast: a shuffle by so few keys would make hot tasks.
     """
     out = hours.withColumn("is_national_holiday", is_federal_holiday("day"))
     if state_holidays is None:
@@ -80,6 +80,6 @@ def with_holidays(hours: DataFrame, state_holidays: DataFrame | None = None) ->
         .distinct()
         .withColumn("is_state_holiday", F.lit(True))
     )
-    return out.join(dates, ["state", "day"], "left").withColumn(
+    return out.join(F.broadcast(dates), ["state", "day"], "left").withColumn(
         "is_state_holiday", F.coalesce("is_state_holiday", F.lit(False))
     )

@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattloom.functions.fixed_values import ORDINAL_LEVELS, safe_name
-from wattloom.operators.joins import join_small
+from wattloom.operators.ranking import running_total
 
-MAX_CODES = 256  # codes are one unsigned byte wide
-MAX_DICTIONARY = 256 * MAX_CODES
 CODES_SCHEMA = "column string, value string, code int"
 
 
@@ -26,15 +24,20 @@ def string_columns(df: DataFrame, entity: str = "bldg_id") -> list[str]:
 def fit_codes(df: DataFrame, columns: Sequence[str] | None = None, entity: str = "bldg_id") -> DataFrame:
     """(column, value, code) with the sorted distinct values of each string column numbered from 0.
 
-    One pass over all columns; only distinct (column, value) pairs are shuffled and numbered.
+    One pass over all columns; only distinct (column, value) pairs are shuffled. They are numbered by range, so a
+    column with very many values is not sorted in one task.
     """
     columns = list(columns or string_columns(df, entity))
     pairs = F.explode(
         F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).alias("value")) for name in columns])
     ).alias("pair")
     values = df.select(pairs).select("pair.column", "pair.value").filter(F.col("value").isNotNull()).distinct()
-    place = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
-    return values.withColumn("code", place)
+    numbered = running_total(values.withColumn("_one", F.lit(1)), ["column", "value"], {"_one": "_place"})
+    starts = numbered.groupBy("column").agg(F.min("_place").alias("_start"))
+    # One row per column of the schema.
+    return numbered.join(F.broadcast(starts), "column").select(
+        "column", "value", (F.col("_place") - F.col("_start")).cast("int").alias("code")
+    )
 
 
 def ordinal_codes(spark: SparkSession, levels: dict[str, list[str]] | None = None) -> DataFrame:
@@ -51,13 +54,10 @@ def with_ordinal_order(codes: DataFrame, ordinal: DataFrame) -> DataFrame:
 
 
 def as_maps(codes: DataFrame) -> dict[str, dict[str, int]]:
-    """The dictionary on the driver; refuses more codes than the code width allows."""
-    rows = codes.limit(MAX_DICTIONARY + 1).collect()
+    """The dictionary on the driver, for dictionaries of a fixed list of values. Jobs encode by join."""
     maps: dict[str, dict[str, int]] = {}
-    for row in rows:
+    for row in codes.collect():
         maps.setdefault(row["column"], {})[row["value"]] = row["code"]
-    if len(rows) > MAX_DICTIONARY or any(len(entries) > MAX_CODES for entries in maps.values()):
-        raise ValueError(f"a column has more than {MAX_CODES} codes; use encode_by_join")
     return maps
 
 
@@ -75,22 +75,31 @@ def lookup_or_keep(mapping: dict, key: Column) -> Column:
 def encode(df: DataFrame, maps: dict[str, dict[str, int]]) -> DataFrame:
     """Replace values by codes, unknown values by null: literal maps, no join."""
     return df.withColumns(
-        {name: lookup(maps[name], F.col(name)).cast("smallint") for name in maps if name in df.columns}
+        {name: lookup(maps[name], F.col(name)).cast("int") for name in maps if name in df.columns}
     )
 
 
-def encode_by_join(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """As `encode` for dictionaries of any size: one equi-join per column, broadcast only after a check of its size."""
+def _replaced(df: DataFrame, codes: DataFrame, columns: Sequence[str], key: str, value: str) -> DataFrame:
     out = df
     for name in columns:
-        side = codes.filter(F.col("column") == name).select(F.col("value").alias(name), F.col("code").alias("_code"))
-        out = join_small(out, side, [name]).withColumn(name, F.col("_code")).drop("_code")
+        side = codes.filter(F.col("column") == name).select(F.col(key).alias(name), F.col(value).alias("_new"))
+        out = out.join(side, [name], "left").withColumn(name, F.col("_new")).drop("_new")
     return out.select(*df.columns)
 
 
+def encode_by_join(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """As `encode` for dictionaries of any size: one equi-join per column."""
+    return _replaced(df, codes, columns, "value", "code")
+
+
+def decode_by_join(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """As `decode` for dictionaries of any size: one equi-join per column."""
+    return _replaced(df, codes, columns, "code", "value")
+
+
 def decode_long(predictions: DataFrame, codes: DataFrame) -> DataFrame:
     """(…, target, code) -> (…, target, code, value) with the inverse dictionary."""
-    return join_small(predictions, codes.select(F.col("column").alias("target"), "code", "value"), ["target", "code"])
+    return predictions.join(codes.select(F.col("column").alias("target"), "code", "value"), ["target", "code"], "left")
 
 
 def decode(df: DataFrame, maps: dict[str, dict[str, int]]) -> DataFrame:

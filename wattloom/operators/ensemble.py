@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import BINARY_TARGET
-from wattloom.operators.joins import join_small
+from wattloom.operators.joins import join_bounded
 
 
 def at_best_iteration(predictions: DataFrame, best: DataFrame) -> DataFrame:
     """Predictions of each target at its best epoch; `best` has one row per target."""
     chosen = best.select("target", (F.col("best_epoch") - 1).alias("iteration"))
-    return join_small(predictions, chosen, ["target", "iteration"], "inner")
+    return join_bounded(predictions, chosen, ["target", "iteration"], "inner")
 
 
 def blend(predictions: DataFrame, folds: int, entity: str = "bldg_id") -> DataFrame:
@@ -28,11 +28,11 @@ def blend(predictions: DataFrame, folds: int, entity: str = "bldg_id") -> DataFr
 
 
 def predicted_class(blended: DataFrame, entity: str = "bldg_id") -> DataFrame:
-    """Most probable class, the first on a tie.
+    """Most probable class, the first on a tie (of 12 digits, so the order of summation does not count).
 
     A target with class 1 alone is a binary score: 1 when above one half.
     """
-    best = F.max(F.struct("probability", (-F.col("class")).alias("c")))
+    best = F.max(F.struct(F.round("probability", 12).alias("probability"), (-F.col("class")).alias("c")))
     per_target = blended.groupBy(entity, "target").agg(
         best.alias("best"), F.count(F.lit(1)).alias("n"), F.max("class").alias("only")
     )
@@ -80,5 +80,5 @@ def prior_margin(labels: DataFrame) -> DataFrame:
 
 
 def with_prior_margin(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return join_small(rows, prior_margin(labels), ["target"])
+    return join_bounded(rows, prior_margin(labels), ["target"])
 

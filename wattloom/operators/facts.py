@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import CENSUS_FACTS, STATE_CODES, STATES
 from wattloom.functions.text import amount_to_number, percent_to_share
-from wattloom.operators.encode import lookup, lookup_or_keep
+from wattloom.operators.encode import lookup_or_keep
+from wattloom.operators.joins import join_bounded
 
 
 def unpivot_states(sheet: DataFrame, fact: str = "Fact") -> DataFrame:
@@ -34,12 +35,18 @@ def pivot_facts(long: DataFrame, facts: Sequence[str]) -> DataFrame:
     return long.groupBy("state").pivot("fact", list(facts)).agg(F.first("value", ignorenulls=True))
 
 
-def economics(long: DataFrame, names: dict[str, str] = CENSUS_FACTS, state_codes: dict[str, int] = STATE_CODES) -> DataFrame:
-    """The economics table: state code and the renamed numeric facts."""
+def economics(long: DataFrame, names: dict[str, str] = CENSUS_FACTS, state_codes: DataFrame | None = None) -> DataFrame:
+    """The economics table: state code and the renamed numeric facts.
+
+    `state_codes` has (value, code), one row per state; without it the fixed codes of all states are taken.
+    """
+    if state_codes is None:
+        state_codes = long.sparkSession.createDataFrame(list(STATE_CODES.items()), "value string, code int")
     by_name = {name.upper(): code for code, name in STATES.items()}
     abbreviation = lookup_or_keep(by_name, F.upper(F.col("state")))
     wide = pivot_facts(clean_facts(long.filter(F.col("fact").isin(list(names)))), names)
-    return wide.select(
-        lookup(state_codes, abbreviation).cast("int").alias("state"),
+    coded = join_bounded(wide.withColumn("value", abbreviation), state_codes.select("value", "code"), ["value"])
+    return coded.select(
+        F.col("code").cast("int").alias("state"),
         *[F.col(f"`{fact}`").alias(short) for fact, short in names.items()],
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from wattloom.functions.fixed_values import ALL_TARGETS, BINARY_TARGET, FOLDS, safe_name
 from wattloom.functions.order_keys import order_key
 from wattloom.functions.text import target_class
-from wattloom.operators.joins import join_small
 from wattloom.operators.ranking import rank_in_group
 
 
@@ -87,8 +86,8 @@ def label_set_folds(
         .groupBy("_set")
         .agg(F.min(F.struct("_label_n", "_label"))["_label"].alias("_rarest"))
     )
-    # A frequent combination is never in `rarest`; broadcasting it keeps the rows where they are.
-    strata = join_small(tagged, rarest, ["_set"]).withColumn("_stratum", F.coalesce(F.concat(F.lit("pool:"), "_rarest"), "_set"))
+    # A frequent combination is never in `rarest`; adaptive execution splits it should the rows be shuffled.
+    strata = tagged.join(rarest, ["_set"], "left").withColumn("_stratum", F.coalesce(F.concat(F.lit("pool:"), "_rarest"), "_set"))
     start = F.conv(F.substring(F.md5(F.col("_stratum").cast("binary")), 1, 4), 16, 10).cast("long")
     ranked = rank_in_group(strata, ["_stratum"], order_key(seed, entity), "_rank")
     return ranked.withColumn("fold", F.pmod(F.col("_rank") + start, F.lit(k)).cast("int")).drop(

@@ -1,4 +1,4 @@
-"""Joins with a side that is expected to be small."""
+"""Joins with a side that does not grow with the data."""
 
 from __future__ import annotations
 
@@ -7,19 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
 
+def join_bounded(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join with a side of at most one row per state, target or iteration: it is broadcast without counting.
 
-def small(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast the side if counting shows at most `max_rows`; otherwise leave the choice to the optimizer.
-
-    Counting stops at the bound. It matters where the join key has few values: shuffling the large side
-    by such a key would put a hot value into one task.
+    Any other side is joined plainly; the optimizer and adaptive execution choose by its measured bytes.
     """
-    if side.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(side)
-    return side
-
-
-def join_small(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    return rows.join(small(side), list(keys), how)
+    return rows.join(F.broadcast(side), list(keys), how)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import BINARY_SHARE, DETAIL_SHARE
 from wattloom.functions.text import target_class
-from wattloom.operators.joins import join_small
+from wattloom.operators.joins import join_bounded
 from wattloom.operators.ranking import running_total
 
 
@@ -103,9 +103,9 @@ def curve_statistics(curves: DataFrame) -> DataFrame:
 
 
 def best_iteration(curves: DataFrame, metric: str, maximize: bool = True) -> DataFrame:
-    """The iteration with the best mean over folds, the first on a tie."""
+    """The iteration with the best mean over folds, the first on a tie (of 12 digits)."""
     sign = 1 if maximize else -1
-    best = F.max(F.struct((sign * F.col("average")).alias("s"), (-F.col("iteration")).alias("i"), "average", "std"))
+    best = F.max(F.struct(F.round(sign * F.col("average"), 12).alias("s"), (-F.col("iteration")).alias("i"), "average", "std"))
     return (
         curve_statistics(curves.filter(F.col("metric") == metric))
         .groupBy("target")
@@ -166,7 +166,7 @@ def baseline_summary(detail: DataFrame) -> DataFrame:
 def fold_score_table(scores: DataFrame, best: DataFrame, folds: int) -> DataFrame:
     """Scores at the best iteration as columns fold_0.. and their mean; `scores` is (target, fold, iteration, score)."""
     epochs = best.select("target", (F.col("best_epoch") - 1).alias("iteration"))
-    chosen = join_small(scores, epochs, ["target", "iteration"], "inner")
+    chosen = join_bounded(scores, epochs, ["target", "iteration"], "inner")
     names = [f"fold_{fold}" for fold in range(folds)]
     wide = (
         chosen.withColumn("fold", F.concat(F.lit("fold_"), F.col("fold").cast("string")))

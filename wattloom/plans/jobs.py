@@ -9,31 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions.fixed_values import ALL_TARGETS, BINARY_TARGET, FOLDS, safe_name
-from wattloom.operators.encode import as_maps, decode, encode, fit_codes, ordinal_codes, with_ordinal_order
-from wattloom.operators.ensemble import blend, null_out, predict_table, predicted_class
+from wattloom.operators.encode import decode_by_join, fit_codes, ordinal_codes, with_ordinal_order
+from wattloom.operators.ensemble import null_out
 from wattloom.operators.folds import fold_info, long_labels, stratified_folds
-from wattloom.operators.gold import feature_row
-from wattloom.operators.models import predict_folds
-from wattloom.operators.rollup import hourly
+from wattloom.operators.models import predicted_classes
 from wattloom.sources import write
-from wattloom.sources.tables import scan, typed_readings
 
 
-def hours_by_state(raw: DataFrame, path: str) -> None:
-    """Compact raw readings into hourly files per state: one scan, one rollup, balanced files."""
-    write.partitioned(hourly(typed_readings(raw)), path, "state")
-
-
-def silver_hours(spark: SparkSession, raw_path: str, table: str, buckets: int) -> DataFrame:
-    """Roll raw interval readings up into an hourly table bucketed by building."""
-    write.bucketed_table(hourly(typed_readings(scan(spark, raw_path))), table, buckets)
-    return spark.table(table)
-
-
-def silver_labels(raw: DataFrame, spark: SparkSession) -> tuple[DataFrame, dict[str, dict[str, int]]]:
-    """Encoded labels and their dictionary; ordinal targets get their fixed order before encoding."""
-    maps = as_maps(with_ordinal_order(fit_codes(raw), ordinal_codes(spark)))
-    return encode(raw, maps), maps
+def label_codes(raw: DataFrame, spark: SparkSession) -> DataFrame:
+    """The dictionary of the labels; ordinal targets get their fixed order before anything is encoded."""
+    return with_ordinal_order(fit_codes(raw), ordinal_codes(spark))
 
 
 def folds_of_targets(
@@ -46,43 +31,30 @@ def folds_of_targets(
     return dealt.withColumn("fold_info", fold_info(F.col("fold"), k))
 
 
-def write_gold(features: DataFrame, folds: DataFrame, folder: str) -> None:
-    """Features once, labels and folds as a narrow table per target; they are joined when read."""
-    write.parquet(features, f"{folder}/features")
-    write.partitioned(folds, f"{folder}/folds", "target")
-
+def write_gold(features: DataFrame, folds: DataFrame, folder: str, targets: Sequence[str]) -> None:
+    """The folds as a narrow table per target, and one row per building with its features, codes and folds of all targets.
 
-def read_gold(spark: SparkSession, folder: str, target: str) -> DataFrame:
-    """The training rows of one target: its folder of labels joined to the features."""
-    labels = spark.read.parquet(f"{folder}/folds").filter(F.col("target") == target)
-    return labels.select("bldg_id", F.col("code").alias(target), "fold_info").join(
-        spark.read.parquet(f"{folder}/features"), "bldg_id", "inner"
+    The wide features meet the labels in one join here, so reading a target is a scan without a shuffle.
+    """
+    write.partitioned(folds, f"{folder}/folds", "target")
+    wide = folds.groupBy("bldg_id").pivot("target", list(targets)).agg(
+        F.first("code").alias("code"), F.first("fold_info").alias("fold_info")
     )
+    write.parquet(features.join(wide, "bldg_id", "left"), f"{folder}/features")
 
 
-def write_gold_by_target(features: DataFrame, folds: DataFrame, path: str) -> None:
-    """One folder per target with label, fold_info and all features, for readers that want plain files."""
-    write.partitioned(folds.drop("fold").join(features, "bldg_id", "inner"), path, "target")
-
-
-def gold_features(hours: DataFrame, economics: DataFrame, state_holidays: DataFrame | None = None, cluster: bool = True) -> DataFrame:
-    return feature_row(hours, economics, state_holidays, cluster)
+def read_gold(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """The training rows of one target: bldg_id, its code, fold_info and the features."""
+    rows = spark.read.parquet(f"{folder}/features")
+    features = [name for name in rows.columns if name != "bldg_id" and not name.endswith(("_code", "_fold_info"))]
+    code = F.col(f"{target}_code")
+    return rows.filter(code.isNotNull()).select("bldg_id", code.alias(target), F.col(f"{target}_fold_info").alias("fold_info"), *features)
 
 
 def score(
-    models: dict[str, Sequence[PipelineModel]], rows: DataFrame, maps: dict[str, dict[str, int]], binary: str = BINARY_TARGET
+    models: dict[str, Sequence[PipelineModel]], rows: DataFrame, codes: DataFrame, binary: str = BINARY_TARGET,
+    rounds: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Blend the fold models of every target, decode, and null the targets of the other building kind.
-
-    All targets have the same number of folds; their predictions are shuffled once, by entity.
-    """
-    folds = {len(fold_models) for fold_models in models.values()}
-    if len(folds) != 1:
-        raise ValueError("every target needs the same number of fold models")
-    predictions = None
-    for target, fold_models in models.items():
-        one = predict_folds(fold_models, rows, target)
-        predictions = one if predictions is None else predictions.unionByName(one)
-    table = predict_table(predicted_class(blend(predictions, folds.pop())), list(models))
-    decoded = decode(table, {target: maps[target] for target in models if target in maps})
-    return null_out(decoded, list(models), binary)
+    """Blend the fold models of every target, decode, and null the targets of the other building kind."""
+    table = predicted_classes(models, rows, rounds)
+    return null_out(decode_by_join(table, codes, list(models)), list(models), binary)

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from wattloom.functions.fixed_values import ALL_TARGETS, BINARY_TARGET, FOLDS, safe_name
 from wattloom.operators import encode as enc
 from wattloom.operators import importance, models, scoring
-from wattloom.operators.gold import feature_row
+from wattloom.operators.gold import dated_hours, load_features, narrow_hours, with_economics
 from wattloom.operators.metadata import aligned_union, diagonal_union, of_ids, of_sampled, renumbered, with_suffix
 from wattloom.operators.ranking import first_ids
 from wattloom.operators.rollup import hourly
 from wattloom.operators.statistics import feature_columns
-from wattloom.plans.jobs import folds_of_targets, read_gold, score, silver_labels, write_gold
+from wattloom.plans.jobs import folds_of_targets, label_codes, read_gold, score, write_gold
 from wattloom.sources import write
 from wattloom.sources.census import read_economics
 from wattloom.sources.tables import read_codes, scan, typed_readings
@@ -31,7 +31,13 @@ class Layout:
     targets: tuple[str, ...] = tuple(map(safe_name, ALL_TARGETS))
     binary: str = BINARY_TARGET
     folds: int = FOLDS
-    model: dict = field(default_factory=lambda: {"numTrees": 50, "maxDepth": 8})
+    #: `boosted` (binary or one per class, cut at the best round), `forest`, `logistic` or `mlp`, and its parameters.
+    kind: str = "boosted"
+    model: dict = field(default_factory=lambda: {"maxIter": 50, "maxDepth": 5})
+    #: Fits of one target in flight.
+    parallel: int = 5
+    #: CSV of (feature, type, baseline) scores to compare with.
+    baseline: str | None = None
 
     def at(self, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), *parts])
@@ -41,6 +47,16 @@ def _codes(spark: SparkSession, layout: Layout, dataset: str) -> DataFrame:
     return read_codes(spark, layout.at("silver", "mapper")).filter(F.col("dataset") == dataset).drop("dataset")
 
 
+def _sizes(codes: DataFrame) -> dict[str, int]:
+    """Number of codes per column of the dictionary: one row per column."""
+    return {row["column"]: row["n"] for row in codes.groupBy("column").agg((F.max("code") + 1).alias("n")).collect()}
+
+
+def _coded_columns(df: DataFrame, codes: DataFrame) -> list[str]:
+    known = _sizes(codes)
+    return [name for name in df.columns if name in known]
+
+
 def build_silver(
     spark: SparkSession, layout: Layout, train: str, labels: str, test: str | None = None, sheets: Sequence[str] = ()
 ) -> None:
@@ -50,23 +66,21 @@ def build_silver(
     # The states of the raw rows: no rollup for them alone.
     state_codes = enc.fit_codes(readings.select("bldg_id", "state"), ["state"])
     raw_labels = scan(spark, labels)
-    coded_labels, maps = silver_labels(raw_labels, spark)
-    label_codes = spark.createDataFrame(
-        [("train_label", name, value, code) for name, entries in maps.items() for value, code in entries.items()],
-        "dataset string, column string, value string, code int",
+    codes = state_codes.withColumn("dataset", F.lit("train_data")).unionByName(
+        label_codes(raw_labels, spark).withColumn("dataset", F.lit("train_label"))
     )
-    write.codes_json(
-        state_codes.withColumn("dataset", F.lit("train_data")).unionByName(label_codes), layout.at("silver", "mapper")
-    )
-    state_map = enc.as_maps(_codes(spark, layout, "train_data"))
-    write.parquet(enc.encode(hours, state_map), layout.at("silver", "train_hours"))
+    write.codes_json(codes, layout.at("silver", "mapper"))
+    coded_states, coded_labels = F.broadcast(_codes(spark, layout, "train_data")), _codes(spark, layout, "train_label")
+    write.parquet(enc.encode_by_join(hours, coded_states, ["state"]), layout.at("silver", "train_hours"))
     if test:
         test_hours = hourly(typed_readings(scan(spark, test)))
-        write.parquet(enc.encode(test_hours, state_map), layout.at("silver", "test_hours"))
-    write.parquet(coded_labels, layout.at("silver", "labels"))
+        write.parquet(enc.encode_by_join(test_hours, coded_states, ["state"]), layout.at("silver", "test_hours"))
+    write.parquet(
+        enc.encode_by_join(raw_labels, coded_labels, _coded_columns(raw_labels, coded_labels)), layout.at("silver", "labels")
+    )
     if sheets:
         # The training data's own codes; facts of states that it lacks belong to no building.
-        facts = read_economics(spark, sheets, state_map["state"]).filter("state is not null")
+        facts = read_economics(spark, sheets, coded_states.select("value", "code")).filter("state is not null")
         write.parquet(facts, layout.at("silver", "economics"))
 
 
@@ -85,14 +99,15 @@ def add_buildings(
     # New ids begin above all that the training data has.
     largest = spark.read.parquet(layout.at("silver", "labels")).agg(F.max("bldg_id")).first()[0]
     renamed, mapping = renumbered(sampled, max(30_000, (largest or 0) + 1))
-    maps = enc.as_maps(_codes(spark, layout, "train_label"))
+    named = renamed.withColumnRenamed("build_type", layout.binary)
+    known = _codes(spark, layout, "train_label")
     write.parquet(
-        enc.encode(renamed.withColumnRenamed("build_type", layout.binary), maps), layout.at("silver", "additional_labels")
+        enc.encode_by_join(named, known, _coded_columns(named, known)),
+        layout.at("silver", "additional_labels"),
     )
     numbered = tagged.join(mapping, ["build_type", "bldg_id"]).withColumn("bldg_id", F.col("new_id")).drop("new_id")
-    state_map = enc.as_maps(_codes(spark, layout, "train_data"))
     # Folders by the state's letters, codes inside.
-    coded = enc.encode(numbered.withColumn("folder", F.col("state")), state_map)
+    coded = enc.encode_by_join(numbered.withColumn("folder", F.col("state")), F.broadcast(_codes(spark, layout, "train_data")), ["state"])
     write.partitioned(coded, layout.at("silver", "additional_hours"), "build_type", "folder")
 
 
@@ -108,49 +123,91 @@ def build_gold(spark: SparkSession, layout: Layout, add: bool = False, state_hol
         hours = aligned_union(hours, spark.read.parquet(layout.at("silver", "additional_hours")))
         labels = aligned_union(labels, spark.read.parquet(layout.at("silver", "additional_labels")))
     labelled = of_ids(hours, labels)
-    commercial = enc.as_maps(_codes(spark, layout, "train_label"))[layout.binary]["commercial"]
-    folds = folds_of_targets(labels, layout.targets, layout.folds, commercial_code=commercial)
-    write_gold(feature_row(labelled, _economics(spark, layout), state_holidays), folds, layout.at("gold"))
+    kinds = _codes(spark, layout, "train_label").filter((F.col("column") == layout.binary) & (F.col("value") == "commercial"))
+    folds = folds_of_targets(labels, layout.targets, layout.folds, commercial_code=kinds.first()["code"])
+    narrow = narrow_hours(labelled, state_holidays)
+    features = with_economics(load_features(dated_hours(narrow)), _economics(spark, layout))
+    write_gold(features, folds, layout.at("gold"), layout.targets)
+    narrow.unpersist()
 
 
 def build_test_gold(spark: SparkSession, layout: Layout, state_holidays: DataFrame | None = None) -> None:
     """Feature rows of the test buildings."""
-    hours = spark.read.parquet(layout.at("silver", "test_hours"))
-    write.parquet(feature_row(hours, _economics(spark, layout), state_holidays), layout.at("gold", "test"))
+    narrow = narrow_hours(spark.read.parquet(layout.at("silver", "test_hours")), state_holidays)
+    write.parquet(with_economics(load_features(dated_hours(narrow)), _economics(spark, layout)), layout.at("gold", "test"))
+    narrow.unpersist()
 
 
 def train(spark: SparkSession, layout: Layout) -> None:
-    """Fold models of every target, out-of-fold scores, the weighted score and importances as reports."""
-    maps = enc.as_maps(_codes(spark, layout, "train_label"))
-    leave_out = ["bldg_id", "state", "fold_info", *layout.targets]
-    scores, gains = [], []
+    """Fold models of every target on all features and the state, and the reports.
+
+    Boosted models are scored after every round on their validation rows; the round with the best mean over folds is stored
+    and later predictions stop there.
+    """
+    sizes = _sizes(_codes(spark, layout, "train_label"))
+    states = _sizes(_codes(spark, layout, "train_data"))["state"]
+    reports = []
     for target in layout.targets:
         gold = read_gold(spark, layout.at("gold"), target).persist()
-        numeric = feature_columns(gold, leave_out)
-        fitted = models.train_target(gold, target, numeric, len(maps[target]), layout.folds, kind="forest", **layout.model)
-        models.save_models(fitted, layout.at("models", target))
-        probabilities = models.out_of_fold(fitted, gold, target)
-        best = probabilities.groupBy("bldg_id", "target", "fold", "label").agg(
-            F.max(F.struct("probability", (-F.col("class")).alias("c")))["c"].alias("c")
+        numeric = feature_columns(gold, ["bldg_id", "state", "fold_info", target])
+        categorical = {"state": states}
+        kind = layout.kind
+        if kind == "boosted":
+            kind = "gbt" if sizes[target] == 2 else "one_vs_rest"
+        fitted = models.train_target(
+            gold, target, numeric, sizes[target], layout.folds, layout.parallel, kind=kind, categorical=categorical, **layout.model
         )
-        scores.append(scoring.macro_f1(best.withColumn("predicted", -F.col("c")), "label", "predicted", ["target", "fold"]))
-        gains.append(models.gains(fitted, target, numeric, spark))
-        write.parquet(scores[-1], layout.at("reports", "scores", f"target={target}"))
+        models.save_models(fitted, layout.at("models", target))
+        rounds = None
+        if layout.kind == "boosted":
+            curve_path = layout.at("reports", "curves", f"target={target}")
+            write.parquet(models.boosting_curve(fitted, gold, target).drop("target"), curve_path)
+            curve = spark.read.parquet(curve_path).withColumn("target", F.lit(target))
+            best_path = layout.at("reports", "best_rounds", f"target={target}")
+            write.parquet(scoring.best_iteration(curve, "f1").drop("target"), best_path)
+            rounds = spark.read.parquet(best_path).first()["best_epoch"]
+        rows_path = layout.at("reports", "out_of_fold", f"target={target}")
+        write.parquet(models.out_of_fold(fitted, gold, target, rounds).drop("target"), rows_path)
+        scores = models.out_of_fold_f1(spark.read.parquet(rows_path).withColumn("target", F.lit(target)))
+        write.parquet(scores.drop("target"), layout.at("reports", "scores", f"target={target}"))
+        if kind not in ("logistic", "mlp"):
+            reports.append(models.gains(fitted, target, models.feature_slots(numeric, categorical), spark))
         gold.unpersist()
+    _write_reports(spark, layout, reports)
+
+
+def _write_reports(spark: SparkSession, layout: Layout, gains: Sequence[DataFrame]) -> None:
+    """Final score, comparison with the baseline, importances per feature and name template, matrices over targets."""
     per_fold = spark.read.parquet(layout.at("reports", "scores"))
     per_target = scoring.mean_over(per_fold, ["target"]).withColumnRenamed("f1", "best_score")
     write.report(scoring.weighted_score(per_target), layout.at("reports", "final_score"), "csv")
-    averages = importance.average_importance(diagonal_union(*gains), layout.folds)
-    write.report(averages, layout.at("reports", "importance"))
-    write.report(importance.template_importance(averages), layout.at("reports", "importance_by_template"))
+    if layout.baseline:
+        known = spark.read.csv(layout.baseline, header=True, schema="feature string, type string, baseline double")
+        detail = scoring.baseline_detail(known, per_target)
+        write.report(detail, layout.at("reports", "baseline_detail"), "csv")
+        write.report(scoring.baseline_summary(detail), layout.at("reports", "baseline_summary"), "csv")
+    if not gains:
+        return
+    write.report(importance.average_importance(diagonal_union(*gains), layout.folds), layout.at("reports", "importance"))
+    averages = spark.read.parquet(layout.at("reports", "importance"))
+    templates = importance.template_importance(averages)
+    write.report(templates, layout.at("reports", "importance_by_template"))
+    write.report(importance.top_features(averages, 100), layout.at("reports", "importance_top"))
+    write.report(importance.importance_matrix(templates, layout.targets), layout.at("reports", "importance_matrix"))
+    write.report(importance.importance_matrix(templates, layout.targets, "rank"), layout.at("reports", "rank_matrix"))
 
 
 def submit(spark: SparkSession, layout: Layout) -> None:
     """Predictions of the test buildings, decoded, nulled for the other kind, sorted by building."""
-    maps = enc.as_maps(_codes(spark, layout, "train_label"))
+    codes = _codes(spark, layout, "train_label")
     rows = spark.read.parquet(layout.at("gold", "test"))
     fitted = {target: models.load_models(layout.at("models", target), layout.folds) for target in layout.targets}
-    write.submission(score(fitted, rows, maps, layout.binary), layout.at("submission"))
+    rounds = None
+    if layout.kind == "boosted":
+        # One row per target.
+        best = spark.read.parquet(layout.at("reports", "best_rounds")).collect()
+        rounds = {row["target"]: row["best_epoch"] for row in best}
+    write.submission(score(fitted, rows, codes, layout.binary, rounds), layout.at("submission"))
 
 
 def layout_from(path: str) -> Layout:

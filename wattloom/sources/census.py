@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.functions.fixed_values import CENSUS_FACTS, STATE_CODES
+from wattloom.functions.fixed_values import CENSUS_FACTS
 from wattloom.operators.facts import economics, unpivot_states
 
 
@@ -26,6 +26,6 @@ def read_sheets(spark: SparkSession, paths: Sequence[str], facts: Sequence[str]
     return out
 
 
-def read_economics(spark: SparkSession, paths: Sequence[str], state_codes: dict[str, int] = STATE_CODES) -> DataFrame:
+def read_economics(spark: SparkSession, paths: Sequence[str], state_codes: DataFrame | None = None) -> DataFrame:
     """The 63 facts per state code; the code is null for states that `state_codes` lacks."""
     return economics(read_sheets(spark, paths), state_codes=state_codes)

@@ -45,10 +45,10 @@ def typed_readings(raw: DataFrame, state: str = "in_state", value: str = safe_na
 
 
 def typed_labels(raw: DataFrame, targets: Sequence[str] = tuple(map(safe_name, ALL_TARGETS))) -> DataFrame:
-    """Labels as small integers."""
+    """Labels as integers; what is none is null."""
     return raw.select(
         F.col(ENTITY).cast("bigint").alias("bldg_id"),
-        *[F.col(target).cast("smallint").alias(target) for target in targets],
+        *[F.col(target).cast("int").alias(target) for target in targets],
     )
 
 
@@ -63,9 +63,9 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def column_names(df: DataFrame) -> list[str]:
-    return list(df.columns)
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()
+def table_profile(df: DataFrame, name: str) -> DataFrame:
+    """One row: the table's name, its columns, their number and the number of rows."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(name).alias("table_name"), F.lit(",".join(df.columns)).alias("columns"),
+        F.lit(len(df.columns)).alias("n_columns"), "n_rows",
+    )
