@@ -33,7 +33,7 @@ def bucketed_table(
 def codes_json(codes: DataFrame, path: str) -> None:
     """(dataset, column, value, code) as the nested mapper `{dataset: {column: {value: code}}}`.
 
-    The dictionary is bounded by the code width, so one line of text holds it.
+    The format is one JSON document, so one line of text holds the dictionary; it is as large as the distinct labels.
     """
     columns = codes.groupBy("dataset", "column").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "code")))).alias("codes")
