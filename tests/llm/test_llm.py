@@ -161,7 +161,7 @@ def test_bpe_equals_the_library(results, docs):
         assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), digest(" ".join(map(str, ids))), digest(text))
 
 
-@pytest.mark.parametrize("text", ["", "a<|endoftext|>B <|startoftext|>", "x\x1cy", "Σίσυφος ΟΔΥΣΣΕΥΣ", "½² ⅷ 中文 's's we'd", "🙂 ‍zero", None])
+@pytest.mark.parametrize("text", ["", "a<|endoftext|>B <|startoftext|>", "x\x1cy", "Σίσυφος ΟΔΥΣΣΕΥΣ", "½² ⅷ 中文 's's we'd", "🙂 ‍zero", "a\u1acd\u0323 \U00010d50 a\U00016ea0", None])
 def test_bpe_hard_texts(text):
     library = Tokenizer.from_file(VOCABULARY)
     ids = library.encode(text or "", add_special_tokens=False).ids
