@@ -21,7 +21,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_NAME_PARTS = re.compile(r"[^a-zA-Z]+")
+#: Between the parts of a name: what is no letter, and before a capital inside a word.
+_NAME_PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math xmp object".split())
@@ -43,9 +44,9 @@ CLOSES = {
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: Parts of class names, ids and roles of what is not the article.
 MARKS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo"
-    " cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted"
-    " related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments complementary consent"
+    " contentinfo cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup"
+    " promo promoted related replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 ARTICLE_MARKS = {"footer", "header"}
 
@@ -62,11 +63,11 @@ class Node:
 
 def _marked(attributes: str, article: bool) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next((x for x in values if x), "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+        name, value = name.lower(), next((x for x in values if x), "")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name in ("class", "id", "role"):
-            found = MARKS.intersection(_NAME_PARTS.split(value))
+            found = MARKS.intersection(x.lower() for x in _NAME_PARTS.split(value))
             if found - ARTICLE_MARKS or (found and not article):
                 return True
     return False
