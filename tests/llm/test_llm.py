@@ -228,7 +228,7 @@ def test_quality_policies_and_ablations(hard):
 def test_pages(spark):
     page = (
         '<html><body><header>Site</header><nav><a href="/a">Menu</a></nav><div class="cookie-notice">We use cookies</div><main><article><h1>Title &amp; more</h1>'
-        "<p><b>First<br>line<p>Second &lt;b&gt;\n  part</article><section id='comments'><p>Nice post, thank you very much indeed</p></section><ol id="readerComments"><li>More of them, and rather long</li></ol></main>"
+        "<p><b>First<br>line<p>Second &lt;b&gt;\n  part</article><section id='comments'><p>Nice post, thank you very much indeed</p></section><ol id='readerComments'><li>More of them, and rather long</li></ol></main>"
         '<aside>Side</aside><form><input><button>Go</button></form><script>var t="</p>";</script><!-- x --><footer>Foot</footer></body></html>'
     )
     assert html_extract.main_text(page) == "Title & more\nFirst line\nSecond <b> part"
