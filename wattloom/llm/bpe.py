@@ -41,7 +41,9 @@ _LATER = (
     "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
     "\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
-_WORDS = regex.compile(
+_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+", regex.V1)
+#: The same by the tokenizer's classes; slower.
+_NEWER_WORDS = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|[[^{WHITE}\p{{L}}\p{{N}}]||[{_LATER}]]+", regex.V1
 )
 # Marks that Unicode added after version 9, whose normal form the tokenizer uses. They neither move nor combine there.
@@ -56,8 +58,8 @@ _UNMOVED = re.compile(f"([{_MARKS}])")
 # Lower case forms newer than Python's.
 _LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _LOWER |= {upper: upper + 0x20 for upper in range(0x10D50, 0x10D66)} | {upper: upper + 0x1B for upper in range(0x16EA0, 0x16EB9)}
-#: Final sigmas are sigmas here.
-_LOWER[ord("Σ")] = ord("σ")
+#: No character of the lists above comes before this one.
+_FIRST_NEWER = "\u0558"
 #: Entries per generation of a worker's memory of words; two generations are kept.
 GENERATION = 100_000
 
@@ -181,7 +183,7 @@ class Vocabulary:
 
     def learn(self, pieces: list[str]) -> dict[str, tuple[str, str, int]]:
         """Ids, decoded text and number of tokens of pieces without white space."""
-        split = {piece: _WORDS.findall(normalised(piece)) for piece in pieces}
+        split = {piece: split_words(piece) for piece in pieces}
         known: dict[str, tuple[str, str, int]] = {}
         fresh = []
         for words in split.values():
@@ -207,8 +209,17 @@ def normalised(text: str) -> str:
     """NFC and lower case, one character at a time (a final sigma is a sigma)."""
     if text.isascii():
         return text.lower()
-    composed = "".join([unicodedata.normalize("NFC", x) for x in _UNMOVED.split(text)])
-    return composed.translate(_LOWER).lower()
+    if max(text) < _FIRST_NEWER:
+        composed = unicodedata.normalize("NFC", text)
+    else:
+        composed = "".join([unicodedata.normalize("NFC", x) for x in _UNMOVED.split(text)]).translate(_LOWER)
+    return composed.replace("Σ", "σ").lower()
+
+
+def split_words(piece: str) -> list[str]:
+    """The words of a piece without white space, normalised."""
+    text = normalised(piece)
+    return (_WORDS if text.isascii() or max(text) < _FIRST_NEWER else _NEWER_WORDS).findall(text)
 
 
 @cache
