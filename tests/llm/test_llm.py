@@ -247,6 +247,24 @@ def test_line_dedup(spark, hard):
     assert (8, 2 * len(LINE) + 1, len(LINE)) in sizes and len(sizes) == len(HARD)
 
 
+def test_line_dedup_of_short_units(spark):
+    verse = [f"verse {i} is short{mark}" for i, mark in enumerate([".", "!", "?", '."', ".)", "…", ".”"] * 2)]
+    mixed = f"Then came n1. {' '.join(f'm{i}' for i in range(22))}. Then came n2. {' '.join(f'o{i}' for i in range(22))}. Then came n3."
+    rows = [
+        (1, f"These are the words that only one text has {' '.join(verse)} and these too"),
+        (2, f"Its own beginning here.\n{chr(10).join(verse[1:-1])}\nIts own end."),
+        (3, f"{mixed}\nMy end."),
+        (4, f"Something else. {mixed} More."),
+        (5, "One. Two. Three."), (6, "One. Two. Three."),
+        (7, "\n".join(f"line {i} of verse" for i in range(20))), (8, "Other words\n" + "\n".join(f"line {i} of verse" for i in range(3, 20))),
+    ]
+    got = {r.doc_id: bytes(r.kept).decode() for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == rows[i - 1][1] for i in (1, 3, 5, 6, 7))
+    assert got[2] == "Its own beginning here.\nIts own end."
+    assert got[4] == "Something else. More."
+    assert got[8] == "Other words\n"
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|>", "<\\|", "a<|b", "\\n", None, "<\\\\|im_start|>x\n", "ok"]
     rows = [(i, t, role, text) for i, role in enumerate(["user", "assistant", "we\nird\\n<|", None]) for t, text in enumerate(texts)]

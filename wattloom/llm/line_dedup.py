@@ -1,8 +1,10 @@
 """Substring dedup by hashing lines and sentences.
 
-Units are lines, and sentences inside lines of several sentences. A unit is normalised (A-Z lower case, white space to one
-space) and hashed to 128 bits over its words. Of equal units the one with the smallest (doc_id, place) stays; all others
-are cut out of their texts, by byte ranges of the original.
+Units are lines, and sentences inside lines of several sentences. Those too short to tell anything alone form units with
+their neighbours, across lines: from each one on, and up to each one, as few sentences as have enough words, once among
+short ones only and once among all. So it does not matter where in a text a repeated passage of them begins or ends. A unit
+is normalised (A-Z lower case, white space to one space) and hashed to 128 bits over its words. Of equal units the one with
+the smallest (doc_id, place) stays; all others are cut out of their texts, by byte ranges of the original.
 
 Tasks first settle equal units among themselves and send one entry per digest, so a line that a third of all texts
 share costs its task one entry, not one per text.
@@ -22,6 +24,14 @@ from wattloom.llm.text_arrays import SPACED, Chunk, RangeHash, _Powers, chunks,
 
 MIN_LINE_WORDS = 5
 MIN_SENTENCE_WORDS = 8
+#: Words of a unit of a short sentence and neighbours that are not all short. In a repeated passage of 50 words, each sentence
+#: has that many on one side of it at least, itself included.
+CONTEXT_WORDS = 25
+#: Bytes that end a sentence, and those that may close a quotation or bracket behind them.
+STOPS, CLOSERS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".!?", b"\"')]}"))
+#: Their like beyond ASCII, by their last three bytes, or two.
+WIDE_STOPS = [x.encode() for x in "…。！？"]
+WIDE_CLOSERS = [x.encode() for x in "”’»）」"]
 NAMES = ["high", "low", "doc", "start", "end", "kind"]
 FLUSH = 1_000_000
 
@@ -34,8 +44,52 @@ def _between(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def _ends_with(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sign: bytes) -> np.ndarray:
+    """Whether the byte ranges end with a sign."""
+    out = ends - starts >= len(sign)
+    for i, byte in enumerate(reversed(sign)):
+        out &= data[np.maximum(ends - 1 - i, 0)] == byte
+    return out
+
+
+def _stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a sentence ends with the word: a stop, and at most two signs that close something behind it."""
+    ends = ends.copy()
+    stop = STOPS[data[ends - 1]]
+    for _ in range(2):
+        # Few words end with a sign; only they are looked at.
+        some = np.flatnonzero(~stop & (CLOSERS[data[ends - 1]] | (data[ends - 1] >= 0x80)))
+        low, high = starts[some], ends[some]
+        less = CLOSERS[data[high - 1]].astype(np.int64)
+        for sign in WIDE_CLOSERS:
+            less[_ends_with(data, low, high, sign)] = len(sign)
+        high = np.where(high - less > low, high - less, high)
+        ends[some] = high
+        stop[some] = STOPS[data[high - 1]]
+        for sign in WIDE_STOPS:
+            stop[some] |= _ends_with(data, low, high, sign)
+    return stop
+
+
+def _joined(begin: np.ndarray, end: np.ndarray, some: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges of `least` words or more from each of `some` sentences on, and up to each, inside its group.
+
+    Sentences follow each other (`begin`, `end`: words); groups are runs of them.
+    """
+    last = np.searchsorted(end, begin[some] + least)
+    inside = last < len(end)
+    inside[inside] = group[last[inside]] == group[some[inside]]
+    first = np.searchsorted(begin, end[some] - least, "right") - 1
+    within = first >= 0
+    within[within] = group[first[within]] == group[some[within]]
+    return (
+        np.concatenate((begin[some[inside]], begin[first[within]])),
+        np.concatenate((end[last[inside]], end[some[within]])),
+    )
+
+
 def units(chunk: Chunk, min_line: int, min_sentence: int) -> tuple[np.ndarray, ...]:
-    """(high, low, row, start byte, end byte) of every line and sentence of each text, places within the text."""
+    """(high, low, row, start byte, end byte) of every unit of each text, places within the text."""
     found = words(chunk, SPACED)
     none = np.zeros(0, np.uint64)
     if not len(found.starts):
@@ -43,17 +97,24 @@ def units(chunk: Chunk, min_line: int, min_sentence: int) -> tuple[np.ndarray, .
     data, count = chunk.data, len(found.starts)
     breaks = np.flatnonzero(data == 0x0A)
     # Words of one line have as many line feeds, and texts, before them.
-    line = np.searchsorted(breaks, found.starts) + np.searchsorted(chunk.bounds, found.starts, "right") * (len(breaks) + 1)
+    text = np.searchsorted(chunk.bounds, found.starts, "right")
+    line = np.searchsorted(breaks, found.starts) + text * (len(breaks) + 1)
     new_line = np.concatenate(([True], line[1:] != line[:-1]))
-    stop = np.isin(data[found.ends - 1], np.frombuffer(b".!?", np.uint8))
+    stop = _stops(data, found.starts, found.ends)
     new_sentence = new_line | np.concatenate(([True], stop[:-1]))
     lines, sentences = np.flatnonzero(new_line), np.flatnonzero(new_sentence)
     line_ends, sentence_ends = np.append(lines[1:], count), np.append(sentences[1:], count)
     part = ~(new_line[sentences] & np.isin(sentence_ends, line_ends))
     keep_line = line_ends - lines >= min_line
     keep_sentence = part & (sentence_ends - sentences >= min_sentence)
-    begin = np.concatenate((lines[keep_line], sentences[keep_sentence]))
-    end = np.concatenate((line_ends[keep_line], sentence_ends[keep_sentence]))
+    short = (sentence_ends - sentences < min_sentence) | (~part & (sentence_ends - sentences < min_line))
+    some, text = np.flatnonzero(short), text[sentences]
+    # Short sentences that follow each other in a text, and whole texts.
+    run = np.cumsum(np.concatenate(([True], (text[1:] != text[:-1]) | (short[1:] != short[:-1]))))
+    joined = [_joined(sentences, sentence_ends, some, *x) for x in ((run, min_sentence), (text, max(CONTEXT_WORDS, min_sentence)))]
+    begin = np.concatenate((lines[keep_line], sentences[keep_sentence], *(x[0] for x in joined)))
+    end = np.concatenate((line_ends[keep_line], sentence_ends[keep_sentence], *(x[1] for x in joined)))
+    begin, end = np.divmod(np.unique(begin * (count + 1) + end), count + 1)
     hashes = RangeHash(data).of(found.starts, found.ends)
     row = np.searchsorted(chunk.bounds, found.starts[begin], "right") - 1
     first = chunk.bounds[row]
@@ -166,7 +227,7 @@ def cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, kept (UTF-8), n_bytes, n_removed, spans of the original.
 
-    Null and empty texts lose nothing; a unit of fewer words than the minimum always stays. Rows that repeat a doc_id are
+    Null and empty texts lose nothing; a short sentence or line without neighbours that repeat with it stays. Rows that repeat a doc_id are
     judged by place, so equal rows of one id keep or lose the same; a row without doc_id stays whole. Texts are read whole;
     an empty table gives no rows; other columns are ignored.
     """
