@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -187,6 +188,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert index.nearest(places, values)[1].tolist() == pytest.approx(whole, abs=1e-6)
 
 
+def test_toxicity_takes_all_telling_terms(spark):
+    # 700 words of toxic texts, a word that is only twice as usual in them, and one that only clean texts have.
+    rows = [(i, " ".join(f"rot{(i // 2 * 7 + j) % 700}x" for j in range(60)) + (" usual" if i % 4 else "") if i % 2 == 0 else "calm text" + (" usual" if i % 4 == 1 else "") + f" n{i}", int(i % 2 == 0)) for i in range(0, 1600)]
+    rows = [(i, text + (" mild" if (i % 10 < 7 if toxic else i % 10 < 3) else ""), toxic) for i, text, toxic in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fitted(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    known = set(index.vocabulary.hashes.tolist())
+    found = toxicity.RangeHash(np.frombuffer(b"calm mild", np.uint8)).of(np.array([0, 5]), np.array([4, 9]))
+    assert len(index.vocabulary) > 700 and known.issuperset(found.tolist())
+    got = {r.doc_id: r for r in toxicity.scored(frame, index).collect()}
+    assert all(len(got[i].evidence) == 3 and (got[i].score >= 0.3) == bool(toxic) for i, _, toxic in rows)
+    dense = index.matrix
+    for at in range(0, len(dense), 97):
+        places = dense[at].nonzero()[0]
+        whole = dense[:, places] @ dense[at][places].astype(float)
+        assert index.nearest(places, dense[at][places])[1].tolist() == pytest.approx(np.sort(whole)[::-1][: toxicity.NEIGHBOURS].tolist(), abs=1e-6)
+
+
 def test_toxicity_without_labels(spark, hard):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     scores = [r.score for r in toxicity.scored(hard, toxicity.fitted(hard, none)).collect()]

@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the beginnings of words, and each again for texts that have it twice or four times. From a bounded
-sample of labelled texts, terms that tell the classes apart are chosen; their document frequencies are counted over all
-documents. The sample's vectors form the index: examples lie in blocks, and a term has its largest weight per block. A
-query bounds its cosine with every block, works through blocks from the largest bound, and stops when no further block
-can change the k nearest. Votes weigh similarity and how many labelled texts an example stands for; a monotone fit on
+sample of labelled texts, all terms that tell the classes apart, for either class, are taken; their document frequencies are
+counted over all documents. The sample's vectors form the index: examples lie in blocks, and a term has its postings and
+its largest weight per block. A query bounds its cosine with every block, works through blocks from the largest bound, and
+leaves out those that cannot change the k nearest. Votes weigh similarity and how many labelled texts an example stands for; a monotone fit on
 the examples themselves, each left out of its own vote, turns votes into probabilities.
 """
 
@@ -22,14 +22,12 @@ from wattloom.llm.text_arrays import ALNUM, RangeHash, chunks, mix, rows_of, wor
 
 #: Labelled texts per class that the classifier is fitted on, at most.
 EXAMPLES = 3000
-#: Terms, at most, and the chi-square value they need.
-TERMS = 600
+#: The chi-square value that terms need.
 LEAST_CHI2 = 12.0
-#: How many times likelier, in odds, a text with the term has to be toxic. Words that are merely common in toxic texts
-#: tell little, and would give every document a vector that no block bound rules out.
-LEAST_LIFT = 4.0
 NEIGHBOURS = 25
 BLOCK = 64
+#: Blocks that a query takes first, before it leaves out any.
+FIRST_BLOCKS = 4
 PREFIXES = (5, 7)
 LEVELS = (1, 2, 4)
 
@@ -97,7 +95,7 @@ class Vocabulary:
         return len(self.hashes)
 
 
-def _vocabulary(sample: DataFrame, most: int) -> Vocabulary:
+def _vocabulary(sample: DataFrame) -> Vocabulary:
     """The terms that tell the classes apart, by chi-square over the sample."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +136,7 @@ def _vocabulary(sample: DataFrame, most: int) -> Vocabulary:
     total = clean + toxic
     expected = F.col("n") * toxic / total
     spread = expected * (1 - F.col("n") / total) * clean / total + F.lit(1e-9)
-    chi2 = F.when(F.col("hit") > expected, (F.col("hit") - expected) ** 2 / spread).otherwise(F.lit(0.0))
-    lifted = F.col("hit") * clean >= LEAST_LIFT * toxic * (F.col("n") - F.col("hit"))
-    ranked = counts.filter("n >= 4").filter(lifted).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-    best = ranked.orderBy(F.desc("chi2"), "term", "level").limit(most).collect()
+    best = counts.filter("n >= 4").filter((F.col("hit") - expected) ** 2 / spread >= LEAST_CHI2).collect()
     if not best:
         return Vocabulary(none, none)
     bases = np.array([row.term for row in best], np.int64).view(np.uint64)
@@ -181,34 +176,63 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, i
 
 @dataclass
 class Index:
-    """Example vectors in blocks, the largest weight of each term per block, and the fitted votes."""
+    """Example vectors in blocks, the largest weight of each term per block, and the fitted votes.
+
+    Postings lie by term, then example; those of a term and block are `begins[term, block]` to `begins[term, block + 1]`.
+    """
 
     vocabulary: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
-    matrix: np.ndarray
+    begins: np.ndarray
+    examples: np.ndarray
+    weights: np.ndarray
     bounds: np.ndarray
     #: Votes in ascending order and the probability of each.
     votes: np.ndarray
     chance: np.ndarray
     nothing: float
 
+    @property
+    def matrix(self) -> np.ndarray:
+        """All vectors, one row per example; for tests."""
+        out = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
+        out[self.examples, np.repeat(np.arange(len(self.vocabulary)), self.begins[:, -1] - self.begins[:, 0])] = self.weights
+        return out
+
+    def _cosines(self, places: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of some blocks that share a term with a unit vector, ascending, and their cosines."""
+        starts = self.begins[places[:, None], blocks].ravel()
+        sizes = self.begins[places[:, None], blocks + 1].ravel() - starts
+        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        force = self.weights[at] * np.repeat(np.repeat(values, len(blocks)), sizes)
+        own = np.bincount(self.examples[at], force, len(self.ids))
+        found = np.flatnonzero(own > 0)
+        return found, own[found]
+
     def nearest(self, places: np.ndarray, values: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples of a unit vector and their cosines, ties by place in the index."""
         limits = values @ self.bounds[places]
+        blocks = np.argsort(-limits, kind="stable")
+        blocks = blocks[limits[blocks] > 0]
         best = np.zeros(0, np.int64)
         cosines = np.zeros(0)
-        for block in np.argsort(-limits, kind="stable"):
-            if limits[block] <= 0 or (len(best) >= NEIGHBOURS and limits[block] + 1e-9 < cosines[-1]):
-                break
-            low = block * BLOCK
-            own = self.matrix[low : low + BLOCK, places] @ values
-            if 0 <= skip - low < len(own):
-                own[skip - low] = 0
-            found = np.flatnonzero(own > 0)
-            best, cosines = np.concatenate((best, found + low)), np.concatenate((cosines, own[found]))
+        # Few blocks first, then more at a time of those that can still hold a neighbour.
+        size = FIRST_BLOCKS
+        while len(blocks):
+            if len(best) >= NEIGHBOURS:
+                blocks = blocks[limits[blocks] + 1e-9 >= cosines[-1]]
+            found, own = self._cosines(places, values, blocks[:size])
+            blocks, size = blocks[size:], 4 * size
+            own = own[found != skip]
+            found = found[found != skip]
+            if len(found) > NEIGHBOURS:
+                # Few can be among the nearest; only they are put in order.
+                near = own >= np.partition(own, -NEIGHBOURS)[-NEIGHBOURS] - 1e-8
+                found, own = found[near], own[near]
+            best, cosines = np.concatenate((best, found)), np.concatenate((cosines, own))
             order = np.lexsort((best, -np.round(cosines, 9)))[:NEIGHBOURS]
             best, cosines = best[order], cosines[order]
         return best, cosines
@@ -244,10 +268,10 @@ def _monotone(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
     return np.array(x), np.array(y)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """The index over at most `examples` labelled texts per class; its size has that bound, whatever the tables hold."""
+def fitted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
+    """The index over at most `examples` labelled texts per class; its size is bounded by theirs, whatever the tables hold."""
     sample = _sampled(labels, docs, examples).repartition(8).persist()
-    vocabulary = _vocabulary(sample, terms)
+    vocabulary = _vocabulary(sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,17 +297,20 @@ def fitted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms:
     # Examples with the same strongest term lie together, so that blocks have sharp bounds.
     vectors = [(x, np.array(x.places), _unit(np.array(x.places), np.array(x.counts), idf)) for x in rows]
     vectors.sort(key=lambda v: (int(v[1][v[2].argmax()]), v[0].doc_id))
-    matrix = np.zeros((len(vectors), len(vocabulary)), np.float32)
-    for at, (_, places, values) in enumerate(vectors):
-        matrix[at, places] = values
     blocks = -(-len(vectors) // BLOCK)
+    terms = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0, np.int64)
+    inside = np.repeat(np.arange(len(vectors)), [len(v[1]) for v in vectors])
+    weights = np.concatenate([v[2] for v in vectors]).astype(np.float32) if vectors else np.zeros(0, np.float32)
+    order = np.lexsort((inside, terms))
+    terms, inside, weights = terms[order], inside[order], weights[order]
+    cell = terms * (blocks + 1) + inside // BLOCK
+    begins = np.searchsorted(cell, np.arange(len(vocabulary) * (blocks + 1))).reshape(len(vocabulary), blocks + 1)
     bounds = np.zeros((len(vocabulary), blocks), np.float32)
-    for block in range(blocks):
-        bounds[:, block] = matrix[block * BLOCK : (block + 1) * BLOCK].max(axis=0)
+    np.maximum.at(bounds, (terms, inside // BLOCK), weights)
     index = Index(
         vocabulary, idf,
         np.array([v[0].doc_id for v in vectors], np.int64), np.array([v[0].toxic for v in vectors], float),
-        np.array([v[0].weight for v in vectors], float), matrix, bounds, np.zeros(0), np.zeros(0), float(nothing),
+        np.array([v[0].weight for v in vectors], float), begins, inside, weights, bounds, np.zeros(0), np.zeros(0), float(nothing),
     )
     own = np.array([index.vote(*index.nearest(p, v, at)) for at, (_, p, v) in enumerate(vectors)])
     told = own >= 0
