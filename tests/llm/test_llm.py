@@ -256,6 +256,27 @@ def test_pages(spark):
     assert got[1] == got[2] == 0 and got[3] == len("Title & more\nFirst line\nSecond <b> part") and got[5] == 4
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar">{}{}</body>', '<body class="sidebar-right"><main id="comments">{}</main>{}</body>',
+        '<body><div class="content with-sidebar">{}{}</div></body>', '<body><article class="post has-comments">{}</article>{}</body>',
+        '<body><article class="post comments-open">{}</article>{}</body>', '<body><div id="noSidebar">{}</div>{}</body>',
+        '<body><div class="content-sidebar-wrap"><div>{}</div>{}</div></body>', '<body><div class="page footer-fixed">{}{}</div></body>',
+    ],
+)
+def test_pages_with_marks_around_the_article(page):
+    text = "The article has some sentences, and they are longer than all that stands beside it. This is one more of them."
+    side = '<div class="ad">Buy it</div><div class="left-sidebar"><p>Of the side</p></div><ul id="comments"><li>Nice post</li></ul>'
+    assert html_extract.main_text(page.format(f"<p>{text}</p>", side)) == text
+
+
+def test_pages_with_more_advertising_than_article():
+    page = '<body><div class="ad">Much more of it than there is of the article, and all of it outside links</div><article><h1>Short</h1></article></body>'
+    assert html_extract.main_text(page) == "Short"
+    assert html_extract.main_text('<body><div class="header"><div class="ad">Buy it</div><h1>Title</h1><p>One more line</p></div></body>') == "Title\nOne more line"
+
+
 def test_line_dedup(spark, hard):
     other = "A passage that two documents share has rather many words in it. It ends here."
     rows = [(1, f"first own words stand alone\n{LINE}\n{other}"), (2, f"{LINE.upper()} \nkept words of the second one. {other} End"), (3, "short\nshort")]

@@ -49,33 +49,47 @@ MARKS = set(
     " promo promoted related replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 ARTICLE_MARKS = {"footer", "header"}
+#: A name with one of these says what an element has, or has not, beside the article; the element is not that.
+STATES = set("has have hide no non not show with without".split())
+#: Marks tell nothing about these.
+UNMARKED = {"html", "body", "main", "article"}
+#: An element that holds one of these may be around the article.
+HEADS = {"main", "h1"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = (
+        "tag", "parent", "children", "dropped", "marked", "article", "around", "own_chars", "plain_chars", "chars", "tags", "link_chars", "link_tags",
+        "density", "total",
+    )
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, article: bool) -> None:
-        self.tag, self.parent, self.dropped, self.article = tag, parent, dropped, article
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, marked: int, article: bool) -> None:
+        self.tag, self.parent, self.dropped, self.marked, self.article = tag, parent, dropped, marked, article
+        self.around = tag in HEADS
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.own_chars = self.plain_chars = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(attributes: str, article: bool) -> bool:
+def _signs(attributes: str, article: bool) -> tuple[bool, int]:
+    """Whether an element is hidden, and whether a class, id or role marks it: 1 by a part of a name, 2 by a whole one."""
+    marked = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((x for x in values if x), "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, marked
         if name in ("class", "id", "role"):
-            found = MARKS.intersection(x.lower() for x in _NAME_PARTS.split(value))
-            if found - ARTICLE_MARKS or (found and not article):
-                return True
-    return False
+            for one in value.split():
+                parts = {x.lower() for x in _NAME_PARTS.split(one) if x}
+                found = MARKS & parts
+                if found and not parts & STATES and (found - ARTICLE_MARKS or not article):
+                    marked = max(marked, 2 if found == parts else 1)
+    return False, marked
 
 
 def _tree(page: str) -> Node:
     """The page's tree; unclosed and stray tags are mended as browsers mostly do."""
-    root = node = Node("html", None, False, False)
+    root = node = Node("html", None, False, 0, False)
     at = 0
     lower = None
     while True:
@@ -108,8 +122,9 @@ def _tree(page: str) -> Node:
                     node = up.parent
                 up = up.parent
         article = node.article or tag in ("article", "main")
-        dropped = node.dropped or tag in DROPPED or (tag in OUTER and not article) or _marked(attributes or "", article)
-        own = Node(tag, node, dropped, article)
+        hidden, marked = _signs(attributes or "", article)
+        dropped = node.dropped or tag in DROPPED or (tag in OUTER and not article) or hidden
+        own = Node(tag, node, dropped, 0 if tag in UNMARKED else marked, article)
         node.children.append(own)
         if tag in VOID or (attributes or "").endswith("/"):
             continue
@@ -135,14 +150,35 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def _weigh(nodes: list[Node], body: Node) -> None:
+def _drop_marked(nodes: list[Node]) -> None:
+    """Drop what is marked, but no element that may be around the article: there density decides.
+
+    Such an element holds most of the page's characters outside links; if its whole name is a mark, it has to hold the main
+    part or a first heading, too, as an advertisement can be longer than a short article.
+    """
     for node in reversed(nodes):
         if node.dropped:
             continue
         for child in node.children:
             if isinstance(child, str):
-                node.chars += len("".join(child.split()))
-            elif not child.dropped:
+                node.own_chars += len("".join(child.split()))
+            else:
+                node.plain_chars += child.plain_chars
+                node.around |= child.around and not child.dropped
+        node.plain_chars = 0 if node.tag == "a" else node.plain_chars + node.own_chars
+    for node in nodes:
+        most = 2 * node.plain_chars > nodes[0].plain_chars and (node.marked < 2 or node.around)
+        if (node.parent is not None and node.parent.dropped) or (node.marked and not most):
+            node.dropped = True
+
+
+def _weigh(nodes: list[Node], body: Node) -> None:
+    for node in reversed(nodes):
+        if node.dropped:
+            continue
+        node.chars = node.own_chars
+        for child in node.children:
+            if isinstance(child, Node) and not child.dropped:
                 node.chars += child.chars
                 node.tags += child.tags + 1
                 node.link_chars += child.link_chars
@@ -180,6 +216,7 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, one per line."""
     root = _tree(page or "")
     nodes = _walk(root)
+    _drop_marked(nodes)
     body = next((x for x in nodes if x.tag == "body" and not x.dropped), root)
     _weigh(nodes, body)
     roots = _chosen(nodes, body)
