@@ -277,6 +277,13 @@ def test_pages_with_more_advertising_than_article():
     assert html_extract.main_text('<body><div class="header"><div class="ad">Buy it</div><h1>Title</h1><p>One more line</p></div></body>') == "Title\nOne more line"
 
 
+@pytest.mark.parametrize("n", [1, 9, 40, 300])
+def test_pages_whose_lower_case_is_longer(n):
+    first, last = "\u0130" * n + " ve daha fazla", "Son paragraf da burada durur"
+    page = f"<body><p>{first}</p><script>var a = 1;</SCRIPT><p>{last}</p><style>p {{}}</Style ><p>{last}</p><svg></svg><b>x</b></body>"
+    assert html_extract.main_text(page) == f"{first}\n{last}\n{last}\nx"
+
+
 def test_line_dedup(spark, hard):
     other = "A passage that two documents share has rather many words in it. It ends here."
     rows = [(1, f"first own words stand alone\n{LINE}\n{other}"), (2, f"{LINE.upper()} \nkept words of the second one. {other} End"), (3, "short\nshort")]

@@ -26,6 +26,8 @@ _NAME_PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math xmp object".split())
+#: Their ends, at any case; looked up in the page itself, as lower case can have other lengths (U+0130).
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW}
 #: Their text is never the article's.
 DROPPED = RAW | set("head nav aside form button select option dialog menu label fieldset".split())
 #: Not the article's unless they stand inside one.
@@ -91,7 +93,6 @@ def _tree(page: str) -> Node:
     """The page's tree; unclosed and stray tags are mended as browsers mostly do."""
     root = node = Node("html", None, False, 0, False)
     at = 0
-    lower = None
     while True:
         found = _TOKEN.search(page, at)
         text = page[at : found.start()] if found else page[at:]
@@ -130,11 +131,10 @@ def _tree(page: str) -> Node:
             continue
         if tag in RAW:
             # Nothing inside is markup.
-            lower = lower if lower is not None else page.lower()
-            end = lower.find(f"</{tag}", at)
-            if end < 0:
+            end = _RAW_ENDS[tag].search(page, at)
+            if not end:
                 return root
-            close = page.find(">", end)
+            close = page.find(">", end.end())
             at = len(page) if close < 0 else close + 1
             continue
         node = own
