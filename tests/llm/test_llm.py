@@ -111,6 +111,18 @@ def test_ngram_join_blocks_and_long_lists_change_nothing(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked_components(texts)
 
 
+def test_ngram_join_sends_a_class_once_per_task(spark):
+    rows = [(i, " ".join(f"v{j}" for j in range(40)) if i % 10 else f"w{i} x{i} y{i} z{i} a{i} b{i}") for i in range(200)] + [(900, None), (901, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    levels = spark.sparkContext.broadcast(bytes(1 << 16))
+    sent = []
+    for row in ngram_join._postings(frame, 5, 16, levels, 4).collect():
+        sent += zip(np.frombuffer(row.shingle, np.uint64).tolist(), np.frombuffer(row.cls, np.uint64).tolist(), strict=True)
+    assert len(sent) == len(set(sent)) and len({cls for _, cls in sent}) == 21
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame).collect()}
+    assert got == linked_components({i: t or "" for i, t in rows})
+
+
 def test_ngram_join_bands_of_length_lose_no_link(spark):
     """Beginnings of one text, 20 to 260 words long, in one cell cut into many blocks over many bands."""
     words = [f"v{i}" for i in range(260)]

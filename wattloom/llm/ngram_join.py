@@ -35,6 +35,8 @@ from wattloom.session import cut_lineage
 #: Counters of the frequency sketch; what is broadcast has one byte per counter.
 SKETCH_BITS = 22
 SLICES = 64
+#: Classes that a task remembers to have sent, at most.
+SENT_CLASSES = 1 << 18
 #: A list with more classes ties them together instead of listing its pairs.
 LONG_LIST = 256
 #: Shingles that one task holds when it works on a cell.
@@ -115,11 +117,15 @@ def _levels(digests: DataFrame) -> bytes:
 
 
 def _postings(docs: DataFrame, size: int, bits: int, levels, parts: int) -> DataFrame:
-    """The short lists of every text, packed by part: shingle, class and length step."""
+    """The short lists of every class, packed by part: shingle, class and length step.
+
+    A task sends the lists of a class once, however many copies it reads; it forgets which it sent after SENT_CLASSES.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(levels.value, np.uint8)
         held: list[tuple] = []
+        sent: set[int] = set()
 
         def flush() -> pa.RecordBatch:
             shingles, classes, steps = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -136,10 +142,19 @@ def _postings(docs: DataFrame, size: int, bits: int, levels, parts: int) -> Data
                     sets & np.uint64((1 << 56) - 1)
                 )
                 lengths = np.minimum(n, n - _least_overlap(n) + _kept_occurrences(n))
-                rare = []
-                for low, high, keep in zip(bounds[:-1].tolist(), bounds[1:].tolist(), lengths.tolist(), strict=True):
+                fresh, rare = [], []
+                for row, (cls, low, high, keep) in enumerate(zip(classes.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), lengths.tolist(), strict=True)):
+                    if cls in sent or low == high:
+                        continue
+                    if len(sent) >= SENT_CLASSES:
+                        sent.clear()
+                    sent.add(cls)
                     own = keys[low:high]
+                    fresh.append(row)
                     rare.append(own if keep >= len(own) else np.partition(own, keep - 1)[:keep])
+                if not fresh:
+                    continue
+                classes, lengths, n = classes[fresh], lengths[fresh], n[fresh]
                 steps = np.minimum(np.log(np.maximum(n, 1)) / np.log(STEP) + 1e-9, 255).astype(np.uint8)
                 held.append((np.concatenate(rare), np.repeat(classes, lengths), np.repeat(steps, lengths)))
                 if sum(len(x[0]) for x in held) > 1_000_000:
