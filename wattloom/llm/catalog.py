@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from wattloom.llm import (
     bpe,
     chat_format,
+    collocations,
     decontaminate,
     html_extract,
+    language_id,
     line_dedup,
     ngram_join,
     quality_rules,
     secret_scan,
+    spelling,
     suffix_dedup,
     toxicity,
 )
@@ -127,6 +130,22 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    return language_id.identified(docs, language_id.fitted(docs.filter(~out))).select(
+        "doc_id", out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected"
+    )
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -138,6 +157,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling": op11_spelling,
+    "op12_language_id": op12_language_id,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -188,6 +210,35 @@ SQL: dict[str, str] = {
             failed_bits = 0 AS kept, n_lines, failed_bits
         FROM b
     """,
+    "op13_collocations": """
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+        g AS (
+            SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+            FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+        t AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, phrase, k AS size, string_split(phrase, ' ') AS ws, n AS a FROM f WHERE n >= 30 AND k > 1),
+        cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+        s AS (
+            SELECT cuts.lang, cuts.phrase, a, cuts.k, x.n AS l, y.n AS r, CAST(2000000 * a::HUGEINT // (x.n + y.n) AS BIGINT) AS score
+            FROM cuts
+            JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:cuts.k], ' ')
+            JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[cuts.k + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        o AS (
+            SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS a
+            FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2))
+            GROUP BY ALL)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r,
+            CAST(t.n AS BIGINT) AS n, score
+        FROM b JOIN t ON t.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+        WHERE o.a IS NULL OR 100 * o.a < 80 * b.a
+        QUALIFY rank <= 2000
+    """,
 }
 
 
