@@ -21,7 +21,9 @@ def dense(spark):
         ]
     )
     hours = spark.createDataFrame(frame.sample(frac=1, random_state=1))
-    return frame, gold.base_hours(hours)
+    narrow = gold.narrow_hours(hours)
+    yield frame, gold.dated_hours(narrow)
+    narrow.unpersist()
 
 
 def calendar(frame: pd.DataFrame) -> pd.DataFrame:

@@ -29,10 +29,12 @@ def test_bucketed_hours_need_no_shuffle(spark):
     base = gold.base_hours(spark.table("hours_bucketed"), cluster=False)
     features = gold.load_features(base)
     assert shuffles(plan(features)) == 0
-    kept = gold.load_features(gold.base_hours(standins.shipment_hours(spark, SF)))
+    narrow = gold.narrow_hours(standins.shipment_hours(spark, SF))
+    kept = gold.load_features(gold.dated_hours(narrow))
     left, right = (df.orderBy("bldg_id").toPandas() for df in (features, kept))
     names = [name for name in left.columns if "holiday" not in name]
     assert ((left[names] - right[names]).abs().fillna(0) < 1e-9).all().all()
+    narrow.unpersist()
     spark.sql("DROP TABLE hours_bucketed")
 
 
@@ -40,11 +42,23 @@ def test_kept_hours_are_sorted_once(spark):
     """Windows by day and in time order read the stored order."""
     from wattloom.operators import enrich, profiles, spikes
 
-    base = gold.base_hours(standins.shipment_hours(spark, SF))
+    narrow = gold.narrow_hours(standins.shipment_hours(spark, SF))
+    narrow.count()  # the plan of a filled cache is final
+    base = gold.dated_hours(narrow)
     for family in (spikes.daily_spikes(base), profiles.hour_profile_long(base), enrich.with_jump(base)):
         outside = plan(family).split("InMemoryRelation")[0]
         assert "Sort [" not in outside and shuffles(outside) == 0
-    base.unpersist()
+    narrow.unpersist()
+
+
+def test_feature_row_leaves_no_cache(spark):
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs
+    before = kept().size()
+    row = gold.feature_row(standins.shipment_hours(spark, SF), spark.range(25).select(F.col("id").alias("state")))
+    outside = plan(row)
+    assert "InMemoryRelation" not in outside and shuffles(outside) == 0
+    assert not re.search(r"Sort \[bldg_id#\d+L ASC NULLS FIRST, day", outside)
+    assert kept().size() == before
 
 
 def test_single_family_has_two_shuffles(spark):

@@ -64,11 +64,11 @@ def shipment_hours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_base(spark: SparkSession, folder: str) -> DataFrame:
-    return base_hours(event_hours(spark, folder), state_holidays(spark, folder), keep=False)
+    return base_hours(event_hours(spark, folder), state_holidays(spark, folder))
 
 
 def shipment_base(spark: SparkSession, folder: str) -> DataFrame:
-    return base_hours(shipment_hours(spark, folder), state_holidays(spark, folder), keep=False)
+    return base_hours(shipment_hours(spark, folder), state_holidays(spark, folder))
 
 
 EVENT_READINGS = """

@@ -12,6 +12,7 @@ from wattloom.operators.profiles import HOUR_COLUMNS, WEEKDAY_COLUMNS, hour_prof
 from wattloom.operators.rollup import clustered
 from wattloom.operators.slices import AGGREGATION_COLUMNS, aggregation_packed
 from wattloom.operators.spikes import WORK_COLUMNS, range_of_work_packed
+from wattloom.session import cut_lineage_in_order
 
 LOAD_FEATURES = 585
 
@@ -22,7 +23,7 @@ def narrow_hours(
     """Hours with their day and state holiday.
 
     With `cluster` they are hashed by entity, and persisted with `keep` when several families read them; the caller
-    unpersists. Pass cluster=False for a table that is already bucketed by entity.
+    unpersists the result. Pass cluster=False for a table that is already bucketed by entity.
     """
     flagged = with_holidays(hours.withColumn("day", F.to_date("timestamp")), state_holidays).drop("is_national_holiday")
     return clustered(flagged, keep=keep) if cluster else flagged
@@ -34,11 +35,9 @@ def dated_hours(narrow: DataFrame) -> DataFrame:
     return with_daily_total(dated)
 
 
-def base_hours(
-    hours: DataFrame, state_holidays: DataFrame | None = None, cluster: bool = True, keep: bool = True
-) -> DataFrame:
-    """Hours with calendar, holidays and daily total. To release what `keep` stores, use the two steps apart."""
-    return dated_hours(narrow_hours(hours, state_holidays, cluster, keep))
+def base_hours(hours: DataFrame, state_holidays: DataFrame | None = None, cluster: bool = True) -> DataFrame:
+    """Hours with calendar, holidays and daily total. Nothing is kept; for several readers take the two steps apart."""
+    return dated_hours(narrow_hours(hours, state_holidays, cluster, keep=False))
 
 
 def load_features(base: DataFrame) -> DataFrame:
@@ -57,5 +56,11 @@ def with_economics(features: DataFrame, economics: DataFrame) -> DataFrame:
 def feature_row(
     hours: DataFrame, economics: DataFrame, state_holidays: DataFrame | None = None, cluster: bool = True
 ) -> DataFrame:
-    """`load_features` with the economics columns of the state."""
-    return with_economics(load_features(base_hours(hours, state_holidays, cluster)), economics)
+    """`load_features` with the economics columns of the state.
+
+    Several families read the hours, so they are stored in their order in the checkpoint folder: no cache is left behind.
+    """
+    narrow = narrow_hours(hours, state_holidays, cluster, keep=False)
+    if cluster:
+        narrow = cut_lineage_in_order(narrow.sortWithinPartitions("bldg_id", "day", "timestamp"))
+    return with_economics(load_features(dated_hours(narrow)), economics)

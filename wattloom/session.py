@@ -64,3 +64,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def cut_lineage_in_order(df: DataFrame) -> DataFrame:
+    """As `cut_lineage`, and later plans know how the rows are dealt and sorted.
+
+    An adaptive plan does not tell its partitioning to a checkpoint, so this one job is planned without.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.select("*"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
