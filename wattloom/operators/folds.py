@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from wattloom.functions.fixed_values import ALL_TARGETS, BINARY_TARGET, FOLDS, s
 from wattloom.functions.order_keys import order_key
 from wattloom.functions.text import target_class
 from wattloom.operators.ranking import rank_in_group
+from wattloom.session import cut_lineage
 
 
 def long_labels(
@@ -95,6 +97,72 @@ def label_set_folds(
     )
 
 
+def iterative_folds(
+    df: DataFrame, labels: Sequence[str], k: int = FOLDS, seed: int = 0, entity: str = "bldg_id"
+) -> DataFrame:
+    """Add `fold`, balanced over every single label of several label columns, by iterative stratification.
+
+    A label is a column with a value. Each round takes the label that fewest rows without a fold still have and deals exactly
+    these rows: every fold gets what it lacks of the label's even share, to whole rows by the largest remainder. Rows without
+    any label are dealt last, by what folds lack in rows. A round's rows are those that have its label and none of the rounds
+    before, so the rows that are left are a filter, never a table that is written again; a round stores only the rows it
+    deals. The driver holds counts per label and fold, which schema and dictionaries bound; rows never pass it.
+
+    Rows of a round are dealt by rank in a pseudo-random order. Per label the folds differ by no more than the number of
+    rounds until it is dealt, and no row is left out. Null values are no labels.
+    """
+    parts = [F.when(F.col(label).isNotNull(), F.concat(F.lit(f"{label}="), F.col(label).cast("string"))) for label in labels]
+    narrow = cut_lineage(df.select(entity, F.array_compact(F.array(*parts)).alias("_labels")))
+    label_of = F.explode("_labels").alias("label")
+    totals = {row["label"]: row["count"] for row in narrow.select(label_of).groupBy("label").count().collect()}
+    size = narrow.count()
+    given = {label: [0] * k for label in totals}
+    rows_given = [0] * k
+    left, done = dict(totals), []
+    dealt = []
+    while True:
+        rarest = min(((n, label) for label, n in left.items() if n > 0), default=None)
+        rest = narrow.filter(~F.arrays_overlap("_labels", F.array(*map(F.lit, done)))) if done else narrow
+        if rarest is None:
+            count, lacking = size - sum(rows_given), [size / k - n for n in rows_given]
+            chosen = rest
+        else:
+            count, label = rarest
+            lacking = [totals[label] / k - n for n in given[label]]
+            chosen = rest.filter(F.array_contains("_labels", label))
+        if count:
+            quotas = _quotas(lacking, count, [size / k - n for n in rows_given])
+            ranked = rank_in_group(chosen.withColumn("_all", F.lit(0)), ["_all"], order_key(seed, entity), "_rank")
+            fold = F.lit(k - 1)
+            for number in range(k - 2, -1, -1):
+                fold = F.when(F.col("_rank") < sum(quotas[: number + 1]), number).otherwise(fold)
+            part = cut_lineage(ranked.select(entity, "_labels", fold.cast("int").alias("fold")))
+            dealt.append(part.select(entity, "fold"))
+            rows_given = [a + b for a, b in zip(rows_given, quotas, strict=True)]
+            for row in part.select("fold", label_of).groupBy("label", "fold").count().collect():
+                given[row["label"]][row["fold"]] += row["count"]
+                left[row["label"]] -= row["count"]
+        if rarest is None:
+            break
+        done.append(label)
+    if not dealt:
+        return df.withColumn("fold", F.lit(None).cast("int"))
+    return df.join(reduce(DataFrame.unionByName, dealt), entity)
+
+
+def _quotas(lacking: Sequence[float], count: int, rows_lacking: Sequence[float]) -> list[int]:
+    """`count` rows to folds by what each lacks; what is left of whole rows goes to the largest remainders, then to the fold
+    that lacks most rows."""
+    wanted = [max(0.0, x) for x in lacking]
+    total = sum(wanted)
+    shares = [count * x / total if total else count / len(wanted) for x in wanted]
+    quotas = [int(x + 1e-9) for x in shares]
+    order = sorted(range(len(shares)), key=lambda f: (-round(shares[f] - quotas[f], 9), -rows_lacking[f], f))
+    for fold in order[: count - sum(quotas)]:
+        quotas[fold] += 1
+    return quotas
+
+
 def fold_info(fold: Column, k: int = FOLDS) -> Column:
     """`t, v, t, t, t`: per split, v where the row validates, t where it trains, n without a fold."""
     flags = [F.when(fold != split, "t").when(fold == split, "v").otherwise("n") for split in range(k)]

@@ -183,7 +183,7 @@ def classified(classifier_model: Model, rows: DataFrame, result: str, rounds: in
     return scored.select(*rows.columns, values.alias(result))
 
 
-def _prepared(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def prepared(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """`rows` with the feature vector of the model."""
     plain = rows.drop("features")
     return PipelineModel(model.stages[:-1]).transform(plain).select(*plain.columns, "features")
@@ -212,7 +212,7 @@ def predicted_classes(
         for fold, model in enumerate(fold_models):
             steps = _preparation(model)
             if steps is None or steps != ready:
-                out, ready = _prepared(model, out), steps
+                out, ready = prepared(model, out), steps
             parts.append(f"_chances_{fold}")
             out = classified(model.stages[-1], out, parts[-1], (rounds or {}).get(target))
         total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), map(F.col, parts))
@@ -231,13 +231,13 @@ def _long(scored: DataFrame, keep: Sequence[str], target: str, fold: int) -> Dat
 def predict_folds(models: Sequence[PipelineModel], rows: DataFrame, target: str, entity: str = "bldg_id") -> DataFrame:
     """Long (entity, target, fold, class, probability) of every fold model for every row."""
     parts = [
-        _long(classified(model.stages[-1], _prepared(model, rows), "_chances"), [entity], target, fold)
+        _long(classified(model.stages[-1], prepared(model, rows), "_chances"), [entity], target, fold)
         for fold, model in enumerate(models)
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _validation(gold: DataFrame, target: str, fold: int) -> DataFrame:
+def validation(gold: DataFrame, target: str, fold: int) -> DataFrame:
     _, valid = fold_split(gold.filter(F.col(target).isNotNull()), fold)
     return valid.withColumn("label", F.col(target).cast("int"))
 
@@ -248,7 +248,7 @@ def out_of_fold(
     """Probabilities of each row from the model that did not train on it, with the label."""
     parts = [
         _long(
-            classified(model.stages[-1], _prepared(model, _validation(gold, target, fold)), "_chances", rounds),
+            classified(model.stages[-1], prepared(model, validation(gold, target, fold)), "_chances", rounds),
             [entity, "label"], target, fold,
         )
         for fold, model in enumerate(models)
@@ -287,7 +287,7 @@ def boosting_curve(models: Sequence[PipelineModel], gold: DataFrame, target: str
 
     curves = []
     for fold, model in enumerate(models):
-        rows, names = _with_tree_outputs(model.stages[-1], _prepared(model, _validation(gold, target, fold)).select("label", "features"))
+        rows, names = _with_tree_outputs(model.stages[-1], prepared(model, validation(gold, target, fold)).select("label", "features"))
         running = [F.aggregate(name, start, add, lambda state: state["steps"]).alias(name) for name in names]
         steps = rows.select("label", *running).select("label", F.posexplode(F.arrays_zip(*names)).alias("iteration", "margin"))
         margins = [F.col("margin")[name] for name in names]
@@ -328,7 +328,7 @@ def permutation_importance(
     total = sum(size for _, _, size in slots)
     parts = []
     for fold, model in enumerate(models):
-        valid = _prepared(model, _validation(gold, target, fold)).select(entity, "label", vector_to_array("features").alias("own"))
+        valid = prepared(model, validation(gold, target, fold)).select(entity, "label", vector_to_array("features").alias("own"))
         last = model.stages[-1]
 
         def scored(rows: DataFrame, feature: Column, repetition: int, last: Model = last, fold: int = fold) -> DataFrame:

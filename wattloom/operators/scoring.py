@@ -28,11 +28,13 @@ def argmax_class(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def confusion(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by, truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+def confusion(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = (), rows: str | None = None) -> DataFrame:
+    """Rows per truth and prediction; `rows` names a column that holds counts already."""
+    count = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    return df.groupBy(*by, truth, predicted).agg(count.alias("n"))
 
 
-def class_f1(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+def class_f1(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = (), rows: str | None = None) -> DataFrame:
     """F1 of every class that occurs as truth or prediction."""
     hit = F.col(truth) == F.col(predicted)
     n = F.col("n")
@@ -43,16 +45,16 @@ def class_f1(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ())
         F.col(predicted).alias("class"), F.lit(0).cast("long").alias("tp"), F.when(hit, 0).otherwise(n).alias("wrong")
     )
     return (
-        confusion(df, truth, predicted, by)
+        confusion(df, truth, predicted, by, rows)
         .select(*by, F.explode(F.array(as_truth, as_prediction)).alias("part"))
         .groupBy(*by, F.col("part.class").alias("class"))
         .agg((2 * F.sum("part.tp") / (2 * F.sum("part.tp") + F.sum("part.wrong"))).alias("f1"))
     )
 
 
-def macro_f1(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+def macro_f1(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = (), rows: str | None = None) -> DataFrame:
     """Unweighted mean of the class F1 values, per `by` group."""
-    return class_f1(df, truth, predicted, by).groupBy(*by).agg(F.avg("f1").alias("f1"))
+    return class_f1(df, truth, predicted, by, rows).groupBy(*by).agg(F.avg("f1").alias("f1"))
 
 
 def mean_over(scores: DataFrame, level: Sequence[str], value: str = "f1") -> DataFrame:
