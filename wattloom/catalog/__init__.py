@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["readings", "features", "labels", "evaluation", "training", "learning"]
+MODULES = ["readings", "features", "labels", "evaluation", "training", "learning", "layers"]
 
 
 def _merged(attribute: str) -> dict:

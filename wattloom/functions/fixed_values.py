@@ -268,3 +268,94 @@ def safe_name(name: str) -> str:
 
 
 ALL_TARGETS = [BINARY_TARGET, *COMMERCIAL_TARGETS, *RESIDENTIAL_TARGETS]
+
+# Holidays of single states beyond the federal ones, as rules (state, name, rule, shift, first year, last year).
+# A rule is a date ("month-day"), a weekday in a month ("month/which/weekday", weekday 0 is Monday, which -1 is the last; with
+# "+days" after it) or days from Easter ("easter+days"). The shift says where a date on a weekend is kept: "near" for
+# Friday or Monday, "monday" for Sunday only, "" for nowhere. A last year of 0 is none; a negative first year
+# means even years only, from then on.
+STATE_HOLIDAYS = [
+    ("AK", "Seward's Day", "3/-1/0", "", 1918, 0),
+    ("AK", "Alaska Day", "10-18", "near", 1867, 0),
+    ("AL", "Confederate Memorial Day", "4/4/0", "", 1866, 0),
+    ("AL", "Jefferson Davis Birthday", "6/1/0", "", 1890, 0),
+    ("CA", "Cesar Chavez Day", "3-31", "monday", 1995, 0),
+    ("CA", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("CO", "Frances Xavier Cabrini Day", "10/1/0", "", 2020, 0),
+    ("CT", "Lincoln's Birthday", "2-12", "near", 1971, 0),
+    ("CT", "Good Friday", "easter-2", "", 1900, 0),
+    ("DC", "Emancipation Day", "4-16", "near", 2005, 0),
+    ("DE", "Good Friday", "easter-2", "", 1900, 0),
+    ("DE", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("DE", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("FL", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("GA", "State Holiday", "4/4/0", "", 2016, 0),
+    ("GA", "Day After Thanksgiving", "11/4/3+1", "", 1986, 0),
+    ("HI", "Prince Kuhio Day", "3-26", "near", 1949, 0),
+    ("HI", "Good Friday", "easter-2", "", 1900, 0),
+    ("HI", "Kamehameha Day", "6-11", "near", 1872, 0),
+    ("HI", "Statehood Day", "8/3/4", "", 1959, 0),
+    ("HI", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("IL", "Lincoln's Birthday", "2-12", "", 1971, 0),
+    ("IL", "Casimir Pulaski Day", "3/1/0", "", 1978, 0),
+    ("IL", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("IN", "Good Friday", "easter-2", "", 1900, 0),
+    ("IN", "Primary Election Day", "5/1/0+1", "", -2006, 0),
+    ("IN", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("IN", "Lincoln's Birthday", "11/4/3+1", "", 2010, 0),
+    ("KY", "Good Friday", "easter-2", "", 1900, 0),
+    ("KY", "Christmas Eve", "12-24", "", 1900, 0),
+    ("KY", "New Year's Eve", "12-31", "", 2013, 0),
+    ("LA", "Mardi Gras", "easter-47", "", 1857, 0),
+    ("LA", "Good Friday", "easter-2", "", 1900, 0),
+    ("LA", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("MA", "Patriots' Day", "4/3/0", "", 1969, 0),
+    ("MD", "American Indian Heritage Day", "11/4/3+1", "", 2008, 0),
+    ("MD", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("ME", "Patriots' Day", "4/3/0", "", 1969, 0),
+    ("MI", "Christmas Eve", "12-24", "", 2013, 0),
+    ("MI", "New Year's Eve", "12-31", "", 2013, 0),
+    ("MI", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("MO", "Lincoln's Birthday", "2-12", "near", 1971, 0),
+    ("MO", "Truman Day", "5-8", "near", 1949, 0),
+    ("MS", "Confederate Memorial Day", "4/-1/0", "", 1866, 0),
+    ("MT", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("NC", "Good Friday", "easter-2", "", 1900, 0),
+    ("NC", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("NC", "Christmas Eve", "12-24", "", 2013, 0),
+    ("NE", "Arbor Day", "4/-1/4", "", 1989, 0),
+    ("NE", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("NH", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("NH", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("NJ", "Good Friday", "easter-2", "", 1900, 0),
+    ("NJ", "Election Day", "11/1/0+1", "", 2008, 0),
+    ("NM", "Presidents' Day", "11/4/3+1", "", 2007, 0),
+    ("NV", "Nevada Day", "10/-1/4", "", 2000, 0),
+    ("NV", "Family Day", "11/4/3+1", "", 1987, 0),
+    ("NY", "Lincoln's Birthday", "2-12", "monday", 1971, 0),
+    ("NY", "Election Day", "11/1/0+1", "", 2015, 0),
+    ("OK", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("PA", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("RI", "Victory Day", "8/2/0", "", 1948, 0),
+    ("RI", "Election Day", "11/1/0+1", "", -2008, 0),
+    ("SC", "Confederate Memorial Day", "5-10", "near", 2000, 0),
+    ("SC", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("SC", "Day After Christmas", "12-26", "", 1900, 0),
+    ("TN", "Good Friday", "easter-2", "", 1900, 0),
+    ("TX", "Confederate Memorial Day", "1-19", "", 1931, 0),
+    ("TX", "Texas Independence Day", "3-2", "", 1874, 0),
+    ("TX", "San Jacinto Day", "4-21", "", 1875, 0),
+    ("TX", "Emancipation Day", "6-19", "", 1980, 0),
+    ("TX", "Lyndon Baines Johnson Day", "8-27", "", 1973, 0),
+    ("TX", "Day After Thanksgiving", "11/4/3+1", "", 1975, 0),
+    ("TX", "Christmas Eve", "12-24", "", 1981, 0),
+    ("TX", "Day After Christmas", "12-26", "", 1981, 0),
+    ("UT", "Pioneer Day", "7-24", "near", 1849, 0),
+    ("VA", "Lee Jackson Day", "1/3/0-3", "", 2000, 2020),
+    ("VA", "Election Day", "11/1/0+1", "", 2020, 0),
+    ("VT", "Town Meeting Day", "3/1/1", "", 1800, 0),
+    ("VT", "Bennington Battle Day", "8-16", "near", 1778, 0),
+    ("WV", "West Virginia Day", "6-20", "near", 1927, 0),
+    ("WV", "Lincoln's Day", "11/4/3+1", "", 1971, 0),
+    ("WV", "Election Day", "11/1/0+1", "", -2008, 0),
+]

@@ -40,6 +40,30 @@ def fit_codes(df: DataFrame, columns: Sequence[str] | None = None, entity: str =
     )
 
 
+def extended_codes(known: DataFrame, df: DataFrame, columns: Sequence[str] | None = None, entity: str = "bldg_id") -> DataFrame:
+    """A new version of a dictionary (column, value, code, version): it keeps every code and appends the values it lacks.
+
+    An anti join finds new values; they are sorted and numbered behind the largest code of their column. A value's version is
+    the first that knows it, so `codes_of_version` gives any earlier dictionary back. Without new values nothing changes.
+    """
+    fitted = fit_codes(df, columns, entity).drop("code")
+    fresh = fitted.join(known.select("column", "value"), ["column", "value"], "left_anti")
+    numbered = running_total(fresh.withColumn("_one", F.lit(1)), ["column", "value"], {"_one": "_place"})
+    starts = numbered.groupBy("column").agg(F.min("_place").alias("_start"))
+    largest = known.groupBy("column").agg((F.max("code") + 1).alias("_next"))
+    version = known.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).cast("int")).scalar()
+    # One row per column of the schema.
+    added = numbered.join(F.broadcast(starts.join(largest, "column", "left")), "column").select(
+        "column", "value", (F.col("_place") - F.col("_start") + F.coalesce("_next", F.lit(0))).cast("int").alias("code"), version.alias("version")
+    )
+    return known.select("column", "value", "code", "version").unionByName(added)
+
+
+def codes_of_version(codes: DataFrame, version: int) -> DataFrame:
+    """The dictionary (column, value, code) as it was in `version`."""
+    return codes.filter(F.col("version") <= version).select("column", "value", "code")
+
+
 def ordinal_codes(spark: SparkSession, levels: dict[str, list[str]] | None = None) -> DataFrame:
     """The fixed order of the ordinal targets in dictionary form."""
     levels = levels if levels is not None else {safe_name(name): values for name, values in ORDINAL_LEVELS.items()}

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.functions.calendar import state_holidays as state_holidays_of
 from wattloom.functions.fixed_values import ALL_TARGETS, BINARY_TARGET, FOLDS, safe_name
 from wattloom.operators import encode as enc
 from wattloom.operators import importance, models, scoring
@@ -115,8 +116,16 @@ def _economics(spark: SparkSession, layout: Layout) -> DataFrame:
     return spark.read.parquet(layout.at("silver", "economics"))
 
 
+def _state_holidays(spark: SparkSession, layout: Layout, hours: DataFrame) -> DataFrame:
+    """The holidays of the states, by their codes, in the years of the hours: at most rules x years rows."""
+    first, last = hours.agg(F.min(F.year("timestamp")), F.max(F.year("timestamp"))).first()
+    codes = _codes(spark, layout, "train_data").filter("column = 'state'").select(F.col("value").alias("state"), "code")
+    days = state_holidays_of(spark, range(first or 0, (last or -1) + 1) or [0])
+    return days.join(F.broadcast(codes), "state").select(F.col("code").alias("state"), "day")
+
+
 def build_gold(spark: SparkSession, layout: Layout, add: bool = False, state_holidays: DataFrame | None = None) -> None:
-    """Feature rows, folds and labels of the training buildings."""
+    """Feature rows, folds and labels of the training buildings. State holidays come from the rules unless a table is given."""
     hours = spark.read.parquet(layout.at("silver", "train_hours"))
     labels = spark.read.parquet(layout.at("silver", "labels"))
     if add:
@@ -125,6 +134,8 @@ def build_gold(spark: SparkSession, layout: Layout, add: bool = False, state_hol
     labelled = of_ids(hours, labels)
     kinds = _codes(spark, layout, "train_label").filter((F.col("column") == layout.binary) & (F.col("value") == "commercial"))
     folds = folds_of_targets(labels, layout.targets, layout.folds, commercial_code=kinds.first()["code"])
+    if state_holidays is None:
+        state_holidays = _state_holidays(spark, layout, labelled)
     narrow = narrow_hours(labelled, state_holidays)
     features = with_economics(load_features(dated_hours(narrow)), _economics(spark, layout))
     write_gold(features, folds, layout.at("gold"), layout.targets)
@@ -133,7 +144,10 @@ def build_gold(spark: SparkSession, layout: Layout, add: bool = False, state_hol
 
 def build_test_gold(spark: SparkSession, layout: Layout, state_holidays: DataFrame | None = None) -> None:
     """Feature rows of the test buildings."""
-    narrow = narrow_hours(spark.read.parquet(layout.at("silver", "test_hours")), state_holidays)
+    hours = spark.read.parquet(layout.at("silver", "test_hours"))
+    if state_holidays is None:
+        state_holidays = _state_holidays(spark, layout, hours)
+    narrow = narrow_hours(hours, state_holidays)
     write.parquet(with_economics(load_features(dated_hours(narrow)), _economics(spark, layout)), layout.at("gold", "test"))
     narrow.unpersist()
 
