@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -62,6 +63,10 @@ _LOWER |= {upper: upper + 0x20 for upper in range(0x10D50, 0x10D66)} | {upper: u
 _FIRST_NEWER = "\u0558"
 #: Entries per generation of a worker's memory of words; two generations are kept.
 GENERATION = 100_000
+SYMBOL_BITS = 20
+#: Ranks that are taken up together, and the rank of a pair that does not merge.
+WINDOW = 512
+NEVER = 1 << 40
 
 
 class Memory:
@@ -99,109 +104,162 @@ class Vocabulary:
         self.ids: dict[str, int] = stored["model"]["vocab"]
         self.special: dict[str, int] = {x["content"]: x["id"] for x in stored["added_tokens"]}
         self.tokens = {number: token for token, number in (self.ids | self.special).items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.texts = {number: str(number) for number in self.tokens}
+        #: A pair is one number, its left symbol above its right one. Merges are (rank, joined symbol).
+        self.merges: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(stored["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+            self.merges[self.ids[left] << SYMBOL_BITS | self.ids[right]] = (rank, self.ids[left + right])
+        #: By rank: the pair, what it becomes, whether its symbols are equal.
+        self.by_rank = {rank: (pair, joined, pair >> SYMBOL_BITS == pair & (1 << SYMBOL_BITS) - 1) for pair, (rank, joined) in self.merges.items()}
+        self.pairs = np.array(sorted(self.merges), np.int64)
+        self.ranks = np.array([self.merges[pair][0] for pair in self.pairs.tolist()], np.int64)
+        self.size = len(stored["model"]["merges"])
+        # A merge whose symbol is part of a pair of a lower rank.
+        least: dict[int, int] = {}
+        for rank, (pair, _, _) in self.by_rank.items():
+            for part in (pair >> SYMBOL_BITS, pair & (1 << SYMBOL_BITS) - 1):
+                least[part] = min(rank, least.get(part, rank))
+        self.risky = {rank: least.get(joined, rank) < rank for rank, (_, joined, _) in self.by_rank.items()}
         characters = _byte_characters()
-        self.inner = [self.ids.get(x) for x in characters]
-        self.final = [self.ids.get(x + END) for x in characters]
+        self.inner = np.array([self.ids.get(x, -1) for x in characters], np.int64)
+        self.final = np.array([self.ids.get(x + END, -1) for x in characters], np.int64)
         self.split_special = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         self.words, self.pieces = Memory(GENERATION), Memory(GENERATION)
 
-    def symbols(self, word: str) -> list[int]:
-        data = word.encode()
-        found = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
-        return [x for x in found if x is not None]
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, bounds) of words laid out one after the other: a symbol per byte that the vocabulary has."""
+        data = [word.encode() for word in words]
+        place = np.frombuffer(b"".join(data), np.uint8)
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
+        found = self.inner[place]
+        found[bounds[1:] - 1] = self.final[place[bounds[1:] - 1]]
+        known = found >= 0
+        return found[known], np.concatenate(([0], np.cumsum(known)))[bounds]
+
+    def ranks_of(self, pairs: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NEVER for one that does not merge."""
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.ranks[at], NEVER)
 
     def encoded(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word, all words worked on together."""
-        symbol: list[int] = []
-        bounds = [0]
-        for word in words:
-            symbol.extend(self.symbols(word))
-            bounds.append(len(symbol))
-        after = list(range(1, len(symbol) + 1))
-        before = list(range(-1, len(symbol) - 1))
-        for end in bounds[1:]:
-            if end:
-                after[end - 1] = -1
-        for start in bounds[:-1]:
-            if start < len(symbol):
-                before[start] = -1
-        merges = self.merges
-        index: dict[tuple[int, int], list[int]] = {}
-        for place, following in enumerate(after):
-            if following > 0:
-                pair = (symbol[place], symbol[following])
-                if pair in merges:
-                    index.setdefault(pair, []).append(place)
-        ranks = [(merges[pair][0], pair) for pair in index]
-        heapq.heapify(ranks)
-        gone = bytearray(len(symbol))
-        while ranks:
-            rank, pair = heapq.heappop(ranks)
-            places = index.pop(pair, None)
-            if places is None:
+        """Token ids of each word (none is empty), all words worked on together.
+
+        `rank[i]` is the rank of the pair that begins at place i. Active ranks are taken in ascending order, a window of them
+        at a time: the index maps each to all places where its pair stands, and all of them are merged at once. The pairs on
+        both sides get new ranks; those within the window enter the index.
+        """
+        if not words:
+            return []
+        start, bounds = self.symbols(words)
+        count = len(start)
+        # One more place, which stands for the end of a word on either side and merges with nothing.
+        symbol = np.append(start, (1 << SYMBOL_BITS) - 1)
+        first = np.zeros(count + 1, bool)
+        first[bounds] = True
+        places = np.arange(count + 1)
+        after = np.where(np.append(first[1:], True), count, np.minimum(places + 1, count))
+        before = np.where(first, count, places - 1)
+        rank = self.ranks_of(symbol << SYMBOL_BITS | symbol[after])
+        rank[count] = NEVER
+        gone = np.zeros(count + 1, bool)
+        for high in range(WINDOW, self.size + WINDOW, WINDOW):
+            here = np.flatnonzero(rank < high)
+            if not len(here):
                 continue
-            places.sort()
-            joined = merges[pair][1]
-            for done, place in enumerate(places):
-                right = after[place]
-                # Stale: a merge beside it took one of its symbols.
-                if gone[place] or right < 0 or symbol[place] != pair[0] or symbol[right] != pair[1]:
+            here = here[np.argsort(rank[here], kind="stable")]
+            kinds, starts = np.unique(rank[here], return_index=True)
+            index = dict(zip(kinds.tolist(), np.split(here, starts[1:]), strict=True))
+            late: dict[int, list[int]] = {}
+            heap = list(index)
+            while heap:
+                number = heapq.heappop(heap)
+                at = index.pop(number, None)
+                if number in late:
+                    more = np.array(late.pop(number))
+                    at = np.unique(more if at is None else np.concatenate((at, more)))
+                if at is None:
                     continue
-                symbol[place] = joined
-                gone[right] = 1
-                following = after[right]
-                after[place] = following
-                lower = False
-                if following >= 0:
-                    before[following] = place
-                    lower = self._noted(index, ranks, (joined, symbol[following]), place, rank)
-                previous = before[place]
-                if previous >= 0:
-                    lower = self._noted(index, ranks, (symbol[previous], joined), previous, rank) or lower
-                if lower and done + 1 < len(places):
-                    index.setdefault(pair, []).extend(places[done + 1 :])
-                    heapq.heappush(ranks, (rank, pair))
-                    break
-        return [[symbol[i] for i in range(a, b) if not gone[i]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def _noted(self, index: dict, ranks: list, pair: tuple[int, int], place: int, rank: int) -> bool:
-        """Adds a new occurrence to the index; whether its rank is lower than the one at work."""
-        merge = self.merges.get(pair)
-        if merge is None:
-            return False
-        places = index.get(pair)
-        if places is None:
-            index[pair] = [place]
-            heapq.heappush(ranks, (merge[0], pair))
-        else:
-            places.append(place)
-        return merge[0] < rank
+                # A place whose pair is another by now, or that is part of a symbol before it, has another rank.
+                at = at[rank[at] == number]
+                if len(at) and self.by_rank[number][2]:
+                    at = self._apart(at, after)
+                # Where a merge can make a pair of a lower rank, that one goes first in its word.
+                for low in range(0, len(at), 1 if self.risky[number] else max(1, len(at))):
+                    some = at[low : low + 1] if self.risky[number] else at
+                    new, changed = self._merged(some, number, symbol, after, before, rank, gone)
+                    inside = new < high
+                    if inside.any():
+                        soon = new[inside].tolist()
+                        for kind, place in zip(soon, changed[inside].tolist(), strict=True):
+                            if kind not in late:
+                                late[kind] = []
+                                heapq.heappush(heap, kind)
+                            late[kind].append(place)
+                        if min(soon) < number and low + 1 < len(at):
+                            late.setdefault(number, []).extend(at[low + 1 :].tolist())
+                            heapq.heappush(heap, number)
+                            break
+        left = np.flatnonzero(~gone[:count])
+        cuts = np.searchsorted(left, bounds).tolist()
+        ids = symbol[left].tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    @staticmethod
+    def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Places of a pair of equal symbols without those that overlap the one taken before."""
+        taken, blocked = [], -1
+        for place, following in zip(at.tolist(), after[at].tolist(), strict=True):
+            if place != blocked:
+                taken.append(place)
+                blocked = following
+        return np.array(taken, np.int64)
+
+    def _merged(self, at: np.ndarray, number: int, symbol, after, before, rank, gone) -> tuple[np.ndarray, np.ndarray]:
+        """Merges the pair of rank `number` at places that do not overlap; the new ranks and where they stand."""
+        joined = self.by_rank[number][1]
+        right = after[at]
+        following = after[right]
+        symbol[at] = joined
+        gone[right] = True
+        rank[right] = NEVER
+        after[at] = following
+        before[following] = at
+        previous = before[at]
+        changed = np.concatenate((at, previous))
+        new = self.ranks_of(np.concatenate((joined << SYMBOL_BITS | symbol[following], symbol[previous] << SYMBOL_BITS | joined)))
+        rank[changed] = new
+        return new, changed
 
     def learn(self, pieces: list[str]) -> dict[str, tuple[str, str, int]]:
         """Ids, decoded text and number of tokens of pieces without white space."""
-        split = {piece: split_words(piece) for piece in pieces}
+        split = split_pieces(pieces)
         known: dict[str, tuple[str, str, int]] = {}
-        fresh = []
-        for words in split.values():
+        fresh: dict[str, None] = {}
+        memory = self.words
+        for words in split:
             for word in words:
-                if word not in known:
-                    value = self.words.get(word)
+                if word not in known and word not in fresh:
+                    value = memory.get(word)
                     if value is None:
-                        fresh.append(word)
-                    known[word] = value
-        fresh = list(dict.fromkeys(fresh))
-        for word, ids in zip(fresh, self.encoded(fresh), strict=True):
-            known[word] = (" ".join(map(str, ids)), " ".join([self.tokens[x] for x in ids]), len(ids))
-            self.words.put(word, known[word])
+                        fresh[word] = None
+                    else:
+                        known[word] = value
+        texts, tokens = self.texts, self.tokens
+        unknown = list(fresh)
+        for word, ids in zip(unknown, self.encoded(unknown), strict=True):
+            known[word] = value = (" ".join([texts[x] for x in ids]), " ".join([tokens[x] for x in ids]), len(ids))
+            memory.put(word, value)
         out = {}
-        for piece, words in split.items():
-            parts = [x for x in (known[word] for word in words) if x[2]]
-            out[piece] = (" ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum(x[2] for x in parts))
-            self.pieces.put(piece, out[piece])
+        put = self.pieces.put
+        for piece, words in zip(pieces, split, strict=True):
+            if len(words) == 1:
+                value = known[words[0]]
+            else:
+                parts = [x for x in map(known.__getitem__, words) if x[2]]
+                value = (" ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts]))
+            out[piece] = value
+            put(piece, value)
         return out
 
 
@@ -222,6 +280,34 @@ def split_words(piece: str) -> list[str]:
     return (_WORDS if text.isascii() or max(text) < _FIRST_NEWER else _NEWER_WORDS).findall(text)
 
 
+#: Words of ASCII texts and of those before the newer characters, and the line feed that parts pieces.
+_ASCII_LINES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^a-z0-9\n]+")
+_LINES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|\n|[^{WHITE}\p{{L}}\p{{N}}]+", regex.V1)
+
+
+def split_pieces(pieces: list[str]) -> list[list[str]]:
+    """The words of each piece. Pieces hold no white space, so they are normalised and split in one go, as a line each."""
+    out: list[list[str]] = [[] for _ in pieces]
+    kinds: tuple[list[int], list[int]] = [], []
+    for place, piece in enumerate(pieces):
+        if piece.isascii():
+            kinds[0].append(place)
+        elif max(piece) < _FIRST_NEWER:
+            kinds[1].append(place)
+        else:
+            out[place] = split_words(piece)
+    for places, pattern in zip(kinds, (_ASCII_LINES, _LINES), strict=True):
+        if places:
+            rows = iter(places)
+            found = out[next(rows)]
+            for word in pattern.findall(normalised("\n".join([pieces[place] for place in places]))):
+                if word == "\n":
+                    found = out[next(rows)]
+                else:
+                    found.append(word)
+    return out
+
+
 @cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
