@@ -32,7 +32,9 @@ SCALE = 2_000_000
 TOP = 2000
 UNKNOWN = "und"
 #: Words of one shard.
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 2_000_000
+#: Different words a task holds before it sends their counts on.
+HELD_WORDS = 400_000
 #: Bits of the bitmap of frequent phrases: 8 MB.
 BITS = 26
 #: Longer words are hashed one by one.
@@ -80,17 +82,29 @@ def _languages(batch: pa.RecordBatch) -> list[str]:
     return [UNKNOWN if x is None else x for x in batch.column("lang").to_pylist()]
 
 
+def _united(held: list[pa.Table]) -> pa.Table:
+    """Counts of several tables, summed per word; rows that agree in one hash alone stay apart."""
+    table = pa.concat_tables(held, promote_options="default")
+    word, check = (table.column(x).to_numpy().view(np.uint64) for x in ("word", "check"))
+    order = np.lexsort((check, word))
+    word, check = word[order], check[order]
+    first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (check[1:] != check[:-1]))))
+    n = np.add.reduceat(table.column("n").to_numpy()[order], first)
+    return table.take(pa.array(order[first])).set_column(2, "n", pa.array(n)).combine_chunks()
+
+
 def counted_words(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(word long, text binary, lang, n, one): every word of every language; `one` is false where two words share a hash."""
+    """(word long, check long, n, lang, text binary): every word of every language; two that share `word` differ in the rest."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             langs = _languages(batch)
             names = sorted(set(langs))
             numbers = {x: i for i, x in enumerate(names)}
             own = np.array([numbers[x] for x in langs], np.int64)
             salts = _salts(names, seed)
-            for chunk in chunks(batch, limit=8 << 20):
+            for chunk in chunks(batch):
                 got, starts, ends = tokens(chunk, own[chunk.first : chunk.first + len(chunk)], salts, check=True)
                 order = np.argsort(got.word, kind="stable")
                 word, check = got.word[order], got.check[order]
@@ -102,21 +116,27 @@ def counted_words(docs: DataFrame, seed: int = 0) -> DataFrame:
                 bounds = np.concatenate(([0], np.cumsum(size)))
                 text = LOWER[chunk.data][np.repeat(starts[at] - bounds[:-1], size) + np.arange(bounds[-1])]
                 column = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(text)])
-                yield from pa.table(
-                    {
-                        "word": word[first].view(np.int64),
-                        "check": check[first].view(np.int64),
-                        "text": column.cast(pa.binary()),
-                        "lang": pa.DictionaryArray.from_arrays(pa.array(got.lang[at]), pa.array(names)).cast(pa.string()),
-                        "n": np.diff(np.append(first, len(order))),
-                    }
-                ).to_batches(50_000)
-
-    rows = docs.select("text", "lang").mapInArrow(count, "word long, check long, text binary, lang string, n long")
-    return rows.groupBy("word").agg(
-        F.min("text").alias("text"), F.min("lang").alias("lang"), F.sum("n").alias("n"),
-        (F.min("check") == F.max("check")).alias("one"),
-    )
+                held.append(
+                    pa.table(
+                        {
+                            "word": word[first].view(np.int64),
+                            "check": check[first].view(np.int64),
+                            "n": np.diff(np.append(first, len(order))),
+                            "lang": pa.array(names).take(pa.array(got.lang[at])),
+                            "text": column.cast(pa.binary()),
+                        }
+                    )
+                )
+                if sum(len(x) for x in held) > 2 * HELD_WORDS:
+                    held = [_united(held)]
+                    if len(held[0]) > HELD_WORDS:
+                        yield from held.pop().to_batches(50_000)
+        if held:
+            yield from _united(held).to_batches(50_000)
+
+    rows = docs.select("text", "lang").mapInArrow(count, "word long, check long, n long, lang string, text binary")
+    # Tasks have summed already; dealt by the hash alone, so that words which share it meet without another shuffle.
+    return rows.repartition("word").groupBy("word", "check", "lang", "text").agg(F.sum("n").alias("n"))
 
 
 def _joined_hash(columns: Sequence[np.ndarray]) -> np.ndarray:
@@ -196,7 +216,8 @@ def _mined(docs: DataFrame, totals: dict[str, int], seed: int, length: int, know
     names = _names(length)
 
     def sent(held: list[Tokens]) -> Iterator[pa.RecordBatch]:
-        shard = Tokens(*(np.concatenate([getattr(x, name) for x in held]) for name in ("word", "check", "lang", "follows")))
+        word, lang, follows = (np.concatenate([getattr(x, name) for x in held]) for name in ("word", "lang", "follows"))
+        shard = Tokens(word, word, lang, follows)
         held.clear()
         bits = np.frombuffer(known.value, np.uint8)
         places = _places(shard, length, bits, None if asked is None else np.frombuffer(asked.value, np.uint8))
@@ -248,7 +269,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, bi
     spark = docs.sparkSession
     for seed in range(8):
         counted = cut_lineage(counted_words(docs, seed))
-        if counted.filter("not one").isEmpty():
+        if counted.groupBy("word").agg(F.count(F.lit(1)).alias("words")).filter("words > 1").isEmpty():
             break
     else:
         raise RuntimeError("no hash tells all words apart")
