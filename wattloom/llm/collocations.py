@@ -32,7 +32,9 @@ SCALE = 2_000_000
 TOP = 2000
 UNKNOWN = "und"
 #: Words of one shard.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
+#: Words whose phrases one part sums up.
+PART_WORDS = 4_000_000
 #: Different words a task holds before it sends their counts on.
 HELD_WORDS = 400_000
 #: Bits of the bitmap of frequent phrases: 8 MB.
@@ -207,9 +209,11 @@ def _names(length: int) -> list[str]:
 
 
 def _mined(docs: DataFrame, totals: dict[str, int], seed: int, length: int, known, asked, support: int, parts: int) -> DataFrame:
-    """(part, w1.., n): phrases of one length, summed over shards. Part -1 holds what the shards' supports are above 1.
+    """(part, w1.., n): phrases of one length that can reach the support in all texts, with the counts that shards sent.
 
-    Without `asked` a shard sends what reaches its local support, with it all that is asked for.
+    Without `asked` a shard sends what reaches its local support. A shard that sends nothing of a phrase has at most one
+    occurrence less than its local support; by these bounds of all shards a part leaves out what cannot reach the support.
+    Part -1 holds the largest sum of such bounds: with 0 all counts are exact. With `asked` all that is asked for is counted.
     """
     langs = sorted(totals)
     numbers = {x: i for i, x in enumerate(langs)}
@@ -222,16 +226,22 @@ def _mined(docs: DataFrame, totals: dict[str, int], seed: int, length: int, know
         bits = np.frombuffer(known.value, np.uint8)
         places = _places(shard, length, bits, None if asked is None else np.frombuffer(asked.value, np.uint8))
         first, counts = _phrases(shard, places, length)
+        unsent = 0
         if asked is None:
             share = np.bincount(shard.lang, minlength=len(langs))
             least = np.array([max(1, -(-support * int(x) // totals[name])) for x, name in zip(share, langs, strict=True)], np.int64)
             kept = counts >= least[shard.lang[first]]
             first, counts = first[kept], counts[kept]
-            yield packed(np.array([-1]), [*(np.zeros(1, np.uint64) for _ in names), (least.max(keepdims=True) - 1).astype(np.uint32)], [*names, "n"])
+            unsent = int(least.max()) - 1
+        if unsent:
+            # What this shard may hold of any phrase that it does not send is told to every part.
+            every = np.arange(-1, parts)
+            none = np.zeros(len(every), np.uint64)
+            yield packed(every, [*(none for _ in names), np.full(len(every), unsent, np.int32), np.ones(len(every), np.uint8)], [*names, "n", "bound"])
         columns = [shard.word[first + j] for j in range(length)]
         part = (_joined_hash(columns) % np.uint64(parts)).astype(np.int32)
         if len(first):
-            yield packed(part, [*columns, counts.astype(np.uint32)], [*names, "n"])
+            yield packed(part, [*columns, (counts - unsent).astype(np.int32), np.zeros(len(first), np.uint8)], [*names, "n", "bound"])
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = _salts(langs, seed)
@@ -247,7 +257,12 @@ def _mined(docs: DataFrame, totals: dict[str, int], seed: int, length: int, know
 
     def summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         columns = [unpacked(table, name, np.uint64) for name in names]
-        counts = unpacked(table, "n", np.uint32).astype(np.int64)
+        counts, bound = unpacked(table, "n", np.int32).astype(np.int64), unpacked(table, "bound", np.uint8).astype(bool)
+        unsent = int(counts[bound].sum())
+        if key[0].as_py() < 0:
+            columns, counts, least = [x[:1] for x in columns], np.array([unsent]), 0
+        else:
+            columns, counts, least = [x[~bound] for x in columns], counts[~bound], support - unsent
         order = np.lexsort(columns[::-1])
         columns = [x[order] for x in columns]
         fresh = np.zeros(len(order), bool)
@@ -256,10 +271,11 @@ def _mined(docs: DataFrame, totals: dict[str, int], seed: int, length: int, know
             fresh[1:] |= x[1:] != x[:-1]
         starts = np.flatnonzero(fresh)
         n = np.add.reduceat(counts[order], starts) if len(starts) else counts
+        starts, n = starts[n >= least], n[n >= least]
         return pa.table({"part": pa.array([key[0].as_py()] * len(starts), pa.int32()), **{x: y[starts].view(np.int64) for x, y in zip(names, columns, strict=True)}, "n": n})
 
     schema = f"part int, {', '.join(f'{x} long' for x in names)}, n long"
-    rows = docs.select("text", "lang").mapInArrow(mine, packed_schema([*names, "n"]))
+    rows = docs.select("text", "lang").mapInArrow(mine, packed_schema([*names, "n", "bound"]))
     return rows.groupBy("part").applyInArrow(summed, schema)
 
 
@@ -275,7 +291,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, bi
         raise RuntimeError("no hash tells all words apart")
     # One row per language.
     totals = {row["lang"]: row["n"] for row in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(totals.values()) // SHARD_WORDS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(totals.values()) // PART_WORDS))
     often = counted.filter(F.col("n") >= support)
     out = often.select(F.array("word").alias("key"), F.lit(1).alias("length"), "lang", F.col("n").alias("a"))
     level = often.select(F.col("word").alias("w1"))
