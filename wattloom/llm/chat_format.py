@@ -34,9 +34,9 @@ def _role_in(role: Column) -> Column:
 
 
 def _role_out(role: Column) -> Column:
-    # A doubled backslash is set aside while line feeds come back.
-    aside = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # Between doubled backslashes, the only ones left stand for line feeds.
+    pieces = F.split(unescaped(role), r"\\\\")
+    return F.array_join(F.transform(pieces, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
