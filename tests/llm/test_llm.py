@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -289,6 +291,65 @@ def test_pages_with_more_advertising_than_article():
     assert html_extract.main_text('<body><div class="header"><div class="ad">Buy it</div><h1>Title</h1><p>One more line</p></div></body>') == "Title\nOne more line"
 
 
+def _plain_density(node, body):
+    """The density of one node, all counts taken again from the tree below it."""
+
+    def below(x):
+        return [x, *(y for child in x.children if isinstance(child, html_extract.Node) and not child.dropped for y in below(child))]
+
+    def text_of(x):
+        return sum(y.weight * len("".join("".join(t.split()) for t in y.children if isinstance(t, str))) for y in below(x))
+
+    def counts(x):
+        links = [y for y in below(x) if y.tag == "a"]
+        return text_of(x), len(below(x)) - 1, sum(map(text_of, links)), sum(y is not x for y in links)
+
+    chars, tags, linked, link_tags = counts(node)
+    whole = counts(body)
+    if chars <= 0:
+        return 0.0
+    base = math.log(chars / max(chars - linked, 1) * linked + whole[2] / max(whole[0], 1) * chars + math.e)
+    return chars / max(tags, 1) * max(0.0, math.log(chars / max(linked, 1) * max(tags, 1) / max(link_tags, 1))) / math.log(1 + base)
+
+
+def test_densities_equal_plain_counts():
+    pages = pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist()
+    linked = '<body><div class="c1"><a href="x">one <b>two</b></a> three</div><div><p>Four <a>five</a> six</p><p class="ad">Seven</p></div></body>'
+    for page in [*pages[:20], linked]:
+        root = html_extract._tree(page)
+        nodes = html_extract._walk(root)
+        html_extract._weigh_marks(nodes)
+        body = next((x for x in nodes if x.tag == "body"), root)
+        html_extract._weigh(nodes, body)
+        for node in nodes:
+            if not node.dropped:
+                assert math.isclose(node.density, _plain_density(node, body), rel_tol=1e-9, abs_tol=1e-9)
+                children = [x for x in node.children if isinstance(x, html_extract.Node) and not x.dropped]
+                assert math.isclose(node.total, sum(_plain_density(x, body) for x in children), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_density_tells_pages_whose_names_say_nothing(monkeypatch):
+    pages = pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist()
+    expected = [html_extract.main_text(x) for x in pages]
+    plain = [x.replace('class="ad"', 'class="c1"').replace("<article>", '<div class="c2">').replace("</article>", "</div>") for x in pages]
+    same = sum(html_extract.main_text(x) == y for x, y in zip(plain, expected, strict=True))
+    assert same >= 0.9 * len(pages)
+    # Without density, no mark drops anything.
+    monkeypatch.setattr(html_extract, "_chosen", lambda nodes, body: ({id(body)}, set()))
+    assert all(html_extract.main_text(x) != y for x, y in zip(pages, expected, strict=True) if 'class="ad"' in x)
+
+
+def test_pages_keep_all_that_is_no_form():
+    page = "<body><article><p>The value is <math><mi>x</mi>=2</math> here, <label>as said</label> <object>instead</object></p><fieldset>Set</fieldset></article></body>"
+    assert html_extract.main_text(page) == "The value is x=2 here, as said instead\nSet"
+
+
+def test_sections_of_one_article_stay_together():
+    long, short = "A long sentence stands in this paragraph of the first section. " * 9, "Short."
+    page = f"<body><article><section><p>{long}</p><p>{long}</p></section><section><p>{short}</p></section></article><div>Buy</div></body>"
+    assert html_extract.main_text(page) == "\n".join([long.strip(), long.strip(), short])
+
+
 @pytest.mark.parametrize("n", [1, 9, 40, 300])
 def test_pages_whose_lower_case_is_longer(n):
     first, last = "\u0130" * n + " ve daha fazla", "Son paragraf da burada durur"
@@ -326,7 +387,7 @@ def test_line_dedup_of_short_units(spark):
 
 def test_chat_round_trip(spark):
     texts = ["<|im_end|>", "<\\|", "a<|b", "\\n", None, "<\\\\|im_start|>x\n", "ok"]
-    rows = [(i, t, role, text) for i, role in enumerate(["user", "assistant", "we\nird\\n<|", None]) for t, text in enumerate(texts)]
+    rows = [(i, t, role, text) for i, role in enumerate(["user", "assistant", "we\nird\\n<|", None, "a\x00b", "\\\\n\\", "\\\n"]) for t, text in enumerate(texts)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", secret_scan.F.lit(1))
     for row in chat_format.formatted(frame).collect():
         assert row.identical and [t.text for t in row.turns] == [x or "" for x in texts]

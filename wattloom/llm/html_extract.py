@@ -1,8 +1,10 @@
 """HTML extraction by composite text density.
 
 For every node of the page's tree: characters per tag, weighed down by the share of linked characters and tags. A node's
-sum is that of its children's densities. The subtree with the largest sum is the article; the smallest density on its
-path to the body is the threshold from which other subtrees count as content, too.
+sum is that of its children's densities. The subtree with the largest sum is the article (or the article, main part or
+division that this one is a part of); the smallest density on its path to the body is the threshold from which other
+subtrees count as content, too. Names that mark an element as something else (`MARKS`) drop nothing by themselves: its
+characters count `MARK_WEIGHT` only, and inside the content it goes if its density then is below the threshold.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"
 _NAME_PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math xmp object".split())
+RAW = set("script style noscript template textarea title iframe xmp".split())
 #: Their ends, at any case; looked up in the page itself, as lower case can have other lengths (U+0130).
 _RAW_ENDS = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW}
 #: Their text is never the article's.
-DROPPED = RAW | set("head nav aside form button select option dialog menu label fieldset".split())
+DROPPED = (RAW - {"xmp"}) | set("head nav aside form button select option dialog menu".split())
 #: Not the article's unless they stand inside one.
 OUTER = {"header", "footer"}
 BLOCKS = set(
@@ -37,6 +39,8 @@ BLOCKS = set(
     " li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = set("article body center div html main section table tbody td tr ul ol dl blockquote".split())
+#: These are parts of what stands around them.
+PARTS = set("section table tbody td tr ul ol dl blockquote".split())
 #: Opening one of the first ends an open one of the second.
 CLOSES = {
     **{tag: {"p"} for tag in BLOCKS if tag not in ("html", "body")},
@@ -57,12 +61,14 @@ STATES = set("has have hide no non not show with without".split())
 UNMARKED = {"html", "body", "main", "article"}
 #: An element that holds one of these may be around the article.
 HEADS = {"main", "h1"}
+#: What a character counts in an element that its name marks.
+MARK_WEIGHT = 0.02
 
 
 class Node:
     __slots__ = (
-        "tag", "parent", "children", "dropped", "marked", "article", "around", "own_chars", "plain_chars", "chars", "tags", "link_chars", "link_tags",
-        "density", "total",
+        "tag", "parent", "children", "dropped", "marked", "article", "around", "weight", "own_chars", "plain_chars", "chars", "tags", "link_chars",
+        "link_tags", "density", "total",
     )
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, marked: int, article: bool) -> None:
@@ -71,6 +77,7 @@ class Node:
         self.children: list[Node | str] = []
         self.own_chars = self.plain_chars = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.weight = 1.0
 
 
 def _signs(attributes: str, article: bool) -> tuple[bool, int]:
@@ -132,6 +139,8 @@ def _tree(page: str) -> Node:
         if tag in RAW:
             # Nothing inside is markup.
             end = _RAW_ENDS[tag].search(page, at)
+            if not dropped:
+                own.children.append(page[at : end.start()] if end else page[at:])
             if not end:
                 return root
             close = page.find(">", end.end())
@@ -150,8 +159,8 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def _drop_marked(nodes: list[Node]) -> None:
-    """Drop what is marked, but no element that may be around the article: there density decides.
+def _weigh_marks(nodes: list[Node]) -> None:
+    """Lower the weight of what is marked, but of no element that may be around the article, where a mark tells nothing.
 
     Such an element holds most of the page's characters outside links; if its whole name is a mark, it has to hold the main
     part or a first heading, too, as an advertisement can be longer than a short article.
@@ -167,16 +176,34 @@ def _drop_marked(nodes: list[Node]) -> None:
                 node.around |= child.around and not child.dropped
         node.plain_chars = 0 if node.tag == "a" else node.plain_chars + node.own_chars
     for node in nodes:
-        most = 2 * node.plain_chars > nodes[0].plain_chars and (node.marked < 2 or node.around)
-        if (node.parent is not None and node.parent.dropped) or (node.marked and not most):
-            node.dropped = True
+        if node.parent is not None:
+            node.dropped |= node.parent.dropped
+            node.weight = node.parent.weight
+        if node.marked and 2 * node.plain_chars > nodes[0].plain_chars and (node.marked < 2 or node.around):
+            node.marked = 0
+        if node.marked:
+            node.weight *= MARK_WEIGHT
+
+
+def density(chars: float, tags: int, link_chars: float, link_tags: int, share: float) -> float:
+    """Composite text density: characters per tag by a logarithm of how few of both are linked.
+
+    `share` is the share of linked characters in the body. The base of the logarithm is one more than in its usual form,
+    which has none where a page has no links.
+    """
+    if chars <= 0:
+        return 0.0
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    unlinked = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * math.log(max(unlinked, 1.0)) / math.log1p(base)
 
 
 def _weigh(nodes: list[Node], body: Node) -> None:
+    """The density of every node, and the sum of its children's."""
     for node in reversed(nodes):
         if node.dropped:
             continue
-        node.chars = node.own_chars
+        node.chars = node.own_chars * node.weight
         for child in node.children:
             if isinstance(child, Node) and not child.dropped:
                 node.chars += child.chars
@@ -186,40 +213,47 @@ def _weigh(nodes: list[Node], body: Node) -> None:
         if node.tag == "a":
             node.link_chars = node.chars
     share = body.link_chars / max(body.chars, 1)
-    for node in nodes:
-        if node.dropped or not node.chars:
-            continue
-        plain = max(node.chars - node.link_chars, 1)
-        base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e)
-        linked = (node.chars / max(node.link_chars, 1)) * (max(node.tags, 1) / max(node.link_tags, 1))
-        node.density = node.chars / max(node.tags, 1) * math.log(max(linked, 1.0)) / max(math.log(base), 1e-9) if base > 1 else 0.0
-    for node in nodes:
-        node.total = sum(x.density for x in node.children if isinstance(x, Node))
+    for node in reversed(nodes):
+        if not node.dropped:
+            node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+            node.total = sum(x.density for x in node.children if isinstance(x, Node))
+
+
+def _whole(best: Node) -> Node:
+    """The article around a node, else the main part, else the first that is no mere part of another."""
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    for tag in ("article", "main"):
+        found = next((x for x in path if x.tag == tag), None)
+        if found is not None:
+            return found
+    return next((x for x in path if x.tag in CONTAINERS - PARTS), best)
 
 
-def _chosen(nodes: list[Node], body: Node) -> set[int]:
-    """The roots of what counts as content."""
+def _chosen(nodes: list[Node], body: Node) -> tuple[set[int], set[int]]:
+    """The roots of what counts as content, and the marked elements that do not."""
     candidates = [x for x in nodes if not x.dropped and x.tag in CONTAINERS and x.chars]
     if not candidates:
-        return {id(body)}
-    best = max(candidates, key=lambda x: x.total)
-    path, up = [best], best
-    while up is not body and up.parent is not None:
-        up = up.parent
-        path.append(up)
+        return {id(body)}, set()
+    best = _whole(max(candidates, key=lambda x: x.total))
+    path = [best]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    above = {id(x) for x in path[1:]}
-    return {id(x) for x in candidates if x is best or (id(x) not in above and x.density >= threshold)}
+    above = {id(x) for x in path}
+    roots = {id(x) for x in candidates if x is best or (id(x) not in above and x.density >= threshold)}
+    return roots, {id(x) for x in nodes if x.marked and id(x) not in above and x.density < threshold}
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, one per line."""
     root = _tree(page or "")
     nodes = _walk(root)
-    _drop_marked(nodes)
+    _weigh_marks(nodes)
     body = next((x for x in nodes if x.tag == "body" and not x.dropped), root)
     _weigh(nodes, body)
-    roots = _chosen(nodes, body)
+    roots, apart = _chosen(nodes, body)
     blocks: list[list[str]] = [[]]
     todo: list[tuple[Node | str | None, bool]] = [(root, False)]
     while todo:
@@ -229,7 +263,7 @@ def main_text(page: str | None) -> str:
         elif isinstance(item, str):
             if inside:
                 blocks[-1].append(item)
-        elif not item.dropped:
+        elif not item.dropped and id(item) not in apart:
             inside = inside or id(item) in roots
             if item.tag in BLOCKS:
                 blocks.append([])
