@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattloom.catalog.training import TEXT_FEATURES, document_gold
 from wattloom.operators import boosting, folds, models, tree_index
+from wattloom.operators.rates import rated_split, with_category_rates
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +96,29 @@ def test_quotas():
     assert folds._quotas([2.4, 2.4, 2.2], 7, [0, 0, 0]) == [3, 2, 2]
     assert folds._quotas([-1, 0.5, 0.5], 1, [0, 1, 2]) == [0, 0, 1]
     assert folds._quotas([0, 0], 3, [1, 0]) == [2, 1]
+
+
+def test_rates_see_no_label_of_their_own_fold(spark):
+    """Against plain counting: hot, rare, null and unknown categories, rows without a label or a fold."""
+    rows = [
+        (i, None if i % 11 == 0 else ("hot" if i % 3 else f"c{i % 40}"), None if i % 13 == 0 else i % 2 if i % 5 else 1, None if i % 17 == 0 else i % 3)
+        for i in range(200)
+    ] + [(900, "only unlabelled", None, 1), (901, "one fold", 1, 2)]
+    frame = spark.createDataFrame(rows, "bldg_id long, kind string, y int, fold int")
+
+    def plain(kind, fold, seen):
+        def counts(keep):
+            return [sum(1 for r in seen if r[2] == k and keep(r) and (fold is None or r[3] != fold)) for k in range(2)]
+
+        mine, every = counts(lambda r: r[1] == kind), counts(lambda r: True)
+        return [(mine[k] + 20.0 * every[k] / sum(every)) / (sum(mine) + 20.0) for k in range(2)]
+
+    for split in (None, 1):
+        got = (with_category_rates(frame, "kind", "y", 2) if split is None else rated_split(frame, "kind", "y", 2, split)).collect()
+        seen = [r for r in rows if r[2] is not None and (split is None or r[3] != split)]
+        assert len(got) == len(rows)
+        for r in got:
+            assert np.allclose([r.kind_rate_0, r.kind_rate_1], plain(r.kind, r.fold, seen)), r
+    none = with_category_rates(frame.filter("y is null"), "kind", "y", 2).collect()
+    assert len(none) == sum(r[2] is None for r in rows) and all(r.kind_rate_0 == r.kind_rate_1 == 0 for r in none)
+    assert with_category_rates(frame.limit(0), "kind", "y", 2).collect() == []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from wattloom.catalog.standins import shipment_readings
@@ -10,6 +13,8 @@ from wattloom.functions.order_keys import order_key
 from wattloom.operators.ranking import rank_in_group
 from wattloom.operators.rollup import hourly
 from wattloom.plans import run
+from wattloom.sources import write
+from wattloom.sources.tables import scan_bucketed
 from wattloom.streaming.arrivals import absorb_new_files, read_hours
 
 SF = "/root/testdata/sf0.01"
@@ -90,6 +95,47 @@ def test_raw_to_submission(spark, tmp_path):
     assert 0 <= score <= 1
 
 
+def test_bucketed_silver_shuffles_no_hours(spark, tmp_path):
+    """The hours of `build_gold` need no exchange, with additional buildings too; the features are the same."""
+    readings = raw(spark).filter("bldg_id < 12")
+    readings.write.parquet(str(tmp_path / "raw_train"))
+    labels = spark.range(10).select(F.col("id").alias("bldg_id"), F.when(F.col("id") % 2 == 0, "commercial").otherwise("residential").alias("building_stock_type"))
+    labels.write.parquet(str(tmp_path / "raw_labels"))
+    header = ",".join(['"Fact","Fact Note"'] + [f'"{name}","Value Note for {name}"' for name in STATES.values()])
+    (tmp_path / "sheet.csv").write_text("\n".join([header] + [",".join([f'"{fact}",""', *['"7",""'] * len(STATES)]) for fact in CENSUS_FACTS]))
+    more = hourly(run.typed_readings(run.scan(spark, str(tmp_path / "raw_train")))).filter("bldg_id < 3")
+    kinds = {kind: spark.range(3).select(F.col("id").alias("bldg_id")) for kind in ("commercial", "residential")}
+    rows = {}
+    for buckets in (None, 3):
+        layout = run.Layout(str(tmp_path / f"work_{buckets}"), ("building_stock_type",), folds=2, buckets=buckets)
+        run.build_silver(spark, layout, str(tmp_path / "raw_train"), str(tmp_path / "raw_labels"), None, [str(tmp_path / "sheet.csv")])
+        run.add_buildings(spark, layout, {"commercial": more, "residential": more}, kinds)
+        hours, _ = run.labelled_hours(spark, layout, add=True)
+        features, kept = run._features(spark, layout, hours, None)
+        if buckets:
+            # The rows of the holiday table alone are made distinct by a shuffle.
+            moved = re.findall(r"(?<!Broadcast)Exchange ([^,]*?)#", features._jdf.queryExecution().executedPlan().toString())
+            assert kept is None and set(moved) <= {"hashpartitioning(state"}, moved
+        rows[buckets] = features.orderBy("bldg_id").toPandas()
+        if kept is not None:
+            kept.unpersist()
+    plain, bucketed = rows[None], rows[3]
+    assert plain.bldg_id.tolist() == bucketed.bldg_id.tolist() and len(plain) == 16
+    assert ((plain - bucketed[plain.columns]).abs().fillna(0) < 1e-9).all().all()
+    assert plain.isna().equals(bucketed[plain.columns].isna())
+
+
+def test_bucketed_folder_of_a_lost_job_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    write.bucketed_folder(spark.range(20).withColumnRenamed("id", "bldg_id"), path, 2)
+    assert scan_bucketed(spark, path).count() == 20
+    write.bucketed_folder(spark.range(30).withColumnRenamed("id", "bldg_id"), path, 3)
+    assert scan_bucketed(spark, path).count() == scan_bucketed(spark, path).count() == 30
+    spark.range(0).write.mode("overwrite").parquet(f"{path}.buckets")
+    with pytest.raises(ValueError, match="not written"):
+        scan_bucketed(spark, path)
+
+
 def test_arriving_files_are_counted_once(spark, tmp_path):
     readings = raw(spark).filter("bldg_id < 3")
     incoming, hours, progress = (str(tmp_path / name) for name in ("incoming", "hours", "progress"))

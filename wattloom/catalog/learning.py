@@ -5,15 +5,19 @@ Models differ between engines; the SQL checks which rows come out and that every
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.catalog.shape import registry, table
-from wattloom.catalog.training import TEXT_FEATURES, document_gold, quality_models
+from wattloom.catalog.shape import r, registry, table
+from wattloom.catalog.training import TEXT_FEATURES, TRAINING_FOLDS, document_gold, quality_models
 from wattloom.operators import boosting, models, tree_index
-from wattloom.operators.folds import current_fold
+from wattloom.operators.folds import current_fold, stratified_folds
 from wattloom.operators.folds import iterative_folds as iterative_folds_of
+from wattloom.operators.rates import rate_names, rated_split, with_category_rates
 from wattloom.session import cut_lineage, scratch_path
 
 QUERIES, SQL, query = registry()
@@ -134,3 +138,51 @@ def iterative_folds(spark, folder):
     )
     # Eleven labels, as many rounds at most.
     return spread.select("label", "rows", "with_a_fold", (F.col("apart") <= 11).alias("within_rounds"))
+
+
+@query(
+    "category_rates",
+    f"""
+WITH dealt AS (
+  SELECT doc_id, quality, (row_number() OVER (ORDER BY quality, md5('0:' || doc_id)) - 1) % 3 AS fold FROM labels WHERE quality IS NOT NULL
+),
+rows AS (SELECT doc_id, source, fold, quality FROM dealt JOIN documents USING (doc_id)),
+cells AS (SELECT source, fold, count(*) AS n, sum(quality) AS good FROM rows GROUP BY source, fold),
+every AS (SELECT source, sum(n) AS n, sum(good) AS good FROM cells GROUP BY source),
+folds AS (SELECT fold, sum(n) AS n, sum(good) AS good FROM cells GROUP BY fold),
+whole AS (SELECT f.fold, 1.0 * (t.good - f.good) / (t.n - f.n) AS share FROM folds f, (SELECT sum(n) AS n, sum(good) AS good FROM folds) t),
+parts AS (
+  SELECT r.doc_id, r.source, r.fold, e.n - c.n AS n, e.good - c.good AS good, w.share
+  FROM rows r JOIN every e ON e.source IS NOT DISTINCT FROM r.source
+  JOIN cells c ON c.source IS NOT DISTINCT FROM r.source AND c.fold = r.fold JOIN whole w ON w.fold = r.fold
+)
+SELECT doc_id AS bldg_id, source, fold, {r("(n - good + 20.0 * (1 - share)) / (n + 20.0)")} AS source_rate_0,
+       {r("(good + 20.0 * share) / (n + 20.0)")} AS source_rate_1
+FROM parts""",
+)
+def category_rates(spark, folder):
+    """Quality rates of every document's source, counted over the other folds only."""
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("bldg_id"), "quality").filter("quality is not null")
+    sources = table(spark, folder, "documents").select(F.col("doc_id").alias("bldg_id"), "source")
+    rows = cut_lineage(stratified_folds(labels, "quality", TRAINING_FOLDS).join(sources, "bldg_id"))
+    return with_category_rates(rows, "source", "quality", 2).select("bldg_id", "source", "fold", *rate_names("source", 2))
+
+
+@query(
+    "net_with_rates",
+    """
+SELECT doc_id AS bldg_id, CAST(fold AS BIGINT) AS fold, CAST(quality AS BIGINT) AS label, CAST(2 AS BIGINT) AS classes, CAST(1 AS BIGINT) AS total
+FROM (SELECT doc_id, quality, (row_number() OVER (ORDER BY quality, md5('0:' || doc_id)) - 1) % 3 AS fold FROM labels)
+JOIN (SELECT doc_id FROM documents) USING (doc_id) WHERE quality IS NOT NULL""",
+)
+def net_with_rates(spark, folder):
+    """A feed-forward net per fold on text statistics and the rates of the language; every document is scored by the net
+    that saw neither it nor a rate with its label."""
+    gold = document_gold(spark, folder).withColumn("fold", F.array_position(F.split("fold_info", ", *"), "v").cast("int") - 1)
+    names = [*TEXT_FEATURES, *rate_names("lang", 2)]
+    rated = [cut_lineage(rated_split(gold, "lang", "quality", 2, split)) for split in range(TRAINING_FOLDS)]
+    nets = [models.train_fold(rows, "quality", split, names, 2, kind="mlp", hidden=[8], maxIter=10) for split, rows in enumerate(rated)]
+    parts = [models.out_of_fold_of(net, rows, "quality", split) for split, (net, rows) in enumerate(zip(nets, rated, strict=True))]
+    return reduce(DataFrame.unionByName, parts).groupBy("bldg_id", "fold", "label").agg(
+        F.count_distinct("class").alias("classes"), F.round(F.sum("probability"), 6).cast("long").alias("total")
+    )

@@ -246,14 +246,15 @@ def out_of_fold(
     models: Sequence[PipelineModel], gold: DataFrame, target: str, rounds: int | None = None, entity: str = "bldg_id"
 ) -> DataFrame:
     """Probabilities of each row from the model that did not train on it, with the label."""
-    parts = [
-        _long(
-            classified(model.stages[-1], prepared(model, validation(gold, target, fold)), "_chances", rounds),
-            [entity, "label"], target, fold,
-        )
-        for fold, model in enumerate(models)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [out_of_fold_of(model, gold, target, fold, rounds, entity) for fold, model in enumerate(models)])
+
+
+def out_of_fold_of(
+    model: PipelineModel, gold: DataFrame, target: str, fold: int, rounds: int | None = None, entity: str = "bldg_id"
+) -> DataFrame:
+    """`out_of_fold` of one fold's model, whose features may be its own."""
+    rows = prepared(model, validation(gold, target, fold))
+    return _long(classified(model.stages[-1], rows, "_chances", rounds), [entity, "label"], target, fold)
 
 
 def out_of_fold_f1(probabilities: DataFrame, entity: str = "bldg_id") -> DataFrame:

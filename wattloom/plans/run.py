@@ -21,7 +21,7 @@ from wattloom.operators.statistics import feature_columns
 from wattloom.plans.jobs import folds_of_targets, label_codes, read_gold, score, write_gold
 from wattloom.sources import write
 from wattloom.sources.census import read_economics
-from wattloom.sources.tables import read_codes, scan, typed_readings
+from wattloom.sources.tables import read_codes, scan, scan_bucketed, typed_readings
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,8 @@ class Layout:
     model: dict = field(default_factory=lambda: {"maxIter": 50, "maxDepth": 5})
     #: Fits of one target in flight.
     parallel: int = 5
+    #: Silver hours and labels bucketed by building: gold then shuffles no hours and caches none.
+    buckets: int | None = None
     #: CSV of (feature, type, baseline) scores to compare with.
     baseline: str | None = None
 
@@ -44,6 +46,18 @@ class Layout:
         return "/".join([self.root.rstrip("/"), *parts])
 
 
+def _write_by_building(layout: Layout, df: DataFrame, name: str, *order: str) -> None:
+    if layout.buckets:
+        write.bucketed_folder(df, layout.at("silver", name), layout.buckets, order=order)
+    else:
+        write.parquet(df, layout.at("silver", name))
+
+
+def _by_building(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
+    path = layout.at("silver", name)
+    return scan_bucketed(spark, path) if layout.buckets else spark.read.parquet(path)
+
+
 def _codes(spark: SparkSession, layout: Layout, dataset: str) -> DataFrame:
     return read_codes(spark, layout.at("silver", "mapper")).filter(F.col("dataset") == dataset).drop("dataset")
 
@@ -72,13 +86,11 @@ def build_silver(
     )
     write.codes_json(codes, layout.at("silver", "mapper"))
     coded_states, coded_labels = F.broadcast(_codes(spark, layout, "train_data")), _codes(spark, layout, "train_label")
-    write.parquet(enc.encode_by_join(hours, coded_states, ["state"]), layout.at("silver", "train_hours"))
+    _write_by_building(layout, enc.encode_by_join(hours, coded_states, ["state"]), "train_hours", "timestamp")
     if test:
         test_hours = hourly(typed_readings(scan(spark, test)))
-        write.parquet(enc.encode_by_join(test_hours, coded_states, ["state"]), layout.at("silver", "test_hours"))
-    write.parquet(
-        enc.encode_by_join(raw_labels, coded_labels, _coded_columns(raw_labels, coded_labels)), layout.at("silver", "labels")
-    )
+        _write_by_building(layout, enc.encode_by_join(test_hours, coded_states, ["state"]), "test_hours", "timestamp")
+    _write_by_building(layout, enc.encode_by_join(raw_labels, coded_labels, _coded_columns(raw_labels, coded_labels)), "labels")
     if sheets:
         # The training data's own codes; facts of states that it lacks belong to no building.
         facts = read_economics(spark, sheets, coded_states.select("value", "code")).filter("state is not null")
@@ -102,14 +114,14 @@ def add_buildings(
     renamed, mapping = renumbered(sampled, max(30_000, (largest or 0) + 1))
     named = renamed.withColumnRenamed("build_type", layout.binary)
     known = _codes(spark, layout, "train_label")
-    write.parquet(
-        enc.encode_by_join(named, known, _coded_columns(named, known)),
-        layout.at("silver", "additional_labels"),
-    )
+    _write_by_building(layout, enc.encode_by_join(named, known, _coded_columns(named, known)), "additional_labels")
     numbered = tagged.join(mapping, ["build_type", "bldg_id"]).withColumn("bldg_id", F.col("new_id")).drop("new_id")
-    # Folders by the state's letters, codes inside.
+    # Folders by the state's letters, codes inside; buckets by building instead if the layout has them.
     coded = enc.encode_by_join(numbered.withColumn("folder", F.col("state")), F.broadcast(_codes(spark, layout, "train_data")), ["state"])
-    write.partitioned(coded, layout.at("silver", "additional_hours"), "build_type", "folder")
+    if layout.buckets:
+        _write_by_building(layout, coded, "additional_hours", "timestamp")
+    else:
+        write.partitioned(coded, layout.at("silver", "additional_hours"), "build_type", "folder")
 
 
 def _economics(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -124,32 +136,48 @@ def _state_holidays(spark: SparkSession, layout: Layout, hours: DataFrame) -> Da
     return days.join(F.broadcast(codes), "state").select(F.col("code").alias("state"), "day")
 
 
+def _features(
+    spark: SparkSession, layout: Layout, parts: Sequence[DataFrame], state_holidays: DataFrame | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The feature rows of hours whose parts share no building, and what is kept for them and has to be released.
+
+    Bucketed parts are worked one by one, as their union would lose the buckets; nothing is kept of them.
+    """
+    hours = aligned_union(*parts)
+    if state_holidays is None:
+        state_holidays = _state_holidays(spark, layout, hours)
+    kept = [] if layout.buckets else [narrow_hours(hours, state_holidays)]
+    narrow = kept or [narrow_hours(part.select(*hours.columns), state_holidays, cluster=False) for part in parts]
+    rows = aligned_union(*[load_features(dated_hours(part)) for part in narrow])
+    return with_economics(rows, _economics(spark, layout)), kept[0] if kept else None
+
+
+def labelled_hours(spark: SparkSession, layout: Layout, add: bool = False) -> tuple[list[DataFrame], DataFrame]:
+    """The hours of the labelled buildings, additional ones as a part of their own, and all labels."""
+    parts, labels = [_by_building(spark, layout, "train_hours")], _by_building(spark, layout, "labels")
+    if add:
+        parts.append(_by_building(spark, layout, "additional_hours"))
+        labels = aligned_union(labels, _by_building(spark, layout, "additional_labels"))
+    return [of_ids(part, labels) for part in parts], labels
+
+
 def build_gold(spark: SparkSession, layout: Layout, add: bool = False, state_holidays: DataFrame | None = None) -> None:
     """Feature rows, folds and labels of the training buildings. State holidays come from the rules unless a table is given."""
-    hours = spark.read.parquet(layout.at("silver", "train_hours"))
-    labels = spark.read.parquet(layout.at("silver", "labels"))
-    if add:
-        hours = aligned_union(hours, spark.read.parquet(layout.at("silver", "additional_hours")))
-        labels = aligned_union(labels, spark.read.parquet(layout.at("silver", "additional_labels")))
-    labelled = of_ids(hours, labels)
+    hours, labels = labelled_hours(spark, layout, add)
     kinds = _codes(spark, layout, "train_label").filter((F.col("column") == layout.binary) & (F.col("value") == "commercial"))
     folds = folds_of_targets(labels, layout.targets, layout.folds, commercial_code=kinds.first()["code"])
-    if state_holidays is None:
-        state_holidays = _state_holidays(spark, layout, labelled)
-    narrow = narrow_hours(labelled, state_holidays)
-    features = with_economics(load_features(dated_hours(narrow)), _economics(spark, layout))
+    features, kept = _features(spark, layout, hours, state_holidays)
     write_gold(features, folds, layout.at("gold"), layout.targets)
-    narrow.unpersist()
+    if kept is not None:
+        kept.unpersist()
 
 
 def build_test_gold(spark: SparkSession, layout: Layout, state_holidays: DataFrame | None = None) -> None:
     """Feature rows of the test buildings."""
-    hours = spark.read.parquet(layout.at("silver", "test_hours"))
-    if state_holidays is None:
-        state_holidays = _state_holidays(spark, layout, hours)
-    narrow = narrow_hours(hours, state_holidays)
-    write.parquet(with_economics(load_features(dated_hours(narrow)), _economics(spark, layout)), layout.at("gold", "test"))
-    narrow.unpersist()
+    features, kept = _features(spark, layout, [_by_building(spark, layout, "test_hours")], state_holidays)
+    write.parquet(features, layout.at("gold", "test"))
+    if kept is not None:
+        kept.unpersist()
 
 
 def train(spark: SparkSession, layout: Layout) -> None:

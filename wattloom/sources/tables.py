@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -99,3 +100,25 @@ def footer_profile(spark: SparkSession, path: str, name: str, columns: Sequence[
     # Without any row group there is nothing to sum.
     rows = F.coalesce("n_rows", F.lit(0)).alias("n_rows")
     return found.select(F.lit(name).alias("table_name"), rows, *found.columns[1:])
+
+
+def scan_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of `sources.write.bucketed_folder`: groups, windows and joins by its key need no shuffle.
+
+    The session's catalog gets an external table over the files; a second reader of the same files takes that one.
+    """
+    note = spark.read.parquet(f"{path}.buckets").collect()
+    if not note:
+        raise ValueError(f"{path} was not written to its end")
+    buckets, key, order = note[0]
+    files = spark.read.parquet(path)
+    # Rewritten files have other names, so a table over earlier ones is not taken again.
+    table = "bucketed_" + hashlib.md5("\n".join([path, *sorted(files.inputFiles())]).encode()).hexdigest()
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in files.schema)
+        place = path.replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY ({', '.join(f'`{x}`' for x in order)})"
+            f" INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+    return spark.table(table)
