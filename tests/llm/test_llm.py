@@ -136,6 +136,16 @@ def test_ngram_join_bands_of_length_lose_no_link(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in cut} == linked_components(texts)
 
 
+def test_ngram_join_of_classes_that_share_half_a_digest(spark, docs):
+    """With two bits of the first half, the second tells classes apart in every step."""
+    texts = {**docs, **{900_000 + i: f"{docs[min(docs)]} tail {i % 3}" for i in range(9)}}
+    rows = [*texts.items(), (900_000, "another text of the same id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(frame, key_bits=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.n_shingles > 2 or r.doc_id != 900_000} == linked_components(texts)
+    assert sorted(map(str, got)) == sorted(map(str, ngram_join.near_duplicates(frame).collect()))
+
+
 def test_ngram_join_hard_cases(hard):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.near_duplicates(hard).collect())
     assert [x[2] for x in got if x[0] in (1, 2, 3)] == [1, 2, 3]

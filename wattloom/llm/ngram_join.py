@@ -2,7 +2,7 @@
 
 Every text is a set of word shingles; two texts link when 100 * |A & B| >= 80 * |A | B|. Steps:
 
-1. Equal sets form one class (64-bit digest). A fixed-size sketch counts how frequent shingles are over all texts.
+1. Equal sets form one class (128-bit digest), numbered once. A fixed-size sketch counts how frequent shingles are over all texts.
 2. Divide: in the global order rare to frequent, a set's longest lists are skipped. A text of n shingles must meet a
    partner T = ceil(0.8 n) times; setting the T - m most frequent lists aside leaves its n - T + m rarest, among which any
    partner occurs at least min(m, m of the partner) times. Only these short lists are built, and shuffled by shingle.
@@ -58,17 +58,22 @@ def _kept_occurrences(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, n // 20)
 
 
-def _digest(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit class key per set; 0 for the empty set."""
+def _digest(sets: np.ndarray, bounds: np.ndarray, key_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit digest of each set in two halves, which mix elements differently; 0 for the empty set. Tests narrow the first."""
     sizes = np.diff(bounds)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(sets, dtype=np.uint64)))
-    cubes = np.concatenate(([np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-    key = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(cubes[bounds[1:]] - cubes[bounds[:-1]] + sizes.astype(np.uint64)))
-    return np.where(sizes > 0, key, np.uint64(0))
 
+    def summed(values: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(values, dtype=np.uint64)))
+        return sums[bounds[1:]] - sums[bounds[:-1]]
 
-def _digests(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Per text: doc_id, n, cls. Besides, rows with doc_id null hold slices of the task's counters."""
+    first, second = mix(sets ^ np.uint64(0x5851F42D4C957F2D)), mix(sets + np.uint64(0x9E3779B97F4A7C15))
+    key = mix(summed(sets) ^ mix(summed(first) + sizes.astype(np.uint64))) & np.uint64((1 << key_bits) - 1)
+    check = mix(summed(second) + mix(summed(mix(second))))
+    return np.where(sizes > 0, key, np.uint64(0)), np.where(sizes > 0, check, np.uint64(0))
+
+
+def _digests(docs: DataFrame, size: int, bits: int, key_bits: int = 64) -> DataFrame:
+    """Per text: doc_id, n and the digest (key, check). Besides, rows with doc_id null hold slices of the task's counters."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << bits, np.uint32)
@@ -79,24 +84,26 @@ def _digests(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 counters += np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
                 used = True
                 rows = len(chunk)
+                keys, checks = _digest(sets, bounds, key_bits)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(chunk.first, rows),
                         pa.array(np.diff(bounds), pa.int64()),
-                        pa.array(_digest(sets, bounds).view(np.int64), pa.int64()),
+                        pa.array(keys.view(np.int64), pa.int64()),
+                        pa.array(checks.view(np.int64), pa.int64()),
                         pa.nulls(rows, pa.int32()),
                         pa.nulls(rows, pa.binary()),
                     ],
-                    names=["doc_id", "n", "cls", "slice", "counts"],
+                    names=["doc_id", "n", "key", "check", "slice", "counts"],
                 )
         if used:
             blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(counters, SLICES)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SLICES, pa.int64())] * 3 + [pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())],
-                names=["doc_id", "n", "cls", "slice", "counts"],
+                [pa.nulls(SLICES, pa.int64())] * 4 + [pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())],
+                names=["doc_id", "n", "key", "check", "slice", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, cls long, slice int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, key long, check long, slice int, counts binary")
 
 
 def _levels(digests: DataFrame) -> bytes:
@@ -116,8 +123,11 @@ def _levels(digests: DataFrame) -> bytes:
     return np.maximum(levels, np.uint8(usual)).tobytes()
 
 
-def _postings(docs: DataFrame, size: int, bits: int, levels, parts: int) -> DataFrame:
-    """The short lists of every class, packed by part: shingle, class and length step.
+POSTING = ["shingle", "cls", "check", "step"]
+
+
+def _postings(docs: DataFrame, size: int, bits: int, levels, parts: int, key_bits: int = 64) -> DataFrame:
+    """The short lists of every class, packed by part: shingle, the digest of the class (cls, check) and length step.
 
     A task sends the lists of a class once, however many copies it reads; it forgets which it sent after SENT_CLASSES.
     """
@@ -125,17 +135,17 @@ def _postings(docs: DataFrame, size: int, bits: int, levels, parts: int) -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(levels.value, np.uint8)
         held: list[tuple] = []
-        sent: set[int] = set()
+        sent: set[tuple[int, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            shingles, classes, steps = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            return packed((shingles % np.uint64(parts)).astype(np.int32), [shingles, classes, steps], ["shingle", "cls", "step"])
+            return packed((columns[0] % np.uint64(parts)).astype(np.int32), columns, POSTING)
 
         for batch in batches:
             for chunk in chunks(batch):
                 sets, bounds = shingle_sets(chunk, size)
-                classes = _digest(sets, bounds)
+                classes, checks = _digest(sets, bounds, key_bits)
                 n = np.diff(bounds)
                 # Rare before frequent, ties by hash: one key that sorts so.
                 keys = (frequent[(sets >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (
@@ -143,7 +153,9 @@ def _postings(docs: DataFrame, size: int, bits: int, levels, parts: int) -> Data
                 )
                 lengths = np.minimum(n, n - _least_overlap(n) + _kept_occurrences(n))
                 fresh, rare = [], []
-                for row, (cls, low, high, keep) in enumerate(zip(classes.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), lengths.tolist(), strict=True)):
+                for row, (cls, low, high, keep) in enumerate(
+                    zip(zip(classes.tolist(), checks.tolist(), strict=True), bounds[:-1].tolist(), bounds[1:].tolist(), lengths.tolist(), strict=True)
+                ):
                     if cls in sent or low == high:
                         continue
                     if len(sent) >= SENT_CLASSES:
@@ -154,15 +166,26 @@ def _postings(docs: DataFrame, size: int, bits: int, levels, parts: int) -> Data
                     rare.append(own if keep >= len(own) else np.partition(own, keep - 1)[:keep])
                 if not fresh:
                     continue
-                classes, lengths, n = classes[fresh], lengths[fresh], n[fresh]
+                classes, checks, lengths, n = classes[fresh], checks[fresh], lengths[fresh], n[fresh]
                 steps = np.minimum(np.log(np.maximum(n, 1)) / np.log(STEP) + 1e-9, 255).astype(np.uint8)
-                held.append((np.concatenate(rare), np.repeat(classes, lengths), np.repeat(steps, lengths)))
+                held.append((np.concatenate(rare), np.repeat(classes, lengths), np.repeat(checks, lengths), np.repeat(steps, lengths)))
                 if sum(len(x[0]) for x in held) > 1_000_000:
                     yield flush()
         if held and sum(len(x[0]) for x in held):
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(work, packed_schema(["shingle", "cls", "step"]))
+    return docs.select("doc_id", "text").mapInArrow(work, packed_schema(POSTING))
+
+
+def _numbered(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different digests (key, check) in order, and the place of each element's among them."""
+    order = np.lexsort((checks, keys))
+    sorted_keys, sorted_checks = keys[order], checks[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (sorted_keys[1:] != sorted_keys[:-1]) | (sorted_checks[1:] != sorted_checks[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return sorted_keys[fresh], sorted_checks[fresh], place
 
 
 def _met(postings: DataFrame, long_list: int) -> DataFrame:
@@ -172,7 +195,8 @@ def _met(postings: DataFrame, long_list: int) -> DataFrame:
     """
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        shingles, classes = unpacked(table, "shingle", np.uint64), unpacked(table, "cls", np.uint64)
+        shingles = unpacked(table, "shingle", np.uint64)
+        keys, checks, classes = _numbered(unpacked(table, "cls", np.uint64), unpacked(table, "check", np.uint64))
         steps = unpacked(table, "step", np.uint8).astype(np.int64)
         order = np.lexsort((classes, shingles))
         shingles, classes, steps = shingles[order], classes[order], steps[order]
@@ -192,7 +216,7 @@ def _met(postings: DataFrame, long_list: int) -> DataFrame:
             right.append(classes[near + apart])
             need.append(np.minimum(steps[near], steps[near + apart]))
             apart += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         n = np.concatenate(need) if need else np.zeros(0, np.int64)
         order = np.lexsort((b, a))
         a, b, n = a[order], b[order], n[order]
@@ -205,16 +229,19 @@ def _met(postings: DataFrame, long_list: int) -> DataFrame:
         own = classes[long]
         apart = own != tied
         ties = np.unique(np.stack([tied[apart], own[apart]]), axis=1)
+        a, b = np.concatenate((a[first], ties[0])), np.concatenate((b[first], ties[1]))
         return pa.table(
             {
-                "a": pa.array(np.concatenate((a[first], ties[0])).view(np.int64)),
-                "b": pa.array(np.concatenate((b[first], ties[1])).view(np.int64)),
+                "a": pa.array(keys[a].view(np.int64)),
+                "a_check": pa.array(checks[a].view(np.int64)),
+                "b": pa.array(keys[b].view(np.int64)),
+                "b_check": pa.array(checks[b].view(np.int64)),
                 "times": pa.array(np.concatenate((times, np.ones(ties.shape[1], np.int64)))),
                 "need": pa.array(np.concatenate((need, np.zeros(ties.shape[1], np.int64)))),
             }
         )
 
-    return postings.groupBy("part").applyInArrow(work, "a long, b long, times long, need long")
+    return postings.groupBy("part").applyInArrow(work, "a long, a_check long, b long, b_check long, times long, need long")
 
 
 def _needed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -358,6 +385,7 @@ def near_duplicates(
     sketch_bits: int = SKETCH_BITS,
     long_list: int = LONG_LIST,
     block_shingles: int = BLOCK_SHINGLES,
+    key_bits: int = 64,
 ) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, n_links.
 
@@ -365,20 +393,25 @@ def near_duplicates(
     one; a row without doc_id is in no component (null), unless an equal text has an id. A text with fewer than `size` words is
     one shingle. n_links counts linked documents, equal sets included. Texts of any length are taken whole; their
     sets are held one at a time. Other columns of `docs` are ignored. An empty table gives no rows. Classes are told
-    apart by a 64-bit digest (n documents share one by accident with probability n^2 / 2^65).
+    apart by a 128-bit digest (n documents share one by accident with probability n^2 / 2^129).
     """
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    digests = cut_lineage(_digests(docs, size, sketch_bits))
+    digests = cut_lineage(_digests(docs, size, sketch_bits, key_bits))
     levels = spark.sparkContext.broadcast(_levels(digests))
-    texts = digests.filter("slice is null").select("doc_id", "n", "cls")
-    classes = texts.filter("n > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n")
-    )
-    met = _met(_postings(docs, size, sketch_bits, levels, parts), long_list)
-    ties = cut_lineage(
-        met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need").select("a", "b")
+    texts = digests.filter("slice is null").select("doc_id", "n", "key", "check")
+    # The numbers hold once they are written.
+    classes = cut_lineage(
+        texts.filter("n > 0")
+        .groupBy("key", "check")
+        .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
+        .withColumn("cls", F.monotonically_increasing_id())
     )
+    met = _met(_postings(docs, size, sketch_bits, levels, parts, key_bits), long_list)
+    enough = met.groupBy("a", "a_check", "b", "b_check").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need")
+    ends = [classes.select(F.col("key").alias(x), F.col("check").alias(f"{x}_check"), F.col("cls").alias(f"{x}_cls")) for x in ("a", "b")]
+    numbered = enough.join(ends[0], ["a", "a_check"]).join(ends[1], ["b", "b_check"])
+    ties = cut_lineage(numbered.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")))
     cells = components(ties).select(F.col("node").alias("cls"), F.col("label").alias("cell"))
     members = cut_lineage(cells.join(classes, "cls"))
     placed = _placed(members, block_shingles)
@@ -389,12 +422,14 @@ def near_duplicates(
                 found, bounds = shingle_sets(chunk, size)
                 own = pa.Table.from_batches([batch.slice(chunk.first, len(chunk))]).drop_columns(["text"])
                 # The text may belong to another row of the same doc_id.
-                mine = _digest(found, bounds).view(np.int64) == own.column("cls").to_numpy()
+                mine = np.logical_and(
+                    *(x.view(np.int64) == own.column(name).to_numpy() for x, name in zip(_digest(found, bounds, key_bits), ("key", "check"), strict=True))
+                )
                 blobs = [found[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 own = own.append_column("shingles", pa.array(blobs, pa.binary()))
-                yield from own.filter(pa.array(mine)).to_batches()
+                yield from own.filter(pa.array(mine)).drop_columns(["key", "check"]).to_batches()
 
-    wanted = placed.select(F.col("first_id").alias("doc_id"), "cell", "cls", "size", "block", "others")
+    wanted = placed.select(F.col("first_id").alias("doc_id"), "cell", "cls", "key", "check", "size", "block", "others")
     indexed = _needed_texts(docs, wanted).mapInArrow(
         sets, "doc_id long, cell long, cls long, size long, block long, others array<long>, shingles binary"
     )
@@ -423,14 +458,15 @@ def near_duplicates(
     )
     linked = labels.join(ids, "label").join(links, "cls", "left").select("cls", "component_id", "links")
     known = classes.join(linked, "cls", "left").select(
-        "cls",
+        "key",
+        "check",
         F.coalesce("component_id", "first_id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
     )
     alone = texts.filter("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
     )
-    rest = texts.filter("n > 0").join(known, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    rest = texts.filter("n > 0").join(known, ["key", "check"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     return rest.unionByName(alone)
 
 
