@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -218,7 +219,7 @@ def test_toxicity_takes_all_telling_terms(spark):
     rows = [(i, text + (" mild" if (i % 10 < 7 if toxic else i % 10 < 3) else ""), toxic) for i, text, toxic in rows]
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     index = toxicity.fitted(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
-    known = set(index.vocabulary.hashes.tolist())
+    known = set(index.vocabulary.tolist())
     found = toxicity.RangeHash(np.frombuffer(b"calm mild", np.uint8)).of(np.array([0, 5]), np.array([4, 9]))
     assert len(index.vocabulary) > 700 and known.issuperset(found.tolist())
     got = {r.doc_id: r for r in toxicity.scored(frame, index).collect()}
@@ -230,6 +231,71 @@ def test_toxicity_takes_all_telling_terms(spark):
         assert index.nearest(places, dense[at][places])[1].tolist() == pytest.approx(np.sort(whole)[::-1][: toxicity.NEIGHBOURS].tolist(), abs=1e-6)
 
 
+def plain_terms(text):
+    """Terms and their counts by a regular expression: words, their beginnings, and each again at two and four occurrences."""
+    counts = {}
+    for word in re.findall(r"[0-9a-z\x80-\xff]+", (text or "").encode().decode("latin-1").translate({i: i + 32 for i in range(65, 91)})):
+        for term in [word, *((n, word[:n]) for n in (5, 7) if len(word) > n)]:
+            counts[term] = counts.get(term, 0) + 1
+    return {(term, level): n for term, n in counts.items() for level in (1, 2, 4) if n >= level}
+
+
+def plain_toxicity(docs, labels):
+    """Evidence cosines and votes of every document over whole vectors, all examples compared."""
+    terms = {i: plain_terms(text) for i, text in docs}
+    frequency = Counter(t for own in terms.values() for t in own)
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in terms}
+    examples = [i for i in sorted(labels) if i in terms and not held[i] and terms[i]]
+    have = [Counter(t for i in examples if labels[i] == c for t in terms[i]) for c in (0, 1)]
+    scale = {
+        t: math.log((len(docs) + 1) / (frequency[t] + 0.5)) * math.log2(2 + have[1][t] / max(have[0][t], 1)) for t in have[0] | have[1]
+    }
+
+    def unit(own):
+        values = {t: (1 + math.log(n)) * scale[t] for t, n in own.items() if t in scale}
+        length = math.sqrt(sum(v * v for v in values.values()))
+        return {t: v / length for t, v in values.items()}
+
+    units = {i: unit(terms[i]) for i in examples}
+    out = {}
+    for i, own in terms.items():
+        vector = unit(own)
+        near = sorted(((sum(v * units[j].get(t, 0) for t, v in vector.items()), labels[j]) for j in examples), reverse=True)
+        out[i] = [x for x in near if x[0] > 0][: toxicity.NEIGHBOURS + 1]
+    return out
+
+
+def test_toxicity_equals_whole_vectors(spark, docs):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    index = toxicity.fitted(frame, labels)
+    texts = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+    want = plain_toxicity(texts, {r.doc_id: r.toxic for r in labels.collect()})
+    for row in toxicity.scored(frame, index).collect():
+        near = want[row.doc_id]
+        assert [e.cosine for e in row.evidence] == pytest.approx([c for c, _ in near[:3]], abs=1e-9)
+        if not near:
+            assert row.score == index.nothing
+        elif len(near) <= toxicity.NEIGHBOURS or near[-2][0] - near[-1][0] > 1e-6:
+            near = near[: toxicity.NEIGHBOURS]
+            vote = sum(c * c * toxic for c, toxic in near) / sum(c * c for c, _ in near)
+            assert row.score == pytest.approx(float(np.interp(vote, index.votes, index.chance)), abs=1e-6)
+
+
+def test_toxicity_ties_repeated_rows_and_empty_tables(spark):
+    rows = [(i, "same rotten words" if i % 2 else "same kind words", i % 2) for i in range(200)]
+    frame = spark.createDataFrame([*rows, *rows[:9], (500, None, 0), (501, "", 0), (502, "nothing shared", 0)], "doc_id long, text string, toxic int")
+    index = toxicity.fitted(frame, frame.select("doc_id", "toxic"))
+    got = toxicity.scored(frame, index).collect()
+    assert len(got) == 212 and all((r.score >= 0.3) == bool(r.doc_id % 2) for r in got if r.doc_id < 200)
+    # All cosines are equal; the first places of the index come out.
+    assert len({tuple(e.doc_id for e in r.evidence) for r in got if r.doc_id < 200}) == 2
+    assert all(r.evidence == [] for r in got if r.doc_id in (500, 501))
+    none = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    assert toxicity.scored(none, index).collect() == []
+    assert [r.score < 0.3 for r in toxicity.scored(frame, toxicity.fitted(none, none)).collect()] == [True] * 212
+
+
 def test_toxicity_without_labels(spark, hard):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     scores = [r.score for r in toxicity.scored(hard, toxicity.fitted(hard, none)).collect()]

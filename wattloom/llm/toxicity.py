@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the beginnings of words, and each again for texts that have it twice or four times. From a bounded
-sample of labelled texts, all terms that tell the classes apart, for either class, are taken; their document frequencies are
-counted over all documents. The sample's vectors form the index: examples lie in blocks, and a term has its postings and
-its largest weight per block. A query bounds its cosine with every block, works through blocks from the largest bound, and
-leaves out those that cannot change the k nearest. Votes weigh similarity and how many labelled texts an example stands for; a monotone fit on
-the examples themselves, each left out of its own vote, turns votes into probabilities.
+Terms are words and the beginnings of words, and each again for texts that have it twice or four times. All terms of a
+bounded sample of labelled texts count; their document frequencies are taken over all documents. A term's axis is stretched
+by how much more often toxic examples have it than clean ones, never shrunk: without that, what a text is about decides its
+neighbours. The sample's vectors form the index: examples lie in blocks, and a term has its postings and its largest weight
+per block that has it. A query bounds its cosine with every block, works through blocks from the largest bound, and leaves
+out those that cannot change the k nearest. Votes weigh similarity and how many labelled texts an example stands for; a
+monotone fit on the examples themselves, each left out of its own vote, turns votes into probabilities.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from wattloom.llm.text_arrays import ALNUM, RangeHash, chunks, mix, rows_of, wor
 
 #: Labelled texts per class that the classifier is fitted on, at most.
 EXAMPLES = 3000
-#: The chi-square value that terms need.
-LEAST_CHI2 = 12.0
 NEIGHBOURS = 25
-BLOCK = 64
+BLOCK = 256
 #: Blocks that a query takes first, before it leaves out any.
 FIRST_BLOCKS = 4
+#: A term that one example in so many has, or more, is kept with a weight for every example.
+USUAL = 16
+#: Texts whose usual terms are summed together.
+TOGETHER = 256
 PREFIXES = (5, 7)
 LEVELS = (1, 2, 4)
 
@@ -81,115 +84,94 @@ def _sampled(labels: DataFrame, docs: DataFrame, examples: int) -> DataFrame:
         chosen = part if chosen is None else chosen.unionByName(part)
     weighed = chosen.join(F.broadcast(totals), "toxic").withColumn("weight", F.col("n") / F.least("n", F.lit(examples)))
     # At most 2 * examples rows.
-    return docs.select("doc_id", "text").join(F.broadcast(weighed.select("doc_id", "toxic", "weight")), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(weighed.select("doc_id", "toxic", "weight")), "doc_id")
+    # Rows that repeat an id: the text that comes first.
+    return found.groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text"))
 
 
-@dataclass
-class Vocabulary:
-    """Hashes of the chosen terms, ascending, and of the words or beginnings that they count."""
-
-    hashes: np.ndarray
-    bases: np.ndarray
-
-    def __len__(self) -> int:
-        return len(self.hashes)
+def _vectors(chunk, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the vocabulary, count) of the terms that an example has, by row, then place."""
+    terms, rows = _terms(chunk)
+    if not len(vocabulary):
+        return (np.zeros(0, np.int64),) * 3
+    # A term's first level is in the vocabulary if any of its levels is.
+    known = vocabulary[np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)] == terms
+    rows, terms, counts = _counted(terms[known], rows[known])
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    hit = vocabulary[at] == terms
+    rows, at, counts = rows[hit], at[hit], counts[hit]
+    order = np.lexsort((at, rows))
+    return rows[order], at[order], counts[order]
 
 
-def _vocabulary(sample: DataFrame) -> Vocabulary:
-    """The terms that tell the classes apart, by chi-square over the sample."""
+def _examples(sample: DataFrame) -> list:
+    """The sampled texts as rows of doc_id, toxic, weight, terms (hashes) and counts, ascending."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             for chunk in chunks(batch):
-                terms, rows = _terms(chunk)
-                order = np.lexsort((terms, rows))
-                terms, rows = terms[order], rows[order]
-                if not len(terms):
-                    continue
-                fresh = np.flatnonzero(np.concatenate(([True], (terms[1:] != terms[:-1]) | (rows[1:] != rows[:-1]))))
-                counts = np.diff(np.append(fresh, len(terms)))
-                for level in LEVELS:
-                    enough = fresh[counts >= level]
-                    keys, place = np.unique(terms[enough], return_inverse=True)
-                    hit = np.bincount(place, weights=toxic[chunk.first + rows[enough]], minlength=len(keys))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys.view(np.int64)),
-                            pa.array(np.full(len(keys), level, np.int32)),
-                            pa.array(np.bincount(place, minlength=len(keys)).astype(np.int64)),
-                            pa.array(hit.astype(np.int64)),
-                        ],
-                        names=["term", "level", "n", "hit"],
-                    )
-
-    sizes = dict(sample.groupBy("toxic").count().collect())
-    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
-    none = np.zeros(0, np.uint64)
-    if not clean or not toxic:
-        return Vocabulary(none, none)
-    counts = (
-        sample.mapInArrow(work, "term long, level int, n long, hit long")
-        .groupBy("term", "level")
-        .agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
-    )
-    total = clean + toxic
-    expected = F.col("n") * toxic / total
-    spread = expected * (1 - F.col("n") / total) * clean / total + F.lit(1e-9)
-    best = counts.filter("n >= 4").filter((F.col("hit") - expected) ** 2 / spread >= LEAST_CHI2).collect()
-    if not best:
-        return Vocabulary(none, none)
-    bases = np.array([row.term for row in best], np.int64).view(np.uint64)
-    hashes = np.array([_at_level(bases[i : i + 1], row.level)[0] for i, row in enumerate(best)], np.uint64)
-    return Vocabulary(np.unique(hashes), np.unique(bases))
-
-
-def _vectors(chunk, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in the vocabulary, count) of the chosen terms."""
-    terms, rows = _terms(chunk)
-    if not len(vocabulary.hashes):
-        return (np.zeros(0, np.int64),) * 3
-    known = vocabulary.bases[np.minimum(np.searchsorted(vocabulary.bases, terms), len(vocabulary.bases) - 1)] == terms
-    rows, terms, counts = _counted(terms[known], rows[known])
-    at = np.minimum(np.searchsorted(vocabulary.hashes, terms), len(vocabulary.hashes) - 1)
-    hit = vocabulary.hashes[at] == terms
-    return rows[hit], at[hit], counts[hit]
+                rows, terms, counts = _counted(*_terms(chunk))
+                order = np.argsort(rows, kind="stable")
+                terms, counts = terms[order], counts[order].astype(np.int32)
+                bounds = np.searchsorted(rows[order], np.arange(len(chunk) + 1))
+                own = pa.Table.from_batches([batch.slice(chunk.first, len(chunk))]).drop_columns(["text"])
+                for name, values in (("terms", terms), ("counts", counts)):
+                    own = own.append_column(name, pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
+                yield from own.to_batches()
 
+    schema = "doc_id long, toxic int, weight double, terms binary, counts binary"
+    return sorted(sample.select("doc_id", "toxic", "weight", "text").mapInArrow(work, schema).collect(), key=lambda x: x.doc_id)
 
-def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """In how many documents each chosen term occurs, and the number of documents."""
+
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each term of the vocabulary occurs, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(len(vocabulary), np.int64), 0
+        known = shared.value
+        # The last place counts documents.
+        counts = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for chunk in chunks(batch):
-                _, terms, _ = _vectors(chunk, vocabulary)
-                counts += np.bincount(terms, minlength=len(vocabulary))
-                total += len(chunk)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(-1, len(vocabulary))), pa.array(np.concatenate(([total], counts)))], names=["place", "n"]
-        )
+                counts[:-1] += np.bincount(_vectors(chunk, known)[1], minlength=len(known))
+                counts[-1] += len(chunk)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
+
+    sums = docs.select("text").mapInArrow(work, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    counts = np.zeros(len(vocabulary) + 1)
+    counts[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+    return counts[:-1], int(counts[-1])
+
 
-    sums = dict(docs.select("text").mapInArrow(work, "place long, n long").groupBy("place").agg(F.sum("n")).collect())
-    return np.array([sums.get(i, 0) for i in range(len(vocabulary))], float), int(sums.get(-1, 0))
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of some ranges, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
 
 
 @dataclass
 class Index:
     """Example vectors in blocks, the largest weight of each term per block, and the fitted votes.
 
-    Postings lie by term, then example; those of a term and block are `begins[term, block]` to `begins[term, block + 1]`.
+    The postings of usual terms have no gaps: their weights are rows of `dense`, term t's is row `usual[t]` (-1: none). Those
+    of the others lie by term, then example. A cell is such a term in a block that has it: term t has the cells `cells[t]`
+    to `cells[t + 1]`, each with its block, its largest weight and its postings `begins[cell]` to `begins[cell + 1]`.
     """
 
-    vocabulary: Vocabulary
-    idf: np.ndarray
+    vocabulary: np.ndarray
+    scale: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
+    usual: np.ndarray
+    dense: np.ndarray
+    cells: np.ndarray
+    blocks: np.ndarray
+    bounds: np.ndarray
     begins: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
-    bounds: np.ndarray
     #: Votes in ascending order and the probability of each.
     votes: np.ndarray
     chance: np.ndarray
@@ -198,23 +180,35 @@ class Index:
     @property
     def matrix(self) -> np.ndarray:
         """All vectors, one row per example; for tests."""
-        out = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
-        out[self.examples, np.repeat(np.arange(len(self.vocabulary)), self.begins[:, -1] - self.begins[:, 0])] = self.weights
+        out = np.zeros((len(self.ids), len(self.vocabulary)))
+        out[self.examples, np.repeat(np.arange(len(self.vocabulary)), np.diff(self.begins[self.cells]))] = self.weights
+        out[:, self.usual >= 0] = self.dense.T
         return out
 
-    def _cosines(self, places: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of some blocks that share a term with a unit vector, ascending, and their cosines."""
-        starts = self.begins[places[:, None], blocks].ravel()
-        sizes = self.begins[places[:, None], blocks + 1].ravel() - starts
-        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-        force = self.weights[at] * np.repeat(np.repeat(values, len(blocks)), sizes)
-        own = np.bincount(self.examples[at], force, len(self.ids))
-        found = np.flatnonzero(own > 0)
-        return found, own[found]
-
-    def nearest(self, places: np.ndarray, values: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples of a unit vector and their cosines, ties by place in the index."""
-        limits = values @ self.bounds[places]
+    def nearest(self, places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most similar examples of one unit vector and their cosines."""
+        return next(self.neighbours([(places, values)]))
+
+    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The most similar examples of each unit vector (places, values) and their cosines; `own`: without the example itself."""
+        for first in range(0, len(vectors), TOGETHER):
+            some = vectors[first : first + TOGETHER]
+            table = np.zeros((len(some), len(self.dense)))
+            for i, (places, values) in enumerate(some):
+                at = self.usual[places]
+                table[i, at[at >= 0]] = values[at >= 0]
+            for i, (vector, sums) in enumerate(zip(some, table @ self.dense, strict=True)):
+                yield self._nearest(*vector, sums, first + i if own else -1)
+
+    def _nearest(self, places: np.ndarray, values: np.ndarray, sums: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k most similar examples and their cosines, ties by place in the index; `sums` are the parts of usual terms."""
+        sizes = self.cells[places + 1] - self.cells[places]
+        cells = _ranges(self.cells[places], sizes)
+        force, block = np.repeat(values, sizes), self.blocks[cells]
+        # No example of a block can be more similar than this.
+        limits = np.bincount(block, force * self.bounds[cells], -(-len(self.ids) // BLOCK))
+        if len(limits):
+            limits = limits + np.maximum.reduceat(sums, np.arange(0, len(sums), BLOCK))
         blocks = np.argsort(-limits, kind="stable")
         blocks = blocks[limits[blocks] > 0]
         best = np.zeros(0, np.int64)
@@ -224,10 +218,17 @@ class Index:
         while len(blocks):
             if len(best) >= NEIGHBOURS:
                 blocks = blocks[limits[blocks] + 1e-9 >= cosines[-1]]
-            found, own = self._cosines(places, values, blocks[:size])
+            now = np.zeros(len(limits), bool)
+            now[blocks[:size]] = True
+            taken = now[block]
+            begins = self.begins[cells[taken]]
+            counts = self.begins[cells[taken] + 1] - begins
+            at = _ranges(begins, counts)
+            own = sums + np.bincount(self.examples[at], self.weights[at] * np.repeat(force[taken], counts), len(sums))
             blocks, size = blocks[size:], 4 * size
-            own = own[found != skip]
+            found = np.flatnonzero((own > 0) & np.repeat(now, BLOCK)[: len(sums)])
             found = found[found != skip]
+            own = own[found]
             if len(found) > NEIGHBOURS:
                 # Few can be among the nearest; only they are put in order.
                 near = own >= np.partition(own, -NEIGHBOURS)[-NEIGHBOURS] - 1e-8
@@ -249,9 +250,10 @@ class Index:
         return float(np.interp(vote, self.votes, self.chance))
 
 
-def _unit(places: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    values = (1 + np.log(counts)) * idf[places]
-    return values / np.sqrt((values**2).sum())
+def _unit(places: np.ndarray, counts: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    values = (1 + np.log(counts)) * scale[places]
+    length = np.sqrt((values**2).sum())
+    return values / length if length > 0 else values
 
 
 def _monotone(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,49 +272,51 @@ def _monotone(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
 
 def fitted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """The index over at most `examples` labelled texts per class; its size is bounded by theirs, whatever the tables hold."""
-    sample = _sampled(labels, docs, examples).repartition(8).persist()
-    vocabulary = _vocabulary(sample)
+    rows = _examples(_sampled(labels, docs, examples))
+    vocabulary = np.unique(np.concatenate([np.frombuffer(x.terms, np.uint64) for x in rows])) if rows else np.zeros(0, np.uint64)
+    return built(rows, vocabulary, *_frequencies(docs, vocabulary))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch):
-                rows, places, counts = _vectors(chunk, vocabulary)
-                each = [np.flatnonzero(rows == i) for i in range(len(chunk))]
-                own = pa.Table.from_batches([batch.slice(chunk.first, len(chunk))]).drop_columns(["text"])
-                own = own.append_column("places", pa.array([places[x].tolist() for x in each], pa.list_(pa.int64())))
-                own = own.append_column("counts", pa.array([counts[x].tolist() for x in each], pa.list_(pa.int64())))
-                yield from own.to_batches()
 
-    found = sample.select("doc_id", "toxic", "weight", "text").mapInArrow(
-        work, "doc_id long, toxic int, weight double, places array<long>, counts array<long>"
-    )
-    rows = sorted(found.collect(), key=lambda x: x.doc_id)
-    sample.unpersist()
-    frequency, total = _frequencies(docs, vocabulary)
-    idf = np.log((total + 1) / (frequency + 1)) + 1 if len(vocabulary) else np.zeros(0)
-    blank = [x for x in rows if not x.places]
-    rows = [x for x in rows if x.places]
+def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int) -> Index:
+    """The index of example rows (see _examples), with the documents that have each term and the number of documents."""
+    blank = [x for x in rows if not x.terms]
+    rows = [x for x in rows if x.terms]
     mass = sum(x.weight for x in blank)
     nothing = (sum(x.weight * x.toxic for x in blank) + 0.01) / (mass + 1)
+    places = [np.searchsorted(vocabulary, np.frombuffer(x.terms, np.uint64)) for x in rows]
+    counts = [np.frombuffer(x.counts, np.int32) for x in rows]
+    # Texts of each class that have a term, in the table's proportion.
+    with_term = np.zeros((2, len(vocabulary)))
+    for row, own in zip(rows, places, strict=True):
+        with_term[row.toxic, own] += row.weight
+    # Above 0 for every term, so a text that shares one with an example has a neighbour.
+    idf = np.log((total + 1) / (frequency + 0.5))
+    scale = idf * np.log2(2 + with_term[1] / np.maximum(with_term[0], 1))
+    units = [_unit(*x, scale) for x in zip(places, counts, strict=True)]
     # Examples with the same strongest term lie together, so that blocks have sharp bounds.
-    vectors = [(x, np.array(x.places), _unit(np.array(x.places), np.array(x.counts), idf)) for x in rows]
-    vectors.sort(key=lambda v: (int(v[1][v[2].argmax()]), v[0].doc_id))
-    blocks = -(-len(vectors) // BLOCK)
-    terms = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0, np.int64)
-    inside = np.repeat(np.arange(len(vectors)), [len(v[1]) for v in vectors])
-    weights = np.concatenate([v[2] for v in vectors]).astype(np.float32) if vectors else np.zeros(0, np.float32)
+    order = sorted(range(len(rows)), key=lambda i: (int(places[i][units[i].argmax()]), rows[i].doc_id))
+    rows, places, units = ([x[i] for i in order] for x in (rows, places, units))
+    terms = np.concatenate(places) if rows else np.zeros(0, np.int64)
+    inside = np.repeat(np.arange(len(rows)), [len(x) for x in places])
+    weights = np.concatenate(units) if rows else np.zeros(0)
     order = np.lexsort((inside, terms))
     terms, inside, weights = terms[order], inside[order], weights[order]
-    cell = terms * (blocks + 1) + inside // BLOCK
-    begins = np.searchsorted(cell, np.arange(len(vocabulary) * (blocks + 1))).reshape(len(vocabulary), blocks + 1)
-    bounds = np.zeros((len(vocabulary), blocks), np.float32)
-    np.maximum.at(bounds, (terms, inside // BLOCK), weights)
+    common = np.bincount(terms, minlength=len(vocabulary)) * USUAL >= max(len(rows), 1)
+    usual = np.where(common, np.cumsum(common) - 1, -1)
+    dense = np.zeros((int(common.sum()), len(rows)))
+    gapless = common[terms]
+    dense[usual[terms[gapless]], inside[gapless]] = weights[gapless]
+    terms, inside, weights = terms[~gapless], inside[~gapless], weights[~gapless]
+    block = inside // BLOCK
+    fresh = np.flatnonzero(np.concatenate(([True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])))) if len(terms) else np.zeros(0, np.int64)
     index = Index(
-        vocabulary, idf,
-        np.array([v[0].doc_id for v in vectors], np.int64), np.array([v[0].toxic for v in vectors], float),
-        np.array([v[0].weight for v in vectors], float), begins, inside, weights, bounds, np.zeros(0), np.zeros(0), float(nothing),
+        vocabulary, scale,
+        np.array([x.doc_id for x in rows], np.int64), np.array([x.toxic for x in rows], float),
+        np.array([x.weight for x in rows], float), usual, dense, np.searchsorted(terms[fresh], np.arange(len(vocabulary) + 1)),
+        block[fresh], np.maximum.reduceat(weights, fresh) if len(terms) else weights, np.append(fresh, len(terms)),
+        inside, weights, np.zeros(0), np.zeros(0), float(nothing),
     )
-    own = np.array([index.vote(*index.nearest(p, v, at)) for at, (_, p, v) in enumerate(vectors)])
+    own = np.array([index.vote(*x) for x in index.neighbours(list(zip(places, units, strict=True)), own=True)])
     told = own >= 0
     if told.any():
         index.votes, index.chance = _monotone(own[told], index.toxic[told], index.weight[told])
@@ -322,9 +326,10 @@ def fitted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Inde
 def scored(docs: DataFrame, index: Index) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, score, and `evidence`, the three nearest examples (doc_id, toxic, cosine).
 
-    A null or empty text, or one without any term of the index, has no evidence and the score of such examples. Texts are read
-    whole, repeated rows one by one; an empty table gives no rows; other columns are ignored. Without labelled texts of both
-    classes all scores are the share of toxic ones, or nearly 0.
+    A null or empty text, or one that shares no term with any example, has no evidence and the score of such examples. Texts
+    are read whole, repeated rows one by one; an empty table gives no rows; other columns are ignored. Equal cosines go by place
+    in the index. Of examples that repeat a doc_id the smallest text counts, and toxic if any label says so. Without labelled
+    texts all scores are nearly 0; with texts of one class, votes are for that class.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
@@ -334,17 +339,14 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch):
                 rows, places, counts = _vectors(chunk, book.vocabulary)
-                order = np.argsort(rows, kind="stable")
-                rows, places, counts = rows[order], places[order], counts[order]
                 scores = np.full(len(chunk), book.nothing)
                 evidence: list = [[]] * len(chunk)
-                starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else []
-                for a, b in zip(starts, np.append(starts[1:], len(rows)) if len(rows) else [], strict=True):
-                    by_place = np.argsort(places[a:b])
-                    own = places[a:b][by_place]
-                    best, cosines = book.nearest(own, _unit(own, counts[a:b][by_place], book.idf))
-                    scores[rows[a]] = book.score(book.vote(best, cosines))
-                    evidence[rows[a]] = [
+                some, starts = np.unique(rows, return_index=True)
+                ends = np.append(starts[1:], len(rows))
+                vectors = [(places[a:b], _unit(places[a:b], counts[a:b], book.scale)) for a, b in zip(starts, ends[: len(starts)], strict=True)]
+                for row, (best, cosines) in zip(some, book.neighbours(vectors), strict=True):
+                    scores[row] = book.score(book.vote(best, cosines))
+                    evidence[row] = [
                         {"doc_id": int(book.ids[i]), "toxic": int(book.toxic[i]), "cosine": float(c)} for i, c in zip(best[:3], cosines[:3], strict=True)
                     ]
                 yield pa.RecordBatch.from_arrays(
