@@ -176,6 +176,11 @@ class Index:
     votes: np.ndarray
     chance: np.ndarray
     nothing: float
+    #: What the rest is made of; only this travels.
+    packed: tuple
+
+    def __reduce__(self) -> tuple:
+        return _unpacked, (*self.packed, self.votes, self.chance)
 
     @property
     def matrix(self) -> np.ndarray:
@@ -295,32 +300,43 @@ def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int)
     units = [_unit(*x, scale) for x in zip(places, counts, strict=True)]
     # Examples with the same strongest term lie together, so that blocks have sharp bounds.
     order = sorted(range(len(rows)), key=lambda i: (int(places[i][units[i].argmax()]), rows[i].doc_id))
-    rows, places, units = ([x[i] for i in order] for x in (rows, places, units))
+    rows, places, counts, units = ([x[i] for i in order] for x in (rows, places, counts, units))
     terms = np.concatenate(places) if rows else np.zeros(0, np.int64)
     inside = np.repeat(np.arange(len(rows)), [len(x) for x in places])
-    weights = np.concatenate(units) if rows else np.zeros(0)
     order = np.lexsort((inside, terms))
-    terms, inside, weights = terms[order], inside[order], weights[order]
-    common = np.bincount(terms, minlength=len(vocabulary)) * USUAL >= max(len(rows), 1)
+    times = np.concatenate(counts)[order] if rows else np.zeros(0, np.int32)
+    index = _unpacked(
+        vocabulary, scale, np.array([x.doc_id for x in rows], np.int64), np.array([x.toxic for x in rows], float),
+        np.array([x.weight for x in rows], float), np.bincount(terms, minlength=len(vocabulary)).astype(np.int32),
+        inside[order].astype(np.min_scalar_type(len(rows))), times.astype(np.min_scalar_type(int(times.max(initial=0)))), float(nothing),
+        np.zeros(0), np.zeros(0),
+    )
+    own = np.array([index.vote(*x) for x in index.neighbours(list(zip(places, units, strict=True)), own=True)])
+    told = own >= 0
+    if told.any():
+        index.votes, index.chance = _monotone(own[told], index.toxic[told], index.weight[told])
+    return index
+
+
+def _unpacked(vocabulary, scale, ids, toxic, weight, sizes, inside, times, nothing, votes, chance) -> Index:
+    """The index of postings by term, then example: `sizes` per term, the example and the count of each posting."""
+    packed = (vocabulary, scale, ids, toxic, weight, sizes, inside, times, nothing)
+    terms, inside = np.repeat(np.arange(len(vocabulary)), sizes), inside.astype(np.int64)
+    weights = (1 + np.log(times, dtype=float)) * scale[terms]
+    weights /= np.sqrt(np.bincount(inside, weights**2, len(ids)))[inside]
+    common = sizes.astype(np.int64) * USUAL >= max(len(ids), 1)
     usual = np.where(common, np.cumsum(common) - 1, -1)
-    dense = np.zeros((int(common.sum()), len(rows)))
+    dense = np.zeros((int(common.sum()), len(ids)))
     gapless = common[terms]
     dense[usual[terms[gapless]], inside[gapless]] = weights[gapless]
     terms, inside, weights = terms[~gapless], inside[~gapless], weights[~gapless]
     block = inside // BLOCK
     fresh = np.flatnonzero(np.concatenate(([True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])))) if len(terms) else np.zeros(0, np.int64)
-    index = Index(
-        vocabulary, scale,
-        np.array([x.doc_id for x in rows], np.int64), np.array([x.toxic for x in rows], float),
-        np.array([x.weight for x in rows], float), usual, dense, np.searchsorted(terms[fresh], np.arange(len(vocabulary) + 1)),
+    return Index(
+        vocabulary, scale, ids, toxic, weight, usual, dense, np.searchsorted(terms[fresh], np.arange(len(vocabulary) + 1)),
         block[fresh], np.maximum.reduceat(weights, fresh) if len(terms) else weights, np.append(fresh, len(terms)),
-        inside, weights, np.zeros(0), np.zeros(0), float(nothing),
+        inside, weights, votes, chance, nothing, packed,
     )
-    own = np.array([index.vote(*x) for x in index.neighbours(list(zip(places, units, strict=True)), own=True)])
-    told = own >= 0
-    if told.any():
-        index.votes, index.chance = _monotone(own[told], index.toxic[told], index.weight[told])
-    return index
 
 
 def scored(docs: DataFrame, index: Index) -> DataFrame:
