@@ -29,8 +29,8 @@ BLOCK = 256
 FIRST_BLOCKS = 4
 #: A term that one example in so many has, or more, is kept with a weight for every example.
 USUAL = 16
-#: Texts whose usual terms are summed together.
-TOGETHER = 256
+#: Texts that are searched together.
+TOGETHER = 64
 PREFIXES = (5, 7)
 LEVELS = (1, 2, 4)
 
@@ -194,54 +194,60 @@ class Index:
         """The most similar examples of one unit vector and their cosines."""
         return next(self.neighbours([(places, values)]))
 
-    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The most similar examples of each unit vector (places, values) and their cosines; `own`: without the example itself."""
-        for first in range(0, len(vectors), TOGETHER):
-            some = vectors[first : first + TOGETHER]
-            table = np.zeros((len(some), len(self.dense)))
-            for i, (places, values) in enumerate(some):
-                at = self.usual[places]
-                table[i, at[at >= 0]] = values[at >= 0]
-            for i, (vector, sums) in enumerate(zip(some, table @ self.dense, strict=True)):
-                yield self._nearest(*vector, sums, first + i if own else -1)
-
-    def _nearest(self, places: np.ndarray, values: np.ndarray, sums: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples and their cosines, ties by place in the index; `sums` are the parts of usual terms."""
+    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], first: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The k most similar examples of each unit vector (places, values) and their cosines, ties by place in the index.
+
+        With `first`, the vectors are the examples from that place on, and none is its own neighbour.
+        """
+        for start in range(0, len(vectors), TOGETHER):
+            some = vectors[start : start + TOGETHER]
+            cosines = self._cosines(some, None if first is None else first + start)
+            for own in cosines:
+                found = np.flatnonzero(own > 0)
+                if len(found) > NEIGHBOURS:
+                    # Few can be among the nearest; only they are put in order.
+                    found = np.flatnonzero(own >= max(np.partition(own, -NEIGHBOURS)[-NEIGHBOURS] - 1e-8, 1e-300))
+                best = found[np.lexsort((found, -np.round(own[found], 9)))[:NEIGHBOURS]]
+                yield best, own[best]
+
+    def _cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]], first: int | None) -> np.ndarray:
+        """Cosines of some vectors with all examples that can be among their nearest, 0 for others."""
+        count, n, blocks = len(vectors), len(self.ids), -(-len(self.ids) // BLOCK)
+        query = np.repeat(np.arange(count), [len(x) for x, _ in vectors])
+        places, values = np.concatenate([x for x, _ in vectors]), np.concatenate([x for _, x in vectors])
+        at = self.usual[places]
+        table = np.zeros((count, len(self.dense)))
+        table[query[at >= 0], at[at >= 0]] = values[at >= 0]
+        sums = table @ self.dense
         sizes = self.cells[places + 1] - self.cells[places]
         cells = _ranges(self.cells[places], sizes)
-        force, block = np.repeat(values, sizes), self.blocks[cells]
+        force, query = np.repeat(values, sizes), np.repeat(query, sizes)
+        spot = query * blocks + self.blocks[cells]
         # No example of a block can be more similar than this.
-        limits = np.bincount(block, force * self.bounds[cells], -(-len(self.ids) // BLOCK))
-        if len(limits):
-            limits = limits + np.maximum.reduceat(sums, np.arange(0, len(sums), BLOCK))
-        blocks = np.argsort(-limits, kind="stable")
-        blocks = blocks[limits[blocks] > 0]
-        best = np.zeros(0, np.int64)
-        cosines = np.zeros(0)
-        # Few blocks first, then more at a time of those that can still hold a neighbour.
-        size = FIRST_BLOCKS
-        while len(blocks):
-            if len(best) >= NEIGHBOURS:
-                blocks = blocks[limits[blocks] + 1e-9 >= cosines[-1]]
-            now = np.zeros(len(limits), bool)
-            now[blocks[:size]] = True
-            taken = now[block]
+        limits = np.bincount(spot, force * self.bounds[cells], count * blocks).reshape(count, blocks)
+        limits = limits + np.maximum.reduceat(sums, np.arange(0, n, BLOCK), axis=1)
+        cosines = np.zeros((count, n))
+
+        def take(now: np.ndarray) -> None:
+            """Fill in the cosines of some blocks of each vector."""
+            taken = np.flatnonzero(now.ravel()[spot])
             begins = self.begins[cells[taken]]
-            counts = self.begins[cells[taken] + 1] - begins
-            at = _ranges(begins, counts)
-            own = sums + np.bincount(self.examples[at], self.weights[at] * np.repeat(force[taken], counts), len(sums))
-            blocks, size = blocks[size:], 4 * size
-            found = np.flatnonzero((own > 0) & np.repeat(now, BLOCK)[: len(sums)])
-            found = found[found != skip]
-            own = own[found]
-            if len(found) > NEIGHBOURS:
-                # Few can be among the nearest; only they are put in order.
-                near = own >= np.partition(own, -NEIGHBOURS)[-NEIGHBOURS] - 1e-8
-                found, own = found[near], own[near]
-            best, cosines = np.concatenate((best, found)), np.concatenate((cosines, own))
-            order = np.lexsort((best, -np.round(cosines, 9)))[:NEIGHBOURS]
-            best, cosines = best[order], cosines[order]
-        return best, cosines
+            sizes = self.begins[cells[taken] + 1] - begins
+            at = _ranges(begins, sizes)
+            light = np.bincount(
+                np.repeat(query[taken] * n, sizes) + self.examples[at], self.weights[at] * np.repeat(force[taken], sizes), count * n
+            ).reshape(count, n)
+            np.copyto(cosines, sums + light, where=np.repeat(now, BLOCK, axis=1)[:, :n])
+            if first is not None:
+                cosines[np.arange(count), first + np.arange(count)] = 0
+
+        # A few blocks, then all that can still hold a neighbour.
+        now = np.zeros((count, blocks), bool)
+        np.put_along_axis(now, np.argsort(-limits, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        take(now)
+        least = np.partition(cosines, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS] if n > NEIGHBOURS else np.zeros(count)
+        take(~now & (limits > 0) & (limits + 1e-9 >= least[:, None]))
+        return cosines
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
         if not len(best):
@@ -279,16 +285,16 @@ def fitted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Inde
     """The index over at most `examples` labelled texts per class; its size is bounded by theirs, whatever the tables hold."""
     rows = _examples(_sampled(labels, docs, examples))
     vocabulary = np.unique(np.concatenate([np.frombuffer(x.terms, np.uint64) for x in rows])) if rows else np.zeros(0, np.uint64)
-    return built(rows, vocabulary, *_frequencies(docs, vocabulary))
+    return _with_votes(*built(rows, vocabulary, *_frequencies(docs, vocabulary)))
 
 
-def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int) -> Index:
-    """The index of example rows (see _examples), with the documents that have each term and the number of documents."""
+def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int) -> tuple[Index, list[np.ndarray], list[np.ndarray]]:
+    """The index, without votes, and each example's terms and counts, of example rows (see _examples), with the documents that have each term and the number of documents."""
     blank = [x for x in rows if not x.terms]
     rows = [x for x in rows if x.terms]
     mass = sum(x.weight for x in blank)
     nothing = (sum(x.weight * x.toxic for x in blank) + 0.01) / (mass + 1)
-    places = [np.searchsorted(vocabulary, np.frombuffer(x.terms, np.uint64)) for x in rows]
+    places = [np.searchsorted(vocabulary, np.frombuffer(x.terms, np.uint64)).astype(np.int32) for x in rows]
     counts = [np.frombuffer(x.counts, np.int32) for x in rows]
     # Texts of each class that have a term, in the table's proportion.
     with_term = np.zeros((2, len(vocabulary)))
@@ -297,12 +303,12 @@ def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int)
     # Above 0 for every term, so a text that shares one with an example has a neighbour.
     idf = np.log((total + 1) / (frequency + 0.5))
     scale = idf * np.log2(2 + with_term[1] / np.maximum(with_term[0], 1))
-    units = [_unit(*x, scale) for x in zip(places, counts, strict=True)]
     # Examples with the same strongest term lie together, so that blocks have sharp bounds.
-    order = sorted(range(len(rows)), key=lambda i: (int(places[i][units[i].argmax()]), rows[i].doc_id))
-    rows, places, counts, units = ([x[i] for i in order] for x in (rows, places, counts, units))
+    strongest = [int(x[_unit(x, y, scale).argmax()]) for x, y in zip(places, counts, strict=True)]
+    order = sorted(range(len(rows)), key=lambda i: (strongest[i], rows[i].doc_id))
+    rows, places, counts = ([x[i] for i in order] for x in (rows, places, counts))
     terms = np.concatenate(places) if rows else np.zeros(0, np.int64)
-    inside = np.repeat(np.arange(len(rows)), [len(x) for x in places])
+    inside = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in places])
     order = np.lexsort((inside, terms))
     times = np.concatenate(counts)[order] if rows else np.zeros(0, np.int32)
     index = _unpacked(
@@ -311,17 +317,26 @@ def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int)
         inside[order].astype(np.min_scalar_type(len(rows))), times.astype(np.min_scalar_type(int(times.max(initial=0)))), float(nothing),
         np.zeros(0), np.zeros(0),
     )
-    own = np.array([index.vote(*x) for x in index.neighbours(list(zip(places, units, strict=True)), own=True)])
-    told = own >= 0
+    return index, places, counts
+
+
+def _with_votes(index: Index, places: list[np.ndarray], counts: list[np.ndarray]) -> Index:
+    """The index with the votes of its examples, each left out of its own, and their probabilities."""
+    own = []
+    for first in range(0, len(places), TOGETHER):
+        some = slice(first, first + TOGETHER)
+        vectors = [(x, _unit(x, y, index.scale)) for x, y in zip(places[some], counts[some], strict=True)]
+        own += [index.vote(*x) for x in index.neighbours(vectors, first)]
+    told = np.array(own) >= 0
     if told.any():
-        index.votes, index.chance = _monotone(own[told], index.toxic[told], index.weight[told])
+        index.votes, index.chance = _monotone(np.array(own)[told], index.toxic[told], index.weight[told])
     return index
 
 
 def _unpacked(vocabulary, scale, ids, toxic, weight, sizes, inside, times, nothing, votes, chance) -> Index:
     """The index of postings by term, then example: `sizes` per term, the example and the count of each posting."""
     packed = (vocabulary, scale, ids, toxic, weight, sizes, inside, times, nothing)
-    terms, inside = np.repeat(np.arange(len(vocabulary)), sizes), inside.astype(np.int64)
+    terms, inside = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes), inside.astype(np.int64)
     weights = (1 + np.log(times, dtype=float)) * scale[terms]
     weights /= np.sqrt(np.bincount(inside, weights**2, len(ids)))[inside]
     common = sizes.astype(np.int64) * USUAL >= max(len(ids), 1)
