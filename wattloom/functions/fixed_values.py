@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-
-def quarter_hours(first: float, last: float) -> list[str]:
-    """`3.5, 3.75, 4, ...` as the data set spells them."""
-    steps = int(round((last - first) * 4)) + 1
-    return [f"{first + step / 4:g}" for step in range(steps)]
-
-
 # --- fixed values -----------------------------------------------------------------------------
 
 FOLDS = 5
@@ -68,8 +61,18 @@ ORDINAL_LEVELS = {
         "Before 1946", "1946 to 1959", "1960 to 1969", "1970 to 1979",
         "1980 to 1989", "1990 to 1999", "2000 to 2012", "2013 to 2018",
     ],
-    "in.weekday_opening_time..hr_com": quarter_hours(3.5, 12.25),
-    "in.weekday_operating_hours..hr_com": quarter_hours(5.75, 18.75),
+    "in.weekday_opening_time..hr_com": [
+        "3.5", "3.75", "4", "4.25", "4.5", "4.75", "5", "5.25", "5.5", "5.75", "6", "6.25", "6.5",
+        "6.75", "7", "7.25", "7.5", "7.75", "8", "8.25", "8.5", "8.75", "9", "9.25", "9.5", "9.75",
+        "10", "10.25", "10.5", "10.75", "11", "11.25", "11.5", "11.75", "12", "12.25",
+    ],
+    "in.weekday_operating_hours..hr_com": [
+        "5.75", "6", "6.25", "6.5", "6.75", "7", "7.25", "7.5", "7.75", "8", "8.25", "8.5", "8.75",
+        "9", "9.25", "9.5", "9.75", "10", "10.25", "10.5", "10.75", "11", "11.25", "11.5", "11.75",
+        "12", "12.25", "12.5", "12.75", "13", "13.25", "13.5", "13.75", "14", "14.25", "14.5",
+        "14.75", "15", "15.25", "15.5", "15.75", "16", "16.25", "16.5", "16.75", "17", "17.25",
+        "17.5", "17.75", "18", "18.25", "18.5", "18.75",
+    ],
     "in.bedrooms_res": ["1", "2", "3", "4", "5"],
     "in.cooling_setpoint_res": [
         "60F", "62F", "65F", "67F", "68F", "70F", "72F", "75F", "76F", "78F", "80F",
