@@ -443,6 +443,62 @@ def test_line_dedup(spark, hard):
     assert (8, 2 * len(LINE) + 1, len(LINE)) in sizes and len(sizes) == len(HARD)
 
 
+def plain_units(text):
+    """(normalised words, start byte, end byte) of all units, one sentence after the other."""
+    data = (text or "").encode()
+    found = list(re.finditer(rb"[^\x20\x09-\x0D]+", data))
+
+    def stops(word):
+        for _ in range(3):
+            if word.endswith(tuple(".!?…。！？")):
+                return True
+            if len(word) < 2 or word[-1] not in "\"')]}”’»）」":
+                return False
+            word = word[:-1]
+        return False
+
+    line = [data.count(b"\n", 0, m.start()) for m in found]
+    cuts = [i for i in range(len(found)) if i == 0 or line[i] != line[i - 1] or stops(found[i - 1].group().decode())]
+    sentences = list(zip(cuts, [*cuts[1:], len(found)], strict=True))
+    lines = [(min(x), max(x) + 1) for x in ([i for i, own in enumerate(line) if own == n] for n in sorted(set(line)))]
+    out = {(a, b) for a, b in lines if b - a >= 5} | {x for x in sentences if x not in lines and x[1] - x[0] >= 8}
+    for i, (a, b) in enumerate(sentences):
+        if b - a >= 8:
+            continue
+        for only_short, least in ((True, 8), (False, 25)):
+            for step in (1, -1):
+                j = i
+                while abs(sentences[j][1] - a if step > 0 else b - sentences[j][0]) < least:
+                    j += step
+                    if not 0 <= j < len(sentences) or (only_short and sentences[j][1] - sentences[j][0] >= 8):
+                        break
+                else:
+                    out.add((a, sentences[j][1]) if step > 0 else (sentences[j][0], b))
+    units = []
+    for a, b in out:
+        last = found[b - 1].end()
+        feed = data.find(b"\n", last)
+        following = found[b].start() if b < len(found) else len(data)
+        end = min(following, feed + 1 if feed >= 0 else len(data))
+        units.append((tuple(m.group().lower() for m in found[a:b]), found[a].start(), end))
+    return units
+
+
+def test_line_dedup_equals_plain_units(spark, docs):
+    first = {}
+    for doc in sorted(docs):
+        for key, start, _ in plain_units(docs[doc]):
+            first[key] = min(first.get(key, (doc, start)), (doc, start))
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    removed = 0
+    for row in line_dedup.deduplicated(frame).collect():
+        data = (docs[row.doc_id] or "").encode()
+        gone = {i for key, start, end in plain_units(docs[row.doc_id]) if first[key] != (row.doc_id, start) for i in range(start, end)}
+        assert bytes(row.kept) == bytes(x for i, x in enumerate(data) if i not in gone)
+        removed += len(gone)
+    assert removed > 0
+
+
 def test_line_dedup_of_short_units(spark):
     verse = [f"verse {i} is short{mark}" for i, mark in enumerate([".", "!", "?", '."', ".)", "…", ".”"] * 2)]
     mixed = f"Then came n1. {' '.join(f'm{i}' for i in range(22))}. Then came n2. {' '.join(f'o{i}' for i in range(22))}. Then came n3."
