@@ -1,22 +1,23 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
 Terms are words and the beginnings of words, and each again for texts that have it twice or four times. All terms of a
 bounded sample of labelled texts count; their document frequencies are taken over all documents. A term's axis is stretched
 by how much more often toxic examples have it than clean ones, never shrunk: without that, what a text is about decides its
-neighbours. The sample's vectors form the index: examples lie in blocks, and a term has its postings and its largest weight
-per block that has it. A query bounds its cosine with every block, works through blocks from the largest bound, and leaves
-out those that cannot change the k nearest. Votes weigh similarity and how many labelled texts an example stands for; a
-monotone fit on the examples themselves, each left out of its own vote, turns votes into probabilities.
+neighbours. The sample's vectors form the index: terms that many examples have lie in a matrix, the others have postings, and
+texts are compared with all examples, many texts at once. (Bounds per block of examples left out 1 % of the blocks and cost
+more than the cosines.) Votes weigh similarity and how many labelled texts an example stands for; a monotone fit on the
+examples themselves, each left out of its own vote, turns votes into probabilities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm.text_arrays import ALNUM, RangeHash, chunks, mix, rows_of, words
@@ -24,13 +25,12 @@ from wattloom.llm.text_arrays import ALNUM, RangeHash, chunks, mix, rows_of, wor
 #: Labelled texts per class that the classifier is fitted on, at most.
 EXAMPLES = 3000
 NEIGHBOURS = 25
-BLOCK = 256
-#: Blocks that a query takes first, before it leaves out any.
-FIRST_BLOCKS = 4
 #: A term that one example in so many has, or more, is kept with a weight for every example.
 USUAL = 16
 #: Texts that are searched together.
-TOGETHER = 64
+TOGETHER = 32
+#: Examples whose votes one task takes.
+VOTERS = 512
 PREFIXES = (5, 7)
 LEVELS = (1, 2, 4)
 
@@ -89,19 +89,56 @@ def _sampled(labels: DataFrame, docs: DataFrame, examples: int) -> DataFrame:
     return found.groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text"))
 
 
-def _vectors(chunk, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in the vocabulary, count) of the terms that an example has, by row, then place."""
+class Vocabulary:
+    """Sorted term hashes, found by their first bits, and where the terms of further levels are."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.size = len(hashes)
+        bits = self.size.bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        own = np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << bits)
+        #: The first place of each beginning; a last hash, which no place has, ends every search.
+        self.begins = (np.cumsum(own) - own).astype(np.int32)
+        self.hashes = np.append(hashes, np.uint64(2**64 - 1))
+        #: Of the term in each place, the place of its second and of its further levels, -1 for none.
+        self.levels = [self.places(_at_level(hashes, n)) for n in LEVELS[1:]]
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """The place of each term, -1 for none."""
+        at = self.begins[(terms >> self.shift).astype(np.int64)]
+        late = np.flatnonzero(self.hashes[at] < terms)
+        while len(late):
+            at[late] += 1
+            late = late[self.hashes[at[late]] < terms[late]]
+        at[(self.hashes[at] != terms) | (at == self.size)] = -1
+        return at
+
+
+def _found(chunk, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the vocabulary, count) of the terms that a text has, levels one after the other."""
     terms, rows = _terms(chunk)
-    if not len(vocabulary):
-        return (np.zeros(0, np.int64),) * 3
+    places = known.places(terms)
     # A term's first level is in the vocabulary if any of its levels is.
-    known = vocabulary[np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)] == terms
-    rows, terms, counts = _counted(terms[known], rows[known])
-    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-    hit = vocabulary[at] == terms
-    rows, at, counts = rows[hit], at[hit], counts[hit]
-    order = np.lexsort((at, rows))
-    return rows[order], at[order], counts[order]
+    hit = places >= 0
+    bits = known.size.bit_length()
+    keys = np.sort(rows[hit] << bits | places[hit])
+    fresh = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(fresh, len(keys)))
+    rows, places = keys[fresh] >> bits, keys[fresh] & ((1 << bits) - 1)
+    out = [(rows, places, counts)]
+    for n, further in zip(LEVELS[1:], known.levels, strict=True):
+        often = np.flatnonzero(counts >= n)
+        at = further[places[often]]
+        often, at = often[at >= 0], at[at >= 0]
+        out.append((rows[often], at.astype(np.int64), counts[often]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _vectors(chunk, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the vocabulary, count) of the terms that a text has, by row, then place."""
+    rows, places, counts = _found(chunk, known)
+    order = np.argsort(rows << known.size.bit_length() | places)
+    return rows[order], places[order], counts[order]
 
 
 def _examples(sample: DataFrame) -> list:
@@ -128,12 +165,12 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Vocabulary(shared.value)
         # The last place counts documents.
-        counts = np.zeros(len(known) + 1, np.int64)
+        counts = np.zeros(known.size + 1, np.int64)
         for batch in batches:
             for chunk in chunks(batch):
-                counts[:-1] += np.bincount(_vectors(chunk, known)[1], minlength=len(known))
+                counts[:-1] += np.bincount(_found(chunk, known)[1], minlength=known.size)
                 counts[-1] += len(chunk)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
@@ -147,61 +184,96 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
 
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of some ranges, one range after the other."""
-    return np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+    ends = np.cumsum(sizes)
+    kind = np.int32 if len(ends) and max(ends[-1], begins.max()) < 1 << 30 else np.int64
+    out = np.arange(sizes.sum(), dtype=kind)
+    out += np.repeat((begins - ends + sizes).astype(kind), sizes)
+    return out
 
 
 @dataclass
-class Index:
-    """Example vectors in blocks, the largest weight of each term per block, and the fitted votes.
+class Postings:
+    """Weights of the examples by term.
 
     The postings of usual terms have no gaps: their weights are rows of `dense`, term t's is row `usual[t]` (-1: none). Those
-    of the others lie by term, then example. A cell is such a term in a block that has it: term t has the cells `cells[t]`
-    to `cells[t + 1]`, each with its block, its largest weight and its postings `begins[cell]` to `begins[cell + 1]`.
+    of the others lie by term, then example; term t has the postings `begins[t]` to `begins[t + 1]`.
     """
 
-    vocabulary: np.ndarray
-    scale: np.ndarray
-    ids: np.ndarray
-    toxic: np.ndarray
-    weight: np.ndarray
     usual: np.ndarray
     dense: np.ndarray
-    cells: np.ndarray
-    blocks: np.ndarray
-    bounds: np.ndarray
     begins: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
+
+
+@dataclass
+class Index:
+    """Example vectors as counts by term, then example, and the fitted votes.
+
+    `sizes` tells how many postings a term has, `inside` and `times` the example and the count of each. Weights are worked
+    out where texts are searched, and do not travel.
+    """
+
+    vocabulary: np.ndarray
+    scale: np.ndarray
+    ids: np.ndarray
+    toxic: np.ndarray
+    weight: np.ndarray
+    sizes: np.ndarray
+    inside: np.ndarray
+    times: np.ndarray
+    nothing: float
     #: Votes in ascending order and the probability of each.
     votes: np.ndarray
     chance: np.ndarray
-    nothing: float
-    #: What the rest is made of; only this travels.
-    packed: tuple
 
-    def __reduce__(self) -> tuple:
-        return _unpacked, (*self.packed, self.votes, self.chance)
+    def __getstate__(self) -> dict:
+        return {x.name: getattr(self, x.name) for x in fields(self)}
+
+    @cached_property
+    def postings(self) -> Postings:
+        terms = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), self.sizes)
+        weights = (1 + np.log(self.times, dtype=float)) * self.scale[terms]
+        weights /= np.sqrt(np.bincount(self.inside, weights**2, len(self.ids)))[self.inside]
+        common = self.sizes.astype(np.int64) * USUAL >= max(len(self.ids), 1)
+        usual = np.where(common, np.cumsum(common) - 1, -1)
+        dense = np.zeros((int(common.sum()), len(self.ids)))
+        gapless = common[terms]
+        dense[usual[terms[gapless]], self.inside[gapless]] = weights[gapless]
+        begins = np.concatenate(([0], np.cumsum(np.where(common, 0, self.sizes), dtype=np.int64)))
+        return Postings(usual, dense, begins, self.inside[~gapless], weights[~gapless])
+
+    def vectors(self, examples: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The unit vectors (places, values) of some examples."""
+        order = np.argsort(self.inside, kind="stable")
+        terms = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), self.sizes)[order]
+        bounds = np.searchsorted(self.inside[order], np.arange(len(self.ids) + 1))
+        return [
+            (terms[a:b], _unit(terms[a:b], self.times[order[a:b]], self.scale)) for a, b in zip(bounds[examples], bounds[examples + 1], strict=True)
+        ]
 
     @property
     def matrix(self) -> np.ndarray:
         """All vectors, one row per example; for tests."""
         out = np.zeros((len(self.ids), len(self.vocabulary)))
-        out[self.examples, np.repeat(np.arange(len(self.vocabulary)), np.diff(self.begins[self.cells]))] = self.weights
-        out[:, self.usual >= 0] = self.dense.T
+        book = self.postings
+        out[book.examples, np.repeat(np.arange(len(self.vocabulary)), np.diff(book.begins))] = book.weights
+        out[:, book.usual >= 0] = book.dense.T
         return out
 
     def nearest(self, places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The most similar examples of one unit vector and their cosines."""
         return next(self.neighbours([(places, values)]))
 
-    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], first: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], examples: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The k most similar examples of each unit vector (places, values) and their cosines, ties by place in the index.
 
-        With `first`, the vectors are the examples from that place on, and none is its own neighbour.
+        With `examples`, the vectors are those of the examples in these places, and none is its own neighbour.
         """
         for start in range(0, len(vectors), TOGETHER):
-            some = vectors[start : start + TOGETHER]
-            cosines = self._cosines(some, None if first is None else first + start)
+            cosines = self._cosines(vectors[start : start + TOGETHER])
+            if examples is not None:
+                cosines[np.arange(len(cosines)), examples[start : start + TOGETHER]] = 0
             for own in cosines:
                 found = np.flatnonzero(own > 0)
                 if len(found) > NEIGHBOURS:
@@ -210,43 +282,24 @@ class Index:
                 best = found[np.lexsort((found, -np.round(own[found], 9)))[:NEIGHBOURS]]
                 yield best, own[best]
 
-    def _cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]], first: int | None) -> np.ndarray:
-        """Cosines of some vectors with all examples that can be among their nearest, 0 for others."""
-        count, n, blocks = len(vectors), len(self.ids), -(-len(self.ids) // BLOCK)
+    def _cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of some vectors with all examples."""
+        count, n, book = len(vectors), len(self.ids), self.postings
         query = np.repeat(np.arange(count), [len(x) for x, _ in vectors])
         places, values = np.concatenate([x for x, _ in vectors]), np.concatenate([x for _, x in vectors])
-        at = self.usual[places]
-        table = np.zeros((count, len(self.dense)))
+        at = book.usual[places]
+        table = np.zeros((count, len(book.dense)))
         table[query[at >= 0], at[at >= 0]] = values[at >= 0]
-        sums = table @ self.dense
-        sizes = self.cells[places + 1] - self.cells[places]
-        cells = _ranges(self.cells[places], sizes)
-        force, query = np.repeat(values, sizes), np.repeat(query, sizes)
-        spot = query * blocks + self.blocks[cells]
-        # No example of a block can be more similar than this.
-        limits = np.bincount(spot, force * self.bounds[cells], count * blocks).reshape(count, blocks)
-        limits = limits + np.maximum.reduceat(sums, np.arange(0, n, BLOCK), axis=1)
-        cosines = np.zeros((count, n))
-
-        def take(now: np.ndarray) -> None:
-            """Fill in the cosines of some blocks of each vector."""
-            taken = np.flatnonzero(now.ravel()[spot])
-            begins = self.begins[cells[taken]]
-            sizes = self.begins[cells[taken] + 1] - begins
-            at = _ranges(begins, sizes)
-            light = np.bincount(
-                np.repeat(query[taken] * n, sizes) + self.examples[at], self.weights[at] * np.repeat(force[taken], sizes), count * n
-            ).reshape(count, n)
-            np.copyto(cosines, sums + light, where=np.repeat(now, BLOCK, axis=1)[:, :n])
-            if first is not None:
-                cosines[np.arange(count), first + np.arange(count)] = 0
-
-        # A few blocks, then all that can still hold a neighbour.
-        now = np.zeros((count, blocks), bool)
-        np.put_along_axis(now, np.argsort(-limits, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
-        take(now)
-        least = np.partition(cosines, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS] if n > NEIGHBOURS else np.zeros(count)
-        take(~now & (limits > 0) & (limits + 1e-9 >= least[:, None]))
+        query, places, values = query[at < 0], places[at < 0], values[at < 0]
+        begins = book.begins[places]
+        sizes = book.begins[places + 1] - begins
+        at = _ranges(begins, sizes)
+        spot = np.repeat(query * n, sizes)
+        spot += book.examples[at]
+        parts = np.repeat(values, sizes)
+        parts *= book.weights[at]
+        cosines = table @ book.dense
+        cosines += np.bincount(spot, parts, count * n).reshape(count, n)
         return cosines
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
@@ -262,7 +315,7 @@ class Index:
 
 
 def _unit(places: np.ndarray, counts: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    values = (1 + np.log(counts)) * scale[places]
+    values = (1 + np.log(counts, dtype=float)) * scale[places]
     length = np.sqrt((values**2).sum())
     return values / length if length > 0 else values
 
@@ -285,11 +338,11 @@ def fitted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Inde
     """The index over at most `examples` labelled texts per class; its size is bounded by theirs, whatever the tables hold."""
     rows = _examples(_sampled(labels, docs, examples))
     vocabulary = np.unique(np.concatenate([np.frombuffer(x.terms, np.uint64) for x in rows])) if rows else np.zeros(0, np.uint64)
-    return _with_votes(*built(rows, vocabulary, *_frequencies(docs, vocabulary)))
+    return _with_votes(docs.sparkSession, built(rows, vocabulary, *_frequencies(docs, vocabulary)))
 
 
-def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int) -> tuple[Index, list[np.ndarray], list[np.ndarray]]:
-    """The index, without votes, and each example's terms and counts, of example rows (see _examples), with the documents that have each term and the number of documents."""
+def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int) -> Index:
+    """The index, without votes, of example rows (see _examples), with the documents that have each term and the number of documents."""
     blank = [x for x in rows if not x.terms]
     rows = [x for x in rows if x.terms]
     mass = sum(x.weight for x in blank)
@@ -303,55 +356,44 @@ def built(rows: list, vocabulary: np.ndarray, frequency: np.ndarray, total: int)
     # Above 0 for every term, so a text that shares one with an example has a neighbour.
     idf = np.log((total + 1) / (frequency + 0.5))
     scale = idf * np.log2(2 + with_term[1] / np.maximum(with_term[0], 1))
-    # Examples with the same strongest term lie together, so that blocks have sharp bounds.
+    # Examples with the same strongest term lie together.
     strongest = [int(x[_unit(x, y, scale).argmax()]) for x, y in zip(places, counts, strict=True)]
     order = sorted(range(len(rows)), key=lambda i: (strongest[i], rows[i].doc_id))
     rows, places, counts = ([x[i] for i in order] for x in (rows, places, counts))
     terms = np.concatenate(places) if rows else np.zeros(0, np.int64)
     inside = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in places])
-    order = np.lexsort((inside, terms))
+    order = np.argsort(terms, kind="stable")
     times = np.concatenate(counts)[order] if rows else np.zeros(0, np.int32)
-    index = _unpacked(
+    return Index(
         vocabulary, scale, np.array([x.doc_id for x in rows], np.int64), np.array([x.toxic for x in rows], float),
         np.array([x.weight for x in rows], float), np.bincount(terms, minlength=len(vocabulary)).astype(np.int32),
         inside[order].astype(np.min_scalar_type(len(rows))), times.astype(np.min_scalar_type(int(times.max(initial=0)))), float(nothing),
         np.zeros(0), np.zeros(0),
     )
-    return index, places, counts
 
 
-def _with_votes(index: Index, places: list[np.ndarray], counts: list[np.ndarray]) -> Index:
+def _with_votes(spark: SparkSession, index: Index) -> Index:
     """The index with the votes of its examples, each left out of its own, and their probabilities."""
-    own = []
-    for first in range(0, len(places), TOGETHER):
-        some = slice(first, first + TOGETHER)
-        vectors = [(x, _unit(x, y, index.scale)) for x, y in zip(places[some], counts[some], strict=True)]
-        own += [index.vote(*x) for x in index.neighbours(vectors, first)]
-    told = np.array(own) >= 0
-    if told.any():
-        index.votes, index.chance = _monotone(np.array(own)[told], index.toxic[told], index.weight[told])
-    return index
+    count = len(index.ids)
+    if not count:
+        return index
+    shared = spark.sparkContext.broadcast(index)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = shared.value
+        for batch in batches:
+            at = batch.column("id").to_numpy()
+            votes = [book.vote(*x) for x in book.neighbours(book.vectors(at), at)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(votes, pa.float64())], names=["id", "vote"])
 
-def _unpacked(vocabulary, scale, ids, toxic, weight, sizes, inside, times, nothing, votes, chance) -> Index:
-    """The index of postings by term, then example: `sizes` per term, the example and the count of each posting."""
-    packed = (vocabulary, scale, ids, toxic, weight, sizes, inside, times, nothing)
-    terms, inside = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes), inside.astype(np.int64)
-    weights = (1 + np.log(times, dtype=float)) * scale[terms]
-    weights /= np.sqrt(np.bincount(inside, weights**2, len(ids)))[inside]
-    common = sizes.astype(np.int64) * USUAL >= max(len(ids), 1)
-    usual = np.where(common, np.cumsum(common) - 1, -1)
-    dense = np.zeros((int(common.sum()), len(ids)))
-    gapless = common[terms]
-    dense[usual[terms[gapless]], inside[gapless]] = weights[gapless]
-    terms, inside, weights = terms[~gapless], inside[~gapless], weights[~gapless]
-    block = inside // BLOCK
-    fresh = np.flatnonzero(np.concatenate(([True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])))) if len(terms) else np.zeros(0, np.int64)
-    return Index(
-        vocabulary, scale, ids, toxic, weight, usual, dense, np.searchsorted(terms[fresh], np.arange(len(vocabulary) + 1)),
-        block[fresh], np.maximum.reduceat(weights, fresh) if len(terms) else weights, np.append(fresh, len(terms)),
-        inside, weights, votes, chance, nothing, packed,
-    )
+    found = spark.range(0, count, 1, -(-count // VOTERS)).mapInArrow(work, "id long, vote double").toArrow()
+    shared.unpersist()
+    own = np.zeros(count)
+    own[found.column("id").to_numpy()] = found.column("vote").to_numpy()
+    told = own >= 0
+    if told.any():
+        index.votes, index.chance = _monotone(own[told], index.toxic[told], index.weight[told])
+    return index
 
 
 def scored(docs: DataFrame, index: Index) -> DataFrame:
@@ -367,9 +409,10 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
+        known = Vocabulary(book.vocabulary)
         for batch in batches:
             for chunk in chunks(batch):
-                rows, places, counts = _vectors(chunk, book.vocabulary)
+                rows, places, counts = _vectors(chunk, known)
                 scores = np.full(len(chunk), book.nothing)
                 evidence: list = [[]] * len(chunk)
                 some, starts = np.unique(rows, return_index=True)
