@@ -60,6 +60,35 @@ def test_slices_equal_masked_means(dense):
         assert one["average_hour_consumption_national_holiday_tou_1"] == pytest.approx(presidents_day[presidents_day.tou == 1].energy_consumption.mean())
 
 
+def test_hours_go_straight_to_two_way_tables(dense):
+    # Cells in between were grouped twice, and were as many as the hours of an entity with few of them.
+    plan = slices.sliced_packed(dense[1], slices.LOAD_SLICES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [bldg_id") == 3
+    assert "percentile" not in slices.median_packed(dense[1])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_median_of_repeated_missing_and_odd_values(spark, hours_of):
+    # Even and odd numbers of values, nulls, NaN and infinities, a month of nulls alone; hours that repeat count each.
+    odd = [None, 4.0, -0.5, float("nan"), 4.0, float("inf"), float("-inf"), 1e300]
+    rows = [(b, f"2018-{1 + i % 3:02}-01 {i % 5:02}:00:00", odd[(i * b) % 8]) for b in range(1, 6) for i in range(b + 6)]
+    hours = with_calendar(hours_of([*rows, (1, "2018-07-01 00:00:00", None), (9, "2018-07-01 00:00:00", None)]))
+    want = hours.groupBy("bldg_id", "month").agg(F.median("energy_consumption").alias("median")).collect()
+    got = {r.bldg_id: r.asDict() for r in slices.monthly_median(hours).collect()}
+    assert len(got) == 6 and len(want) > 12
+    for row in want:
+        assert repr(got[row.bldg_id][f"median_hour_consumption_month_{row.month}"]) == repr(row.median)
+
+
+def test_slices_of_missing_values_and_repeated_hours(hours_of):
+    rows = [(1, "2018-01-01 03:00:00", 2.0), (1, "2018-01-01 03:00:00", 4.0), (1, "2018-01-01 04:00:00", None), (2, "2018-01-06 04:00:00", None)]
+    got = {r.bldg_id: r for r in slices.hour_aggregation(gold.base_hours(hours_of(rows))).collect()}
+    one, two = got[1], got[2]
+    assert (one.total_consumption_month_1, one.total_consumption_hour_3, one.total_consumption_hour_4) == (6, 6, 0)
+    assert (one.average_hour_consumption_month_1, one.max_hour_consumption_month_1, one.min_hour_consumption_month_1) == (3, 4, 2)
+    assert one.average_daily_consumption_month_1 == one.average_daily_consumption_national_holiday == 6
+    assert (two.total_consumption_ever, two.average_hour_consumption_month_1, two.average_daily_consumption_month_1) == (0, None, 0)
+
+
 def test_hour_profile_counts_every_tied_hour_once(dense):
     frame, base = dense
     pdf = calendar(frame)

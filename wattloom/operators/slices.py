@@ -1,8 +1,9 @@
 """Sliced averages, totals and monthly peaks: the aggregate family of the feature row.
 
-Every mean and total is built from sums and counts that are merged in three steps: hours to cells
-(entity, month, weekday, hour, holiday flags), cells to two-way tables such as month x weekday, and
-two-way tables to the slices. Each step works on far fewer rows than the one before. All steps group
+Every mean and total is built from sums and counts that are merged in two steps: hours to two-way
+tables such as month x weekday, and two-way tables to the slices. A table holds at most some hundred
+rows of an entity, whatever its hours; cells of (month, weekday, hour, holiday flags) in between would
+be nearly as many as the hours of an entity with few of them. Both steps group
 by the entity first, so hours that are hashed by entity are never shuffled again. The slices of an
 entity end up in one map (see `packing`) that a projection turns into columns.
 """
@@ -36,7 +37,7 @@ DOMAINS = {
 
 @dataclass(frozen=True)
 class Slice:
-    """One family of columns: `name` is a template over `dims`, `measure` one of the cell measures."""
+    """One family of columns: `name` is a template over `dims`, `measure` one of the measures."""
 
     name: str
     dims: tuple[str, ...]
@@ -116,6 +117,22 @@ def cells(hours: DataFrame, extra_keys: Sequence[str] = FLAGS) -> DataFrame:
     )
 
 
+def measured(hours: DataFrame, extra_keys: Sequence[str] = FLAGS) -> DataFrame:
+    """Each hour as the sums, counts and extremes of its own value; needs daily_consumption and the calendar columns."""
+    value, daily = "energy_consumption", "daily_consumption"
+    return hours.selectExpr(
+        "bldg_id",
+        *CELL_KEYS,
+        *extra_keys,
+        f"{value} AS sum_e",
+        f"CAST({value} IS NOT NULL AS BIGINT) AS n_e",
+        f"{daily} AS sum_d",
+        f"CAST({daily} IS NOT NULL AS BIGINT) AS n_d",
+        f"{value} AS max_e",
+        f"{value} AS min_e",
+    )
+
+
 MERGE = {"sum_e": "sum", "n_e": "sum", "sum_d": "sum", "n_d": "sum", "max_e": "max", "min_e": "min"}
 MEASURES = {
     "mean": "sum_e / nullif(n_e, 0)",
@@ -128,9 +145,9 @@ MEASURES = {
 
 @dataclass(frozen=True)
 class TwoWay:
-    """A table of cells by two keys `a` and `b`, and the dimensions that are functions of them.
+    """A table of hours by two keys `a` and `b`, and the dimensions that are functions of them.
 
-    `on` is the flag a cell must carry to take part. Dimensions are SQL over `a` and `b`.
+    `on` is the flag an hour must carry to take part. Dimensions are SQL over `a` and `b`.
     """
 
     a: str
@@ -163,14 +180,14 @@ def sliced_packed(hours: DataFrame, slices: list[Slice]) -> DataFrame:
         source = next(place for place, one in enumerate(TWO_WAY) if set(dim_set) <= set(one.dims))
         by_table.setdefault(source, []).append(dim_set)
 
-    # Cells to two-way tables.
+    # Hours to two-way tables.
     extra_keys = [key for key in (*FLAGS, "weeknum") if any(key in one.dims for one in slices)]
     targets = ", ".join(
         f"CASE WHEN {TWO_WAY[place].on} THEN struct({place} AS table, {TWO_WAY[place].a} AS a, {TWO_WAY[place].b} AS b) END"
         for place in by_table
     )
     spread = (
-        cells(hours, extra_keys)
+        measured(hours, extra_keys)
         .selectExpr("*", f"{tou_of('hour')} AS tou")
         .selectExpr("bldg_id", *MERGE, f"explode(array({targets})) AS to")
         .filter("to IS NOT NULL")
@@ -226,7 +243,11 @@ def sliced(hours: DataFrame, slices: list[Slice]) -> DataFrame:
 
 def median_packed(hours: DataFrame) -> DataFrame:
     """Exact median per entity and month (at most 744 hourly values per group and year)."""
-    medians = hours.groupBy("bldg_id", "month").agg(F.median("energy_consumption").alias("median"))
+    # A list is cheaper to pass on than the counted values of `median`.
+    values = hours.groupBy("bldg_id", "month").agg(F.sort_array(F.collect_list(F.col("energy_consumption").cast("double"))).alias("values"))
+    medians = values.selectExpr(
+        "bldg_id", "month", "0.5D * get(values, CAST((size(values) - 1) div 2 AS INT)) + 0.5D * get(values, CAST(size(values) div 2 AS INT)) AS median"
+    )
     return packed(medians, "month", ["median"], "medians")
 
 
